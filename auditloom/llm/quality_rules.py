@@ -211,6 +211,8 @@ measures AS MATERIALIZED (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
          (length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_upper, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_bang, len(lines)::BIGINT AS n_lines,
-         len(list_intersect(list_distinct(w), [{stop}]))::BIGINT AS n_stop, (length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')::BIGINT AS n_letters  FROM texts LEFT JOIN covered USING (r)),
+         len(list_intersect(list_distinct(w), [{stop}]))::BIGINT AS n_stop, (length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')))::BIGINT AS n_letters,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutter
+  FROM texts LEFT JOIN covered USING (r)),
 {em_sql('measures')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND odds >= 0) AS kept, round(1 / (1 + exp(-odds)), 6) AS posterior FROM judged"""

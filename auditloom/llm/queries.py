@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, token_counts, token_output
+from . import packing, quality_rules, simhash, token_counts, token_output
 from .common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,13 +32,17 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(measures, quality_rules.fit(measures)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3, seed=42)
+
+
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
     return packing.pack(pieces, capacity=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op10_bestfit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op5_simhash_components, op10_bestfit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
