@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, sharding, simhash, token_counts, token_output
+from . import ann, mixing, packing, quality_rules, sharding, simhash, token_counts, token_output
 from .common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,13 +44,17 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), weights=(1.0,) * 8)
 
 
+def op9_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
     return packing.pack(pieces, capacity=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op5_simhash_components, op6_fair_mix, op8_rendezvous_shards, op10_bestfit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op5_simhash_components, op6_fair_mix, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
