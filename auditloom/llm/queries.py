@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, packing, quality_rules, sharding, simhash, token_counts, token_output
+from . import ann, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, token_output
 from .common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(measures, quality_rules.fit(measures)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3, seed=42)
 
@@ -54,7 +58,7 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op5_simhash_components, op6_fair_mix, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op4_pii_surrogates, op5_simhash_components, op6_fair_mix, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
