@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, token_output
+from . import ann, classifier, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, token_output
 from .common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), weights=(1.0,) * 8)
 
@@ -58,7 +62,7 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op4_pii_surrogates, op5_simhash_components, op6_fair_mix, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op4_pii_surrogates, op5_simhash_components, op6_fair_mix, op7_quality_scores, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
