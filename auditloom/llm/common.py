@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,29 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``; only where none is named (tests,
     local runs) one is made here. Never a local checkpoint: its blocks die with their executor.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, as :func:`cut` says."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table of its own in the shared folder, reread, and its path; for tables too wide to checkpoint as rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Drops a table that :func:`written` made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

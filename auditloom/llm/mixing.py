@@ -52,9 +52,9 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     return level.select(*sizes.columns, "weight", target.alias("target"), "budget")
 
 
-def _key(id_col: str, text_col: str) -> Column:
+def _key(doc_id: Column, text: Column) -> Column:
     """32 hex digits, the row's place in its source's shuffled order."""
-    return F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def _number(key: Column, digits: int = 12) -> Column:
@@ -64,8 +64,8 @@ def _number(key: Column, digits: int = 12) -> Column:
 
 def shuffled(docs: DataFrame, *, range_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_passes: int = MAX_PASSES) -> DataFrame:
     """doc_id, source, size, key, source_size, target, budget and ``upto``: the words of the source's shuffled order up to and with the row."""
-    text = F.col(text_col).cast("string")
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), _key(id_col, text_col).alias("key")))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), _key(F.col(f"`{id_col}`").cast("long"), text).alias("key")))
     totals = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     targets = source_targets(totals, weights=weights, share=share, max_passes=max_passes)
     known = cut(targets.select(F.col("source").alias("of"), "source_size", F.ceil(F.col("n") / F.lit(range_rows)).alias("ranges"), "target", "budget"))
@@ -119,7 +119,24 @@ def mix(docs: DataFrame, *, max_passes: int = MAX_PASSES, range_rows: int = 20_0
         copies = F.coalesce(F.size(_copies(rows, max_passes)), F.lit(0))
     copies = F.when(F.col("size") > 0, F.greatest(copies, F.lit(0))).otherwise(F.lit(0))
     first = F.get(_copies(rows, max_passes), F.lit(0))["time"]
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"), first.alias("first_time"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"), first.alias("first_time"), "key")
+
+
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: a row of ``docs``, with just its own columns, for each copy that it takes; rows it takes none of are out.
+
+    Rows alike in id and text share a key; each of them gets one of the key's numbers of copies.
+    """
+    counts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), F.col("key").alias("k"))
+    counts = cut(counts.agg(F.sort_array(F.collect_list("copies"), False).alias("copies")).where(F.get("copies", F.lit(0)) > 0))
+    source = F.col(f"`{source_col}`").cast("string")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    boxed = docs.select(F.struct(*names).alias("doc"), _key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).alias("key"), F.coalesce(source, F.lit("")).alias("src"), source.isNull().alias("no"))
+    same = (F.col("key") == F.col("k")) & (F.col("src") == F.col("s")) & (F.col("no") == F.col("none"))
+    one = boxed.join(counts.where(F.size("copies") == 1), same).select("doc", F.get("copies", F.lit(0)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("key", "src", "no").orderBy("doc"))
+    more = boxed.join(counts.where(F.size("copies") > 1), same).withColumn("place", place).select("doc", F.get("copies", F.col("place") - 1).alias("n"))
+    return one.unionByName(more).where("n > 0").select("doc", F.explode(F.sequence(F.lit(1), "n"))).select("doc.*")
 
 
 def oracle_sql() -> str:

@@ -223,3 +223,10 @@ def replace(docs: DataFrame, *, key: str = "auditloom", text_col: str = "text")
 
     out = docs.withColumn("__done", let(F.when(text.isNull(), F.array().cast("array<struct<match:string,kind:string,canon:string>>")).otherwise(_found(text)), done))
     return out.select(*[F.col("__done.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "__again"], F.size("__done.kinds").cast("long").alias("n_replaced"), F.col("__done.kinds").alias("replaced_kinds"))
+
+
+def replaced_rows(docs: DataFrame, *, key: str = "auditloom", text_col: str = "text") -> DataFrame:
+    """``docs`` with surrogates in ``text_col`` and just its own columns (whatever their names)."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    done = replace(boxed, key=key)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"__doc.`{c}`") for c in docs.columns])

@@ -167,6 +167,13 @@ def judged(measures: DataFrame, model: Model) -> DataFrame:
     return measures.withColumns({"base_failed": F.expr(BASE_FAILED), "__odds": odds}).select("*", F.round(1 / (1 + F.exp(-F.col("__odds"))), 6).alias("posterior"), (~F.col("base_failed") & (F.col("__odds") >= 0)).alias("kept")).drop("__odds")
 
 
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with just its own columns (whatever their names)."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    measures = measured(boxed)
+    return judged(measures, fit(measures)).where("kept").select("__doc.*")
+
+
 def em_sql(measures: str) -> str:
     """DuckDB SQL of the CTEs from a relation of measures to ``judged`` (id columns and measures pass through)."""
     n = len(RULES)

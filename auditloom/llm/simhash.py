@@ -29,8 +29,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, written
 
 BITS = 64
 PLAN_SAMPLE = 4096
@@ -343,17 +344,53 @@ def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, seed: int = 42, bucket_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
+def labels(marked: DataFrame, *, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``marked`` (a column fp): root is the least fingerprint of its component."""
     import numpy as np
 
-    marked = cut(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = cut(marked.select("fp").distinct())
     n = distinct.count()
-    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).collect()]
+    sample = [r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).collect()]
     chosen = plan(np.array(sample, dtype=np.int64).view(np.uint64), n, radius)
-    stars = cut(components(edges(distinct.select("fp"), chosen, radius=radius, bucket_rows=bucket_rows)))
-    labelled = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    stars = cut(components(edges(distinct, chosen, radius=radius, bucket_rows=bucket_rows)))
+    return distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, seed: int = 42, bucket_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
+    marked = cut(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col))
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    labelled = labels(marked, radius=radius, bucket_rows=bucket_rows).join(first, "fp")
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = labelled.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, radius: int = 3, shingle: int = 3, seed: int = 42, bucket_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component with just the columns of ``docs``: that of the smallest id (null last), fingerprint, and row.
+
+    What is dropped is joined to the documents, as it is the smaller side; of rows with one id and fingerprint the least in all columns stays.
+    """
+    text = F.col(f"`{text_col}`").cast("string").cast("binary")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [fingerprint(t or b"", shingle, seed) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, dtype="<u8").view("<i8"), pa.int64())], names=["doc", "doc_id", "fp"])
+
+    rows, _ = written(boxed.mapInArrow(run, T.StructType([boxed.schema["doc"], T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])))
+    pairs = rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    named = cut(labels(pairs, radius=radius, bucket_rows=bucket_rows).join(pairs, "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))
+    chosen = named.groupBy("root").agg(F.min(order).alias("best"))
+    marked = named.join(chosen, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.fp") == F.col("fp")))
+    # Pairs that go, and pairs that stay but have several rows.
+    special = cut(marked.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), F.col("fp").alias("f"), "stays"))
+    same = rows["doc_id"].eqNullSafe(special["id"]) & (rows["fp"] == special["f"])
+    plain = rows.join(special, same, "left_anti").select("doc")
+    several = rows.join(special.where("stays"), same).groupBy("doc_id", "fp").agg(F.min("doc").alias("doc")).select("doc")
+    return plain.unionByName(several).select("doc.*")
