@@ -62,7 +62,7 @@ def _number(key: Column, digits: int = 12) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long") / F.lit(float(16**digits))
 
 
-def shuffled(docs: DataFrame, *, range_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_passes: int = MAX_PASSES) -> DataFrame:
+def shuffled(docs: DataFrame, *, range_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_passes: int = MAX_PASSES) -> DataFrame:
     """doc_id, source, size, key, source_size, target, budget and ``upto``: the words of the source's shuffled order up to and with the row."""
     text = F.col(f"`{text_col}`").cast("string")
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), _key(F.col(f"`{id_col}`").cast("long"), text).alias("key")))
@@ -87,7 +87,13 @@ def _copies(rows: DataFrame, max_passes: int) -> Column:
     return F.when((F.col("size") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.lit(max_passes - 1)), lambda p: F.struct(time(p).alias("time"), p.alias("pass"))))
 
 
-def mix(docs: DataFrame, *, max_passes: int = MAX_PASSES, range_rows: int = 20_000, **options) -> DataFrame:
+def _passes(ranges: DataFrame, before: int, budget: int) -> list:
+    """[(rng, before)]: the first range whose running sum exceeds the budget, with the sum before it; [] if none does."""
+    upto = ranges.withColumn("upto", F.lit(before) + F.sum("words").over(Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, 0)))
+    return upto.where(F.col("upto") > F.lit(budget)).orderBy("rng").select("rng", (F.col("upto") - F.col("words")).alias("before")).limit(1).collect()
+
+
+def mix(docs: DataFrame, *, max_passes: int = MAX_PASSES, range_rows: int = 2048, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies and first_time (the virtual time of the first copy) for each row of ``docs``."""
     rows = cut(shuffled(docs, max_passes=max_passes, range_rows=range_rows, **options))
     spark = rows.sparkSession
@@ -96,10 +102,12 @@ def mix(docs: DataFrame, *, max_passes: int = MAX_PASSES, range_rows: int = 20_0
     head = rows.agg(F.count(F.lit(1)).alias("n"), F.max("budget").alias("budget")).first()
     ranges = max(1, -(-(head["n"] or 0) * max_passes // range_rows))
     placed = times.withColumn("rng", F.least(F.floor(F.col("time") * F.lit(ranges)), F.lit(4 * ranges)).cast("long"))
+    # Where the running sum passes the budget: first among coarse ranges, then among the fine ones of that, so no task sums up more than a few thousand.
     by_range = cut(placed.groupBy("rng").agg(F.sum("size").alias("words")))
-    upto = by_range.withColumn("upto", F.sum("words").over(Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, 0)))
-    budget = head["budget"] or 0
-    last = upto.where(F.col("upto") > F.lit(budget)).orderBy("rng").select("rng", (F.col("upto") - F.col("words")).alias("before")).limit(1).collect()
+    budget, coarse = head["budget"] or 0, 4096
+    wide = by_range.groupBy(F.floor(F.col("rng") / coarse).alias("rng")).agg(F.sum("words").alias("words"))
+    last = _passes(wide, 0, budget)
+    last = _passes(by_range.where(F.floor(F.col("rng") / coarse) == last[0]["rng"]), last[0]["before"], budget) if last else []
     order = ["time", F.col("source").asc_nulls_last(), "key", "doc_id", "size", "pass"]
     if last:
         rng, before = last[0]["rng"], last[0]["before"]
