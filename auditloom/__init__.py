@@ -1,0 +1 @@
+"""Findings over large collections of text, and the relational questions asked of them, in Spark."""
