@@ -58,9 +58,9 @@ def structural_invariant_missing(spark, d):
     return detect.structural(detect.lines_of(R.files(spark, d)), "(?i)licen[sc]e", "(?i)version|MIT", 2, 3)
 
 
-@query("WITH l AS (SELECT url AS file_path, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_number FROM pages) SELECT file_path, line_number::INT AS line_number, len(regexp_extract_all(line, '<a href=\"[^\"]*\"')) AS n_links FROM l WHERE regexp_matches(line, '<a href=\"[^\"]*\"') AND NOT regexp_matches(line, '(?i)nofollow|/the"')")
+@query("WITH l AS (SELECT url AS file_path, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_number FROM pages) SELECT file_path, line_number::INT AS line_number, len(regexp_extract_all(line, '<a href=\"[^\"]*\"')) AS n_links FROM l WHERE regexp_matches(line, '<a href=\"[^\"]*\"') AND NOT regexp_matches(line, '(?i)nofollow|/the')")
 def negation_guard(spark, d):
-    rule = Rule("WEB-link", "Plain link", "LOW", 0.4, r'<a href="[^"]*"', languages=("html",), unless=("(?i)nofollow|/the"",))
+    rule = Rule("WEB-link", "Plain link", "LOW", 0.4, r'<a href="[^"]*"', languages=("html",), unless=("(?i)nofollow|/the",))
     return detect.scan(R.page_files(spark, d), [rule]).groupBy("file_path", "line_number").agg(F.count("*").alias("n_links"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, scores
 
-MODULES = [detection]
+MODULES = [detection, scores]
 
 
 def queries() -> dict:
