@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, scores
+from . import detection, joins, scores
 
-MODULES = [detection, scores]
+MODULES = [detection, scores, joins]
 
 
 def queries() -> dict:
