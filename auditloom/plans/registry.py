@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, joins, scores
+from . import aggregates, detection, joins, scores
 
-MODULES = [detection, scores, joins]
+MODULES = [detection, scores, joins, aggregates]
 
 
 def queries() -> dict:
