@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, detection, joins, scores
+from . import aggregates, detection, joins, more, scores
 
-MODULES = [detection, scores, joins, aggregates]
+MODULES = [detection, scores, joins, aggregates, more]
 
 
 def queries() -> dict:
