@@ -126,7 +126,7 @@ def example_coverage(spark, d):
     return a.join(n, "lang", "left").select("cwe", "lang", "total", "fixes", "workarounds", neg.alias("negatives"), ((F.col("fixes") >= 5) & (neg >= 5)).alias("ready"))
 
 
-@query("""SELECT p_brand AS language, count(*) AS n_patterns, round(avg(p_retailprice), 2) AS effectiveness, sum(p_size) AS hits FROM part GROUP BY 1""")
+@query("""SELECT p_brand AS language, count(*) AS n_patterns, round(avg(p_retailprice), 2) AS effectiveness, sum(p_size)::BIGINT AS hits FROM part GROUP BY 1""")
 def pattern_marketplace(spark, d):
     return R.table(spark, d, "part").groupBy(F.col("p_brand").alias("language")).agg(F.count("*").alias("n_patterns"), F.round(F.avg("p_retailprice"), 2).alias("effectiveness"), F.sum("p_size").alias("hits"))
 
