@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,15 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, as :func:`cut` says."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table of its own in the shared folder, reread, and its path; for tables too wide to checkpoint as rows."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table of its own in the shared folder, reread, and its path; for tables too wide to checkpoint as rows.
+
+    The table goes when the driver ends, or by :func:`remove` before that.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path), path
+    return spark.read.parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
