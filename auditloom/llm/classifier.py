@@ -43,31 +43,33 @@ class Features:
     """Hashed features of texts, as shares of the words. ``known`` is bounded; the first 8 buckets are for whole-text features."""
 
     def __init__(self, max_words: int = 500_000):
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}
         self.max_words = max_words
 
-    def _word(self, word: bytes) -> tuple[int, int]:
-        if len(self.known) >= self.max_words:
-            self.known.clear()
+    def _word(self, word: bytes) -> int:
+        """Both buckets of a word in one number."""
         text = word.decode("utf-8", "replace")
-        found = _bucket("shape " + _shape(text)), _bucket("end " + text.lower().strip("!?.,;:*&%$#|\"'()")[-3:])
-        self.known[word] = found
-        return found
+        return _bucket("shape " + _shape(text)) * BUCKETS + _bucket("end " + text.lower().strip("!?.,;:*&%$#|\"'()")[-3:])
 
-    def of(self, text: bytes):
-        """(buckets, values) of a text; the bias (bucket 0) first."""
+    def of(self, words: list[bytes], text: bytes):
+        """(buckets, values) of a text and its words; the bias (bucket 0) first."""
         import numpy as np
 
-        words, known = text.split(), self.known
-        n = len(words)
+        n, known = len(words), self.known
         if not n:
             return np.array([0]), np.array([1.0])
-        pairs = [known.get(w) or self._word(w) for w in words]
-        flat = np.array(pairs, dtype=np.int64).ravel()
-        buckets, counts = np.unique(flat, return_counts=True)
+        distinct = set(words)
+        new = distinct.difference(known)
+        if new:
+            if len(known) + len(new) > self.max_words:
+                known.clear()
+                new = distinct
+            known.update((w, self._word(w)) for w in new)
+        codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=n)
+        buckets, counts = np.unique(np.concatenate([codes // BUCKETS, codes % BUCKETS]), return_counts=True)
         same = sum(map(bytes.__eq__, words, words[1:])) / n
         lines = [x for x in text.split(b"\n") if x.strip()]
-        whole = [(0, 1.0), (1, min(1.0, 4 * same)), (2, 1.0 - len(set(words)) / n), (3, 1.0 - len(set(lines)) / len(lines))]
+        whole = [(0, 1.0), (1, min(1.0, 4 * same)), (2, 1.0 - len(distinct) / n), (3, 1.0 - len(set(lines)) / len(lines))]
         return np.concatenate([[b for b, _ in whole], buckets]), np.concatenate([[v for _, v in whole], np.sqrt(counts / n)])
 
 
@@ -116,7 +118,7 @@ def classify(docs: DataFrame, *, train_docs: int = 8192, threshold: float = 0.5,
 
             features = Features()
             for batch in batches:
-                found = [features.of(t or b"") for t in batch.column(0).to_pylist()]
+                found = [features.of((t or b"").split(), t or b"") for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), batch.column(1)], names=["b", "v", "votes"])
 
         got = sample.mapInArrow(extract, "b array<int>, v array<float>, votes array<int>").toArrow()
@@ -131,8 +133,10 @@ def classify(docs: DataFrame, *, train_docs: int = 8192, threshold: float = 0.5,
         for batch in batches:
             scores, n = [], []
             for text in batch.column(1).to_pylist():
-                b, v = features.of(text or b"")
-                n.append(len((text or b"").split()))
+                text = text or b""
+                words = text.split()
+                b, v = features.of(words, text)
+                n.append(len(words))
                 scores.append(float(1 / (1 + np.exp(-np.clip((weights[b] * v).sum(), -40, 40)))))
             kept = [s >= threshold and k > 0 for s, k in zip(scores, n, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())], names=["doc_id", "n_words", "score", "kept"])
