@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,6 @@ def drop_subsets(chains: DataFrame) -> DataFrame:
 
 def similar(left: DataFrame, right: DataFrame, key: str, text_l: str, text_r: str, least: float = 0.5) -> DataFrame:
     """Rows of an equality join with the ratio of matching characters (difflib's, which is not symmetric) of two texts."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
