@@ -51,6 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, en
                         for into, value in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
                             into.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(rows, types, strict=True)], names=names)
+        enc.rest()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 

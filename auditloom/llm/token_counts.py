@@ -113,5 +113,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, id_
                 chunks.append(n)
                 wider.append(m)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(types[0]), *(pa.array(x, y) for x, y in zip((sizes, tokens, [t > limit for t in tokens], chunks, wider), types[1:], strict=True))], names=names)
+        enc.rest()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

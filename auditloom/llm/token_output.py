@@ -124,6 +124,7 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, *, row_tokens: int = 40
                 group = [zlib.crc32(x[3][:256], zlib.crc32(f"{x[0]}-{x[1]}".encode())) % n_groups for x in pieces]
                 columns = [*zip(*pieces, strict=True), group]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["doc_id", "piece", "start", "ids", "grp"])
+        enc.rest()
 
     def pack(key, table):
         import pyarrow as pa

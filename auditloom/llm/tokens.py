@@ -13,6 +13,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 from struct import pack
 
 #: The pre-token pattern of the vocabulary, and the same for lower-case words of Latin-1 characters.
@@ -49,10 +50,11 @@ class WordEncoder:
 
     Texts of Latin-1 characters go the short way: lower-cased and parted by Python, and cut into the
     vocabulary's own pre-tokens, of which each is encoded by the library once. Every other text goes by
-    its unchanged words. ``max_words`` bounds each of the three dictionaries (they are cleared when full).
+    its unchanged words. ``max_words`` bounds each of the three dictionaries. A full one goes back to its oldest fifth, which
+    holds the common words; ``rest``, at the end of a task, does the same, since an idle worker keeps its memory.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,6 +86,20 @@ class WordEncoder:
             return [self._words(t.encode()) for t in texts]
         return [self._latin(t) for t in texts]
 
+    def _trim(self, known: dict) -> None:
+        oldest = list(islice(known.items(), self.max_words // 5))
+        known.clear()
+        known.update(oldest)
+
+    def rest(self) -> None:
+        """Gives back most of the dictionaries' memory."""
+        for known in (self.raw, self.lower, self.parts):
+            if len(known) > self.max_words // 5:
+                self._trim(known)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+
     def _latin(self, text: str) -> bytes:
         if not text.isascii():
             try:
@@ -102,14 +118,14 @@ class WordEncoder:
             pass
         new = set(words).difference(known)
         if len(known) + len(new) > self.max_words:
-            known.clear()
-            new = set(words)
+            self._trim(known)
+            new = set(words).difference(known)
         cut = {w: LATIN_PARTS.findall(w) for w in new}
         parts = self.parts
         unseen = {p for ps in cut.values() for p in ps if p not in parts}
         if len(parts) + len(unseen) > self.max_words:
-            parts.clear()
-            unseen = {p for ps in cut.values() for p in ps}
+            self._trim(parts)
+            unseen = {p for ps in cut.values() for p in ps if p not in parts}
         if unseen:
             model, table = self.tokenizer.model, BYTE_LETTERS
             for p in unseen:  # a pre-token: what is left to do is the library's byte-level spelling and its merges
@@ -123,8 +139,8 @@ class WordEncoder:
         words, known = text.split(), self.raw  # bytes.split() parts at exactly the six ASCII white-space bytes
         new = list(set(words).difference(known))
         if len(known) + len(new) > self.max_words:
-            known.clear()
-            new = list(set(words))
+            self._trim(known)
+            new = list(set(words).difference(known))
         if new:
             known.update(zip(new, self.library([w.decode("utf-8") for w in new]), strict=True))
         return b"".join(map(known.__getitem__, words))

@@ -83,13 +83,13 @@ def check_packed(rows, docs, enc, capacity):
     return len(bins)
 
 
-@pytest.mark.parametrize("group_rows", [8, 4096])
-def test_packing_places_every_piece_once(spark, docs, enc, group_rows):
+@pytest.mark.parametrize(("group_rows", "spare"), [(8, 0.03), (4096, 0.0)])  # groups of 8 make many rounds, and certify bins that 4096 would fill better
+def test_packing_places_every_piece_once(spark, docs, enc, group_rows, spare):
     capacity = 512
     rows = packing.pack(packing.cut_pieces(docs, tokenizer_path(), capacity=capacity), capacity=capacity, group_rows=group_rows).collect()
     n = check_packed(rows, docs.collect(), enc, capacity)
     bound = packing.lower_bound([r.length for r in rows], capacity)
-    assert bound <= n <= bound + 2
+    assert bound <= n <= bound * (1 + spare) + 1
     assert packing.pack(packing.cut_pieces(docs.limit(0), tokenizer_path())).count() == 0
 
 
