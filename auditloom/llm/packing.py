@@ -8,8 +8,8 @@ go into the exchange, since only other groups can fill that one. A group with a
 all other documents. The next round deals what was exchanged into fewer, mixed groups and packs them again, until
 one group holds it all or the exchange no longer shrinks; that last round is final.
 
-Only lengths and checksums travel, never ids or texts: a shuffle of about 40 bytes a piece for each round,
-with every round smaller than the one before. A task holds one group (``group_rows`` pieces at most in the
+While packing, only lengths and checksums travel, never ids or texts: a shuffle of about 40 bytes a piece for each round,
+with every round smaller than the one before. ``sequences`` then joins the placements to the ids, which were written once: two shuffles of the ids. A task holds one group (``group_rows`` pieces at most in the
 mean, by a hash of piece and position, so a hot document or source spreads over all groups).
 
 Cases: a null or empty text is one piece of one id (the end id); null and repeated ids are kept, each row its own
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
+SEQUENCES = "sequence_id long, n_tokens int, id_bytes int, ids binary, pieces array<struct<doc_id:long,piece:int,start:long,length:long,offset:long>>"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -122,7 +123,14 @@ def _settle(lengths: list[int], capacity: int, last: bool) -> tuple[list[list[in
     return bins, [k != emptiest or filled[k] == capacity for k in range(len(bins))], bound
 
 
+def _carried(pieces: DataFrame) -> list[str]:
+    """The columns of pieces that packing takes along: PIECES and, where there is one, the row key."""
+    return [x.split()[0] for x in PIECES.split(", ")] + ["row"] * ("row" in pieces.columns)
+
+
 def _round(pieces: DataFrame, groups: int, turn: int, capacity: int, last: bool) -> DataFrame:
+    names = _carried(pieces)
+
     def run(key, table):
         import pyarrow as pa
 
@@ -137,22 +145,22 @@ def _round(pieces: DataFrame, groups: int, turn: int, capacity: int, last: bool)
                 seq.append(base + k if final[k] else None)
                 off.append(at if final[k] else None)
                 at += lengths[i]
-        out = table.take(pa.array(rows, pa.int64())).select([x.split()[0] for x in PIECES.split(", ")])
+        out = table.take(pa.array(rows, pa.int64())).select(names)
         for name, values in (("sequence_id", seq), ("offset", off), ("group_bins", [len(bins)] * len(rows)), ("group_bound", [bound] * len(rows))):
             out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
     group = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start", "length", "ids_crc32"), F.lit(groups)).cast("long")
-    return pieces.withColumn("grp", group).groupBy("grp").applyInArrow(run, f"{PACKED}, group_bins long, group_bound long")
+    return pieces.withColumn("grp", group).groupBy("grp").applyInArrow(run, f"{PIECES}{', row long' * ('row' in names)}, sequence_id long, offset long, group_bins long, group_bound long")
 
 
 def pack(pieces: DataFrame, *, capacity: int = 4096, group_rows: int = 4096, max_rounds: int = 12) -> DataFrame:
-    """PIECES rows to PACKED rows: sequence_id and offset (gapless from 0 in each sequence).
+    """PIECES rows to PACKED rows: sequence_id and offset (gapless from 0 in each sequence). A column ``row`` is taken along.
 
     ``group_rows`` is the mean number of pieces a task packs at once. After ``max_rounds``, or once a round exchanges
     over nine tenths of what it got, a round is final whatever its gaps: every piece is placed.
     """
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    names = _carried(pieces)
     pieces = cut(pieces.select(*names))
     whole = pieces.where(F.col("length") == capacity)
     out = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -170,3 +178,58 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, group_rows: int = 4096, max
         rest = packed.where(F.col("sequence_id").isNull()).select(*names)
         n, before = rest.count(), n
     return out
+
+
+def _recoded(rows: DataFrame, name: str, was: int, now: int) -> DataFrame:
+    """``rows`` with the ids of a binary column written in ``now`` bytes each, not ``was``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            k = batch.schema.get_field_index(name)
+            column = [np.frombuffer(x, dtype=f"<u{was}").astype(f"<u{now}").tobytes() for x in batch.column(k).to_pylist()]
+            yield batch.set_column(k, batch.schema.field(k), pa.array(column, pa.binary()))
+
+    return rows if was == now else rows.mapInArrow(run, rows.schema)
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, group_rows: int = 4096) -> DataFrame:
+    """The packed sequences: SEQUENCES rows, each of up to ``capacity`` ids (little-endian, ``id_bytes`` each: 2 where the vocabulary allows it, else 4)
+    with its pieces in order.
+
+    The pieces are written once with their ids and a row key; packing sees the key and the length, and its placements go back to the ids by the key.
+    """
+    id_bytes = 2 if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    cut_up = cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, with_ids=True)
+    rows, _ = written(_recoded(cut_up, "ids", 4, id_bytes).withColumn("row", F.monotonically_increasing_id()))
+    placed = cut(pack(rows.drop("ids"), capacity=capacity, group_rows=group_rows).select("row", "sequence_id", "offset"))
+    piece = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    whole = rows.join(placed, "row").groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    ids = F.aggregate("p.ids", F.lit(b""), lambda a, b: F.concat(a, b))
+    places = F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("doc_id", "piece", "start", "length", "offset")]))
+    n_tokens = F.aggregate("p.length", F.lit(0).cast("long"), lambda a, b: a + b).cast("int")
+    return whole.select("sequence_id", n_tokens.alias("n_tokens"), F.lit(id_bytes).alias("id_bytes"), ids.alias("ids"), places.alias("pieces"))
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """SEQUENCES rows to PACKED rows: a row a piece, its checksum (of its ids as uint32) taken from the sequence's ids."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                ids = np.frombuffer(r["ids"], dtype=f"<u{r['id_bytes']}").astype("<u4")
+                for p in r["pieces"]:
+                    part = ids[p["offset"] : p["offset"] + p["length"]]
+                    rows.append((p["doc_id"], p["piece"], p["start"], p["length"], zlib.crc32(part.tobytes()), r["sequence_id"], p["offset"]))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, types, strict=True)], names=names)
+
+    return packed.mapInArrow(run, PACKED)

@@ -57,8 +57,7 @@ def op9_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
-    return packing.pack(pieces, capacity=4096)
+    return packing.digests(packing.sequences(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,6 +93,24 @@ def test_packing_places_every_piece_once(spark, docs, enc, group_rows, spare):
     assert packing.pack(packing.cut_pieces(docs.limit(0), tokenizer_path())).count() == 0
 
 
+def test_sequences_hold_the_ids_of_every_piece(spark, docs, enc):
+    capacity = 512
+    packed = packing.sequences(docs, tokenizer_path(), capacity=capacity, group_rows=8)
+    rows, found = packed.collect(), []
+    for r in rows:
+        ids = np.frombuffer(bytes(r.ids), dtype=f"<u{r.id_bytes}").tolist()
+        assert len(ids) == r.n_tokens == sum(p.length for p in r.pieces) <= capacity
+        found += [(p.doc_id, p.piece, p.start, ids[p.offset : p.offset + p.length]) for p in r.pieces]
+    want = []
+    for d in docs.collect():
+        ids = whole_ids(enc, d.text)
+        want += [(d.doc_id, k, at, ids[at : at + capacity]) for k, at in enumerate(range(0, len(ids), capacity))]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    assert check_packed(packing.digests(packed).collect(), docs.collect(), enc, capacity) == len(rows)
+    assert packing.sequences(docs.limit(0), tokenizer_path()).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=9))
 def test_lower_bound_never_exceeds_the_optimum(lengths):
