@@ -27,15 +27,20 @@ MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur"]
 NEUTRAL = ["Dr", "Prof"]
 SECRET_WORDS = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
 
+#: Lower-case words within a family name.
+PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|los|las|zu|zur|bin|ibn|al"
+
+#: A capitalised word, initials with their dots, or an initial without one before another capitalised word.
+_NAME_WORD = r"(?:(?:\p{Lu}\.-?)++|\p{Lu}[\p{L}'-]++|\p{Lu}(?= \p{Lu}))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])",
-    "secret": rf"(?i:(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS})\s{{0,3}}[:=]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,512}})",
+    "secret": rf"(?i:(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS})\s{{0,3}}[:=]\s{{0,3}})(?:\"[^\"\r\n]{{8,}}+(?=\")|'[^'\r\n]{{8,}}+(?=')|[\"']?[^\s\"']{{7,}}[^\s\"'.,;:!?)\]}}])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? {_NAME_WORD}(?:(?: (?:{PARTICLES})){{0,3}} {_NAME_WORD})*+(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ABC = "abcdefghijklmnopqrstuvwxyz"
@@ -88,7 +93,7 @@ def canonical(kind: Column, m: Column) -> Column:
         .when(kind == "email", F.lower(m))
         .when(kind == "ipv4", m)
         .when(kind == "phone", F.concat(_country(m), F.lit("-"), national))
-        .when(kind == "name", F.concat(gender, F.lit(" "), F.lower(F.regexp_replace(m, _NAME_HEAD, ""))))
+        .when(kind == "name", F.concat(gender, F.lit(" "), F.lower(F.trim(F.regexp_replace(F.regexp_replace(m, _NAME_HEAD, ""), r"\.-? *", " ")))))
         .otherwise(_digits(m))
     )
 
@@ -113,7 +118,7 @@ def _spelled(text: Column, h: Column, shift: int = 0) -> Column:
             .when(c.rlike("^[a-z]$"), _pick("bcdfghjklmnpqrstvwxz", n))
             .when(c.rlike(r"^\p{IsCyrillic}$"), _pick(_CYRILLIC, n))
             .when(c.rlike(r"^\p{IsGreek}$"), _pick(_GREEK, n))
-            .when(c.rlike(r"^\p{IsLatin}$"), _pick(_ABC, n))
+            .when(c.rlike(r"^\p{L}$"), _pick(_ABC, n))
             .otherwise(c),
         )
 
@@ -142,14 +147,16 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         gender, whole = F.substr(canon, F.lit(1), F.lit(1)), F.substr(canon, F.lit(3))
         # Each word has its own hash, so a family name keeps its surrogate with or without a given name before it.
         word = lambda w: F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), w, attempt.cast("string"), F.lit(str(k))), 256) for k in range(4)])
-        family, given = F.substring_index(whole, " ", -1), F.when(whole.contains(" "), F.substring_index(whole, " ", 1))
+        parts = F.split(whole, " ")
+        given = F.when(whole.contains(" "), F.substring_index(whole, " ", 1))
         end = F.when(given.rlike(r"\p{IsCyrillic}$"), F.when(gender == "f", "а").when(gender == "m", "н").otherwise("")).when(given.rlike(r"\p{IsGreek}$"), F.when(gender == "f", "α").when(gender == "m", "ς").otherwise("")).otherwise(F.when(gender == "f", "a").when(gender == "m", "o").otherwise(""))
         spelled = lambda w: let(word(w), lambda wh: F.concat(_spelled(w, wh), longer(wh)))
-        first = F.when(end == "", spelled(given)).otherwise(F.concat(F.regexp_replace(spelled(given), ".$", ""), end))
-        name = F.concat(gender, F.lit(" "), F.coalesce(F.concat(first, F.lit(" ")), F.lit("")), spelled(family))
+        first = F.when((end == "") | (F.length(given) == 1), spelled(given)).otherwise(F.concat(F.regexp_replace(spelled(given), ".$", ""), end))
+        name = F.concat(gender, F.lit(" "), F.array_join(F.transform(parts, lambda w, i: F.when((i == 0) & given.isNotNull(), first).otherwise(spelled(w))), " "))
         hexed = F.array_join(F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("^[0-9]$"), _pick("0123456789", _byte(h, i))).otherwise(_pick("abcdef", _byte(h, i)))), "")
         cased = F.array_join(F.zip_with(F.split(canon, ""), F.split(_spelled(F.lower(canon), h), ""), lambda c, s: F.when(c.rlike("^[A-Z]$"), F.upper(s)).otherwise(s)), "")
-        secret = F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(cased)
+        signed = F.array_join(F.transform(F.split(cased, ""), lambda c, i: F.when(c.rlike(r"^[^\p{L}\p{N}\s._-]$"), _pick("!#$%&*+/=?@^~", _byte(h, i + 7))).otherwise(c)), "")
+        secret = F.concat(F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(signed), longer(h))
         return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "name", name).otherwise(secret)
 
     return let(hashed, of)
@@ -167,6 +174,7 @@ def rendered(kind: Column, m: Column, s: Column) -> Column:
     name = F.substr(s, F.lit(3))
     bare = F.regexp_replace(m, _NAME_HEAD, "")
     name = F.when(bare == F.upper(bare), F.upper(name)).otherwise(F.initcap(name))
+    name = F.when(bare.contains("."), F.regexp_replace(name, r"(?<!\p{L})(\p{L})(?= |$)", "$1.")).otherwise(name)
     return (
         F.when(kind == "secret", F.concat(F.regexp_extract(m, _SECRET_HEAD, 1), s))
         .when(kind == "name", F.concat(F.regexp_extract(m, _NAME_HEAD, 1), name))

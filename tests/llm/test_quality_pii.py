@@ -114,6 +114,26 @@ def test_surrogates(spark):
     assert rows.columns == docs.columns and {r.n_replaced for r in rows.collect()} == {1}
 
 
+def test_entities_are_replaced_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    long = "Ab3" * 700
+    texts = [
+        (1, f'token = "{jwt}" and token={jwt}, end'), (2, f"secret: {long}\nnext"), (3, "password: P@ssw0rd123 stays; password = 'correct horse battery'"),
+        (4, "Mrs Maria Garcia Lopez met Mr J. Smith, Mr Smith, Dr J.R.R. Tolkien and Frau Anna von der Heide. The end"), (5, "password = ******** and token: --------x"), (6, "Mr J Smith"),
+    ]
+    text = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    a, b = re.fullmatch(r'token = "(\S+)" and token=(\S+), end', text[1]).groups()
+    assert a == b and [len(x) for x in a.split(".")] == [len(x) for x in jwt.split(".")] and not set(a.split(".")) & set(jwt.split("."))
+    found = re.fullmatch(r"secret: (\w{2100})\nnext", text[2])[1]
+    assert not any(x == y for x, y in zip(re.findall("Ab3" * 8, found), itertools.repeat("Ab3" * 8)))
+    one, two = re.fullmatch(r"password: (\S{11}) stays; password = '(.{21})'", text[3]).groups()
+    assert not re.search("P@|ssw|rd123", one) and not re.search("correct|horse|battery", two)
+    names = re.fullmatch(r"Mrs (\w+a) (\w+) (\w+) met Mr (\w)\. (\w+), Mr (\w+), Dr (\w)\. (\w)\. (\w)\. (\w+) and Frau (\w+a) (\w+ \w+ \w+)\. The end", text[4])
+    assert names and names[5] == names[6] and not re.search("Maria|Garcia|Lopez|Smith|Tolkien|Anna|Heide", text[4])
+    assert text[6] == f"Mr {names[4]} {names[5]}"
+    assert "********" not in text[5] and not text[5].endswith("--------x")
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # Two-letter local parts at one domain: 5 vowels or 20 consonants a place, so first draws collide.
     names = ["".join(p) for p in itertools.product("bcdfgh", "bcdfghjk")]
