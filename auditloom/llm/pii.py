@@ -79,8 +79,13 @@ _SECRET_HEAD = rf"^((?i:{SECRET_WORDS})\s*[:=]\s*[\"']?)"
 _NAME_HEAD = rf"^((?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? )"
 
 
+#: E.164 country codes of one and two digits; all others have three.
+_CODE = r"^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+
+
 def _country(m: Column) -> Column:
-    return F.when(m.startswith("+"), F.when(m.rlike(r"^\+\d{1,3}[ .(-]"), F.regexp_extract(m, r"^\+(\d{1,3})", 1)).otherwise("")).otherwise("1")
+    """The country code by the fixed table, so with and without separators alike; numbers without + are of country 1."""
+    return F.when(m.startswith("+"), F.regexp_extract(_digits(m), _CODE, 1)).otherwise("1")
 
 
 def canonical(kind: Column, m: Column) -> Column:

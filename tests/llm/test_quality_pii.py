@@ -134,6 +134,17 @@ def test_entities_are_replaced_whole(spark):
     assert "********" not in text[5] and not text[5].endswith("--------x")
 
 
+def test_phone_spellings_share_a_surrogate(spark):
+    same = ["+17435553824", "+1 743 555 3824", "(743) 555-3824", "743-555-3824", "+1 (743) 555-3824"]
+    abroad = ["+442079460958", "+44 20 7946 0958", "+44-20-7946-0958"], ["+353861234567", "+353 86 123 4567"], ["+79161234567", "+7 916 123 4567"], ["+8801712345678", "+880 1712 345 678"]
+    for code, spelled in [("1", same), *zip(("44", "353", "7", "880"), abroad, strict=True)]:
+        docs = spark.createDataFrame([(k, f"call {n} now") for k, n in enumerate(spelled)], "doc_id long, text string")
+        out = [r.text for r in pii.replace(docs).orderBy("doc_id").collect()]
+        digits = [re.sub(r"\D", "", t) for t in out]
+        whole = [d if "+" in t else code + d for d, t in zip(digits, out, strict=True)]
+        assert len(set(whole)) == 1 and whole[0].startswith(code) and whole[0] != re.sub(r"\D", "", spelled[0])
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # Two-letter local parts at one domain: 5 vowels or 20 consonants a place, so first draws collide.
     names = ["".join(p) for p in itertools.product("bcdfgh", "bcdfghjk")]
