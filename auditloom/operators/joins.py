@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,15 +65,43 @@ def drop_subsets(chains: DataFrame) -> DataFrame:
     return chains.join(covered, "chain_key", "left_anti")
 
 
-def similar(left: DataFrame, right: DataFrame, key: str, text_l: str, text_r: str, least: float = 0.5) -> DataFrame:
-    """Rows of an equality join with the ratio of matching characters (difflib's, which is not symmetric) of two texts."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+def similar_before(rows: DataFrame, group: str, key: str, text: str, least: float = 0.5, latest: int = 20, chunk_rows: int = 1000) -> DataFrame:
+    """(key, parent, similarity): each row against those of the ``latest`` keys before its own in its group, by difflib's ratio of the whole texts.
 
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    A group's keys are numbered on narrow rows and dealt into chunks, each with the ``latest`` rows before it, so a hot group is many tasks and
+    a text travels once (twice at a chunk's end). Rows without key or text take no part; rows of one key aren't compared with each other.
+    """
+    used = rows.where(F.col(key).isNotNull() & (F.coalesce(text, F.lit("")) != "")).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    number = F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1
+    numbered = used.select("g", "k").distinct().withColumn("n", number).select(F.col("g").alias("g2"), F.col("k").alias("k2"), "n")
+    own = F.floor(F.col("n") / chunk_rows).cast("long")
+    chunks = F.sequence(own, F.floor((F.col("n") + latest) / chunk_rows).cast("long"))
+    dealt = used.join(numbered, F.col("g").eqNullSafe(F.col("g2")) & (F.col("k") == F.col("k2"))).select("g", "k", "t", "n", own.alias("own"), F.explode(chunks).alias("chunk"))
+
+    def run(batches: Iterator) -> Iterator:
+        from difflib import SequenceMatcher
 
-    return left.join(right, key).withColumn("similarity", ratio(F.col(text_l), F.col(text_r))).where(F.col("similarity") >= least)
+        import pyarrow as pa
+
+        held: list[tuple] = []
+        place = None
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for g, k, t, n, own, chunk in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (g, chunk) != place:
+                    held, place = [], (g, chunk)
+                held = [h for h in held if h[0] >= n - latest]
+                if own == chunk:
+                    for m, parent, other in held:
+                        matcher = SequenceMatcher(None, t, other)
+                        if m < n and matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (ratio := matcher.ratio()) >= least:
+                            for into, value in zip(out, (k, parent, ratio), strict=True):
+                                into.append(value)
+                held.append((n, k, t))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["k", "parent", "similarity"])
+
+    found = dealt.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "n").mapInArrow(run, "k long, parent long, similarity double")
+    return found.withColumnRenamed("k", key)
 
 
 def upsert(target: DataFrame, updates: DataFrame, by: list[str], version: str) -> DataFrame:

@@ -110,10 +110,9 @@ def mutation_exact_parents(spark, d):
 
 @query(None)
 def mutation_similar_parents(spark, d):
-    """Benchmark items against conversation turns of the same first letters, by matching characters; SQL has no such ratio."""
-    left = R.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 400).alias("item"), F.lower(F.substring("text", 1, 3)).alias("k"))
-    right = R.table(spark, d, "benchmark").select(F.col("item_id").alias("parent_id"), F.substring("text", 1, 400).alias("parent"), F.lower(F.substring("text", 1, 3)).alias("k"))
-    return joins.similar(left, right, "k", "item", "parent", 0.5).select("item_id", "parent_id", F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= 0.95).alias("recurrence"))
+    """Documents against the 20 before them in their source, by matching characters of the whole texts; SQL has no such ratio."""
+    found = joins.similar_before(R.table(spark, d, "documents"), "source", "doc_id", "text", 0.5)
+    return found.select("doc_id", F.col("parent").alias("parent_id"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= 0.95).alias("recurrence"))
 
 
 @query("""SELECT s_suppkey, s_name, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING') > 0 AS reachable FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
