@@ -32,12 +32,14 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 SEQUENCES = "sequence_id long, n_tokens int, id_bytes int, ids binary, pieces array<struct<doc_id:long,piece:int,start:long,length:long,offset:long>>"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and the ids as little-endian uint32 bytes)."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, id_bytes: int = 4) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and the ids, little-endian, ``id_bytes`` each; the checksum is that of four bytes each)."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        narrow = (lambda part: part) if id_bytes == 4 else (lambda part: np.frombuffer(part, "<u4").astype(f"<u{id_bytes}").tobytes())
         enc, end, step = encoder(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
@@ -49,7 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, en
                     ids = enc.encode([text or ""])[0] + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
-                        for into, value in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
+                        for into, value in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), narrow(part) if with_ids else b""), strict=False):
                             into.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(rows, types, strict=True)], names=names)
         enc.rest()
@@ -180,21 +182,6 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, group_rows: int = 4096, max
     return out
 
 
-def _recoded(rows: DataFrame, name: str, was: int, now: int) -> DataFrame:
-    """``rows`` with the ids of a binary column written in ``now`` bytes each, not ``was``."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            k = batch.schema.get_field_index(name)
-            column = [np.frombuffer(x, dtype=f"<u{was}").astype(f"<u{now}").tobytes() for x in batch.column(k).to_pylist()]
-            yield batch.set_column(k, batch.schema.field(k), pa.array(column, pa.binary()))
-
-    return rows if was == now else rows.mapInArrow(run, rows.schema)
-
-
 def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, group_rows: int = 4096) -> DataFrame:
     """The packed sequences: SEQUENCES rows, each of up to ``capacity`` ids (little-endian, ``id_bytes`` each: 2 where the vocabulary allows it, else 4)
     with its pieces in order.
@@ -202,8 +189,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end
     The pieces are written once with their ids and a row key; packing sees the key and the length, and its placements go back to the ids by the key.
     """
     id_bytes = 2 if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    cut_up = cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, with_ids=True)
-    rows, _ = written(_recoded(cut_up, "ids", 4, id_bytes).withColumn("row", F.monotonically_increasing_id()))
+    cut_up = cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, with_ids=True, id_bytes=id_bytes)
+    rows, _ = written(cut_up.withColumn("row", F.monotonically_increasing_id()))
     placed = cut(pack(rows.drop("ids"), capacity=capacity, group_rows=group_rows).select("row", "sequence_id", "offset"))
     piece = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     whole = rows.join(placed, "row").groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
