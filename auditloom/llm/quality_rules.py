@@ -8,12 +8,15 @@ rules fail it outright.
 
 The documents meet only in one aggregation, the number of documents for each combination of votes: at most 3**9 = 19683
 rows whatever the corpus, pre-aggregated before its shuffle. EM runs on those counts (``fit``) and gives a few
-logarithms that go back into a column expression (``judged``). All measures of a document are taken within its row, so no
+logarithms that go back into a column expression (``judged``). One prior makes two classes of EM mean good and bad: a rule rejects ``FALSE_REJECTS`` of the
+good documents at most. It holds for *trusted* rules only, those that reject few documents alone (``MAX_ALONE``); a rule that often rejects what all other rules keep
+has no such bound, EM finds its rejects to be no sign of badness, and the others outvote it. All measures of a document are taken within its row, so no
 group of documents meets in a task. Repeated 8-word windows cost one sort of hashes a text; equal hashes are verified
 word by word, so collisions don't count.
 
 Cases: a null or empty text has no words and fails the base rules; null or repeated ids are kept, row by row; an empty
-table gives an empty result (EM then stays at its priors); columns of ``docs`` named like an output are replaced by it.
+table gives an empty result (EM then stays at its priors); columns of ``docs`` named like an output are replaced by it. Very long texts are measured whole, by one
+sort of a long a window; a window's place has 30 bits, so a text may have 2**30 words, more than a text of Spark's (2**31 bytes) has of the length of two.
 """
 
 from __future__ import annotations
@@ -47,9 +50,11 @@ OUTPUT = [*MEASURES, "base_failed", "posterior", "kept"]
 #: Pseudo-documents of the priors, and the prior votes (keep, abstain, reject) of a rule on good and on bad documents.
 PRIOR_DOCS, PRIOR_GOOD = 20.0, 0.9
 PRIOR_VOTES = {True: (0.949, 0.05, 0.001), False: (0.75, 0.05, 0.2)}
-#: A bound on what EM may believe: no rule rejects more than this share of the good documents. Without it a kind of badness that no
+#: A bound on what EM may believe: no trusted rule rejects more than this share of the good documents. Without it a kind of badness that no
 #: second rule confirms drifts into the good class as EM goes on, since nothing else sets it apart.
 FALSE_REJECTS = 0.002
+#: A rule that alone rejects more than this share of the documents isn't trusted: badness that common would show in some other rule too.
+MAX_ALONE = 0.05
 ITERATIONS = 20
 
 
@@ -112,6 +117,7 @@ class Model:
     """Share of good documents; for each rule and class the probabilities of the votes (1, 0, -1)."""
 
     good: float = PRIOR_GOOD
+    trusted: tuple[bool, ...] = (True,) * len(RULES)
     votes: list[dict[bool, tuple[float, float, float]]] = field(default_factory=lambda: [dict(PRIOR_VOTES) for _ in RULES])
 
     def weight(self, rule: int, vote: int) -> float:
@@ -132,11 +138,18 @@ class Model:
         return out
 
 
+def trusted(counts: dict[tuple[int, ...], int]) -> tuple[bool, ...]:
+    """Whether each rule rejects few documents alone."""
+    total = sum(counts.values())
+    alone = [sum(n for votes, n in counts.items() if votes[j] == -1 and votes.count(-1) == 1) for j in range(len(RULES))]
+    return tuple(n <= MAX_ALONE * total for n in alone)
+
+
 def fit_counts(counts: dict[tuple[int, ...], int]) -> Model:
-    """EM from the start "good unless a rule rejects it"; ITERATIONS steps, maximum a posteriori."""
+    """EM from the start "good unless a trusted rule rejects it"; ITERATIONS steps, maximum a posteriori."""
     rows = sorted(counts.items())
-    good = [0.1 if -1 in votes else 0.9 for votes, _ in rows]
-    model = Model()
+    model = Model(trusted=trusted(counts))
+    good = [0.1 if any(v == -1 and sure for v, sure in zip(votes, model.trusted, strict=True)) else 0.9 for votes, _ in rows]
     prior = PRIOR_DOCS
     for _ in range(ITERATIONS):
         total = {True: sum(n * p for (_, n), p in zip(rows, good, strict=True)), False: sum(n * (1 - p) for (_, n), p in zip(rows, good, strict=True))}
@@ -147,15 +160,23 @@ def fit_counts(counts: dict[tuple[int, ...], int]) -> Model:
                     (sum(n * (p if cls else 1 - p) for (votes, n), p in zip(rows, good, strict=True) if votes[j] == v) + prior * PRIOR_VOTES[cls][1 - v]) / (total[cls] + prior) for v in (1, 0, -1)
                 )
             keep, abstain, reject = model.votes[j][True]
-            model.votes[j][True] = (keep, abstain, min(reject, FALSE_REJECTS))
+            model.votes[j][True] = (keep, abstain, min(reject, FALSE_REJECTS) if model.trusted[j] else reject)
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, model.log_odds(votes))))) for votes, _ in rows]
     return model
 
 
 def fit(measures: DataFrame) -> Model:
     """EM over all documents; what reaches the driver is a count for each combination of votes, 3**9 at most."""
-    rows = measures.where(~F.expr(BASE_FAILED)).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    return fit_counts({tuple(r["votes"]): r["n"] for r in rows})
+    # No filter on the measures: the optimizer would work them out once more in it, for each measure that it names.
+    rows = measures.groupBy("votes", F.expr(BASE_FAILED).alias("base_failed")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return fit_counts({tuple(r["votes"]): r["n"] for r in rows if not r["base_failed"]})
+
+
+def accuracy_table(spark, model: Model) -> DataFrame:
+    """rule, accuracy (probability that a vote it casts is right), false_rejects (share of the good documents it rejects), trusted: a row a rule."""
+    found = model.accuracies()
+    rows = [(name, found[name], model.votes[j][True][2], model.trusted[j]) for j, (name, _, _) in enumerate(RULES)]
+    return spark.createDataFrame(rows, "rule string, accuracy double, false_rejects double, trusted boolean")
 
 
 def judged(measures: DataFrame, model: Model) -> DataFrame:
@@ -171,7 +192,9 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with just its own columns (whatever their names)."""
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     measures = measured(boxed)
-    return judged(measures, fit(measures)).where("kept").select("__doc.*")
+    verdict = judged(measures, fit(measures)).select(F.struct("__doc", "kept").alias("r"))
+    # A plain filter on ``kept`` would be pushed below the projections, which inlines the whole measurement in it dozens of times.
+    return verdict.select(F.explode(F.filter(F.array("r"), lambda r: r["kept"])).alias("r")).select("r.__doc.*")
 
 
 def em_sql(measures: str) -> str:
@@ -180,7 +203,10 @@ def em_sql(measures: str) -> str:
     votes = ", ".join(f"CASE WHEN {reject} THEN -1 WHEN {keep} THEN 1 ELSE 0 END AS v{j}" for j, (_, reject, keep) in enumerate(RULES))
     vs = ", ".join(f"v{j}" for j in range(n))
     out = [f"voted AS MATERIALIZED (SELECT *, {votes} FROM {measures})", f"counts AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM voted WHERE NOT ({BASE_FAILED}) GROUP BY {vs})"]
-    out.append(f"post0 AS MATERIALIZED (SELECT *, CASE WHEN least({vs}) = -1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS p FROM counts)")
+    rejects = " + ".join(f"(v{j} = -1)::INT" for j in range(n))
+    alone = ", ".join(f"coalesce(sum(n) FILTER (WHERE v{j} = -1 AND {rejects} = 1), 0) <= {MAX_ALONE!r}::DOUBLE * coalesce(sum(n), 0) AS t{j}" for j in range(n))
+    out.append(f"trust AS MATERIALIZED (SELECT {alone} FROM counts)")
+    out.append(f"post0 AS MATERIALIZED (SELECT counts.*, CASE WHEN {' OR '.join(f'(v{j} = -1 AND t{j})' for j in range(n))} THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS p FROM counts, trust)")
 
     def weight(j: int, m: str) -> str:
         odds = {v: f"ln({m}.g{j}_{1 - v} / {m}.b{j}_{1 - v})" for v in (1, 0, -1)}
@@ -195,7 +221,7 @@ def em_sql(measures: str) -> str:
                 for v in (1, 0, -1):
                     vote = PRIOR_VOTES[cls == "g"][1 - v]
                     cell = f"(coalesce(sum(n * ({share})) FILTER (WHERE v{j} = {v}), 0) + {prior} * {vote!r}::DOUBLE) / (coalesce(sum(n * ({share})), 0) + {prior})"
-                    cells.append((f"least({cell}, {FALSE_REJECTS!r}::DOUBLE)" if cls == "g" and v == -1 else cell) + f" AS {cls}{j}_{1 - v}")
+                    cells.append((f"CASE WHEN (SELECT t{j} FROM trust) THEN least({cell}, {FALSE_REJECTS!r}::DOUBLE) ELSE {cell} END" if cls == "g" and v == -1 else cell) + f" AS {cls}{j}_{1 - v}")
         out.append(f"model{k} AS MATERIALIZED (SELECT (coalesce(sum(n * p), 0) + {prior} * {PRIOR_GOOD!r}::DOUBLE) / (coalesce(sum(n), 0) + {prior}) AS good, {', '.join(cells)} FROM post{k})")
         if k < ITERATIONS - 1:
             out.append(f"post{k + 1} AS MATERIALIZED (SELECT {vs}, n, 1 / (1 + exp(-greatest(-500, least(500, {odds('m')})))) AS p FROM post{k}, model{k} m)")

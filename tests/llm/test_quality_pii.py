@@ -68,6 +68,34 @@ def test_em_estimates_accuracies():
     assert abs(model.good - 0.8) < 0.03 and all(abs(v[False][2] - 0.6) < 0.06 for v in model.votes)
 
 
+def test_a_poor_rule_is_outvoted():
+    rng = random.Random(2)
+    n, counts, truth = len(quality_rules.RULES), {}, {}
+    for _ in range(4000):
+        good = rng.random() < 0.9
+        votes = [1] * n if good else [-1 if rng.random() < 0.7 else 1 for _ in range(n)]
+        votes[0] = -1 if rng.random() < 0.2 else 1  # rejects a fifth of all, whatever they are
+        counts[tuple(votes)] = counts.get(tuple(votes), 0) + 1
+        truth.setdefault(tuple(votes), []).append(good)
+    model = quality_rules.fit_counts(counts)
+    assert model.trusted == (False, *[True] * (n - 1))
+    alone = (-1, *[1] * (n - 1))
+    assert len(truth[alone]) > 500 and model.log_odds(alone) > 0 and model.log_odds((1, -1, -1, -1, *[1] * (n - 4))) < 0
+    assert 0.15 < model.votes[0][True][2] < 0.25 and model.accuracies()["symbols"] < min(v for k, v in model.accuracies().items() if k != "symbols")
+
+
+def test_measures_stay_once_in_the_plans(spark, docs):
+    def splits(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+    once = splits(quality_rules.measured(docs))
+    assert 0 < once <= 4 and splits(quality_rules.keep_good(docs)) <= once
+    m = quality_rules.measured(docs)
+    assert splits(m.groupBy("votes", F.expr(quality_rules.BASE_FAILED)).count()) <= 2 * once
+    table = quality_rules.accuracy_table(spark, quality_rules.fit(m)).collect()
+    assert len(table) == len(quality_rules.RULES) and all(0 < r.accuracy <= 1 for r in table)
+
+
 def test_classifier(spark, docs):
     got = {r.doc_id: r for r in classifier.classify(docs).collect()}
     assert all(got[k].kept for k in range(60)) and not any(got[k].kept for k in (*range(100, 108), 200, 201, 202))
