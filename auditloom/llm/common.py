@@ -67,6 +67,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of one number each that may be broadcast: 16 bytes a row in the executors' hash tables.
+BROADCAST_ROWS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """``keys`` (a written or checkpointed table of one number a row), marked for broadcast if its rows were counted to be ``BROADCAST_ROWS`` at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names an operator gives out (compared as Spark does: without case)."""
     taken = {n.lower() for n in names}
