@@ -6,11 +6,15 @@ in the kind's own terms: digits for digits, letters of the same script for lette
 a given name ending by the title's gender. The surrogate is then rendered in the format of the place it replaces (separators, country code, case). So equal entities
 get equal surrogates wherever and however they are written (coreference), and without the key none can be undone.
 
+A name is one person whatever the title: where "Dr. Anna Schmidt" is "Mrs. Anna Schmidt" elsewhere in the corpus, both get the surrogate of the gender that is known.
+No pattern bounds an entity's length, and groups repeat possessively, so matching is linear and needs no stack. Not detected: names without a title of the list, IPv6, IBAN, secrets of fewer than eight characters.
+
 Collision checks keep entities distinct: over all distinct entities of the corpus, surrogates that two entities share, or that are themselves a real entity of the
 corpus, are drawn again with the next attempt number, until none is left. What is shuffled is a row a distinct entity and partition, not texts. The few
-entities with an attempt over 0 go back to the texts that hold them by a join on the text's hash.
+entities with an attempt over 0, and the names of a known gender, go back to the texts that hold them by a join on the text's hash. Only a given name is drawn again where there is one, so
+a family name keeps its surrogate. Where a format has hardly more values than the corpus has entities (all SSNs, say), surrogates that still collide after ``MAX_ATTEMPTS`` draws stay shared.
 
-DataFrame functions only. A text is scanned once; only one with a match is parted and put together again. Cases: a null text stays null, an empty one empty; texts without entities are unchanged;
+DataFrame functions only. A text is scanned twice, for the entities and to replace them; only one with a match is parted and put together again. Very long texts are scanned whole, in linear time. Cases: a null text stays null, an empty one empty; texts without entities are unchanged;
 null and repeated ids and all other columns stay as they are; a column ``n_replaced`` or ``replaced_kinds`` of the input is replaced; an empty table gives an empty result.
 """
 
@@ -34,8 +38,8 @@ PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|los|las|zu|zur|bin|
 _NAME_WORD = r"(?:(?:\p{Lu}\.-?)++|\p{Lu}[\p{L}'-]++|\p{Lu}(?= \p{Lu}))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])",
-    "secret": rf"(?i:(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS})\s{{0,3}}[:=]\s{{0,3}})(?:\"[^\"\r\n]{{8,}}+(?=\")|'[^'\r\n]{{8,}}+(?=')|[\"']?[^\s\"']{{7,}}[^\s\"'.,;:!?)\]}}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.(?=[0-9-]*[A-Za-z]))++[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+",
+    "secret": rf"(?i:(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS})\s*+[:=]\s*+)(?:\"[^\"\r\n]{{8,}}+(?=\")|'[^'\r\n]{{8,}}+(?=')|[\"']?[^\s\"']{{7,}}[^\s\"'.,;:!?)\]}}])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
@@ -141,23 +145,24 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         dh = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain, F.lit(str(k))), 256) for k in range(4)])
         labels = F.regexp_replace(domain, r"\.[^.]*$", "")
         email = F.concat(_spelled(local, h), longer(h), F.lit("@"), let(dh, lambda d: _spelled(labels, d)), F.lit(".example"))
-        octet = lambda i: (_byte(h, F.lit(i)) * 256 + _byte(h, F.lit(i + 4))) % 254 + 1
+        octet = lambda i: F.when(attempt > 3, _byte(h, F.lit(i))).otherwise((_byte(h, F.lit(i)) * 256 + _byte(h, F.lit(i + 4))) % 254 + 1)
         private = canon.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|127\.)")
-        ipv4 = F.concat_ws(".", F.when(private, F.lit("10")).otherwise((octet(0) % 89 + 11).cast("string")), *[octet(i).cast("string") for i in (1, 2, 3)])
+        ipv4 = F.concat_ws(".", F.when(private, F.when((attempt > 3) & (_byte(h, F.lit(9)) % 2 == 1), "127").otherwise("10")).otherwise((octet(0) % 89 + 11).cast("string")), *[octet(i).cast("string") for i in (1, 2, 3)])
         body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _spelled(F.substr(canon, F.lit(2), F.length(canon) - 2), h))
         card = let(body, lambda b: F.concat(b, ((10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
         country, national = F.substring_index(canon, "-", 1), F.substring_index(canon, "-", -1)
         phone = F.concat(country, F.lit("-"), (_byte(h, F.lit(0)) % 8 + 2).cast("string"), _spelled(F.substr(national, F.lit(2)), h, 1))
-        ssn = F.concat(F.lit("9"), _spelled(F.substr(canon, F.lit(2)), h))
+        ssn = F.when(attempt > 3, _spelled(canon, h)).otherwise(F.concat(F.lit("9"), _spelled(F.substr(canon, F.lit(2)), h)))
         gender, whole = F.substr(canon, F.lit(1), F.lit(1)), F.substr(canon, F.lit(3))
-        # Each word has its own hash, so a family name keeps its surrogate with or without a given name before it.
-        word = lambda w: F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), w, attempt.cast("string"), F.lit(str(k))), 256) for k in range(4)])
+        # Each word has its own hash, so a family name keeps its surrogate with or without a given name before it; only a first word is drawn again.
+        word = lambda w, draw: F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), w, draw.cast("string"), F.lit(str(k))), 256) for k in range(4)])
         parts = F.split(whole, " ")
         given = F.when(whole.contains(" "), F.substring_index(whole, " ", 1))
         end = F.when(given.rlike(r"\p{IsCyrillic}$"), F.when(gender == "f", "а").when(gender == "m", "н").otherwise("")).when(given.rlike(r"\p{IsGreek}$"), F.when(gender == "f", "α").when(gender == "m", "ς").otherwise("")).otherwise(F.when(gender == "f", "a").when(gender == "m", "o").otherwise(""))
-        spelled = lambda w: let(word(w), lambda wh: F.concat(_spelled(w, wh), longer(wh)))
-        first = F.when((end == "") | (F.length(given) == 1), spelled(given)).otherwise(F.concat(F.regexp_replace(spelled(given), ".$", ""), end))
-        name = F.concat(gender, F.lit(" "), F.array_join(F.transform(parts, lambda w, i: F.when((i == 0) & given.isNotNull(), first).otherwise(spelled(w))), " "))
+        first = let(word(F.coalesce(given, whole), attempt), lambda wh: F.concat(_spelled(F.coalesce(given, whole), wh), longer(wh)))
+        first = F.when(given.isNull() | (end == "") | (F.length(given) == 1), first).otherwise(F.concat(F.regexp_replace(first, ".$", ""), end))
+        rest = lambda w: let(word(w, F.lit(0)), lambda wh: _spelled(w, wh))
+        name = F.concat(gender, F.lit(" "), F.array_join(F.transform(parts, lambda w, i: F.when(i == 0, first).otherwise(rest(w))), " "))
         hexed = F.array_join(F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("^[0-9]$"), _pick("0123456789", _byte(h, i))).otherwise(_pick("abcdef", _byte(h, i)))), "")
         cased = F.array_join(F.zip_with(F.split(canon, ""), F.split(_spelled(F.lower(canon), h), ""), lambda c, s: F.when(c.rlike("^[A-Z]$"), F.upper(s)).otherwise(s)), "")
         signed = F.array_join(F.transform(F.split(cased, ""), lambda c, i: F.when(c.rlike(r"^[^\p{L}\p{N}\s._-]$"), _pick("!#$%&*+/=?@^~", _byte(h, i + 7))).otherwise(c)), "")
@@ -194,39 +199,66 @@ def _found(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), entity)
 
 
-def attempts(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, canon, attempt) of the entities whose surrogate had to be drawn again."""
-    found = docs.select(F.explode(_found(F.col(text_col))).alias("e")).where(F.col("e.kind").isNotNull()).select("e.kind", "e.canon")
-    entities = cut(found.distinct())
-    drawn = entities.withColumn("attempt", F.lit(0))
+def held_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, kind, canon) of the entities of each text, h the text's hash; checkpointed, one scan of the texts."""
+    text = F.col(f"`{text_col}`")
+    found = docs.select(F.explode(_found(text)).alias("e"), F.sha2(text, 256).alias("h"))
+    return cut(found.where(F.col("e.kind").isNotNull()).select("h", "e.kind", "e.canon").distinct())
+
+
+def _shown(kind: Column, s: Column) -> Column:
+    """What two surrogates must differ in: all but the mark of gender that no place shows."""
+    return F.when(kind == "name", F.substr(s, F.lit(3))).otherwise(s)
+
+
+def changed(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, person, attempt) of the entities (kind, canon) whose surrogate had to be drawn again, or that are another canonical form's ``person``."""
+    named = entities.where(F.col("kind") == "name").select("kind", "canon", F.substr("canon", F.lit(3)).alias("words"), F.col("canon").startswith("n ").alias("neutral"))
+    known = named.where("not neutral").groupBy("words").agg(F.min("canon").alias("person"))
+    same = cut(named.where("neutral").join(known, "words").select("kind", "canon", "person"))
+    drawn = entities.join(same, ["kind", "canon"], "left_anti").withColumn("attempt", F.lit(0))
+    real = entities.select(F.col("kind").alias("k"), _shown(F.col("kind"), F.col("canon")).alias("real")).distinct()
     for _ in range(MAX_ATTEMPTS):
-        drawn = drawn.withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        drawn = drawn.withColumn("s", _shown(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
         rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "canon"))
-        real = entities.select(F.col("kind").alias("k"), F.col("canon").alias("real"))
         marked = drawn.withColumn("again", rank > 1).join(real, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("real")), "left")
         marked = cut(marked.select("kind", "canon", "attempt", (F.col("again") | F.col("real").isNotNull()).alias("again")))
         drawn = marked.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
         if not marked.where("again").limit(1).count():
-            return drawn.where("attempt > 0")
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
+            break
+    own = drawn.where("attempt > 0").select("kind", "canon", F.col("canon").alias("person"), "attempt")
+    others = same.join(own.select("person", "attempt"), "person", "left").select("kind", "canon", "person", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return own.unionByName(others)
+
+
+def attempts(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """:func:`changed` of all entities of the texts."""
+    return changed(held_entities(docs, text_col).select("kind", "canon").distinct(), key)
+
+
+#: Entries of texts' maps that may be broadcast: a hash and an entity each.
+BROADCAST_ENTRIES = 50_000
 
 
 def replace(docs: DataFrame, *, key: str = "auditloom", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col``, n_replaced (long) and replaced_kinds (array of kinds, in order of the text)."""
     docs = without(docs, "n_replaced", "replaced_kinds").withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     text = F.col(f"`{text_col}`")
-    again = cut(attempts(docs, key, text_col))
-    if again.limit(1).count():
-        held = docs.where(text.rlike(PATTERN)).select(F.sha2(text, 256).alias("__h"), F.explode(_found(text)).alias("e")).select("__h", "e.kind", "e.canon").distinct()
-        maps = held.join(again, ["kind", "canon"]).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__again"))
+    held = held_entities(docs, text_col)
+    again = held.join(cut(changed(cut(held.select("kind", "canon").distinct()), key)), ["kind", "canon"])
+    again = cut(again.select("h", F.concat_ws("|", "kind", "canon").alias("entity"), F.struct("person", "attempt").alias("use")))
+    entries = again.count()
+    if entries:
+        maps = again.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "use"))).alias("__again")).withColumnRenamed("h", "__h")
+        maps = F.broadcast(maps) if entries <= BROADCAST_ENTRIES else maps
         docs = docs.withColumn("__k", F.sha2(text, 256)).join(maps, F.col("__k") == F.col("__h"), "left").drop("__k", "__h")
-        attempt = lambda e: F.coalesce(F.element_at(F.col("__again"), F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
+        use = lambda e: F.element_at(F.col("__again"), F.concat_ws("|", e["kind"], e["canon"]))
     else:
-        docs = docs.withColumn("__again", F.lit(None).cast("map<string,int>"))
-        attempt = lambda e: F.lit(0)
+        docs = docs.withColumn("__again", F.lit(None).cast("map<string,struct<person:string,attempt:int>>"))
+        use = lambda e: F.lit(None).cast("struct<person:string,attempt:int>")
 
     def put(e: Column) -> Column:
-        return F.when(e["kind"].isNull(), e["match"]).otherwise(let(surrogate(e["kind"], e["canon"], attempt(e), key), lambda s: rendered(e["kind"], e["match"], s)))
+        return F.when(e["kind"].isNull(), e["match"]).otherwise(let(use(e), lambda x: let(surrogate(e["kind"], F.coalesce(x["person"], e["canon"]), F.coalesce(x["attempt"], F.lit(0)), key), lambda s: rendered(e["kind"], e["match"], s))))
 
     def done(found: Column) -> Column:
         gaps = F.split(text, PATTERN, -1)

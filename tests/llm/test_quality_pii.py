@@ -162,6 +162,27 @@ def test_entities_are_replaced_whole(spark):
     assert "********" not in text[5] and not text[5].endswith("--------x")
 
 
+def test_nothing_of_a_long_entity_is_left(spark):
+    labels = ".".join(f"label{k}" for k in range(3000))
+    texts = [
+        (1, f"write to anna@{labels}.org. Or anna@x.org.5 now, a@b-c.3com.co.uk- end"), (2, f"password      =      {'Xy9.' * 2500}\nnext"),
+        (3, f"Mr. Juan Carlos Garcia Lopez and Frau {'Anna' * 20} Schmidt"), (4, "api_key:\t\tabc.def.ghi.jkl"),
+    ]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[k].n_replaced for k in (1, 2, 3, 4)] == [3, 1, 2, 1]
+    assert not re.search(r"label\d|anna|x\.org|3com", got[1].text) and re.search(r"\.5 now, \w@\S+\.example- end$", got[1].text)
+    assert re.fullmatch(r"password      =      \S{10000}\nnext", got[2].text) and "Xy9." * 2 not in got[2].text
+    assert re.fullmatch(r"Mr\. \w+o \w+ \w+ \w+ and Frau \w{79}a \w+", got[3].text) and not re.search("Juan|Carlos|Garcia|Lopez|AnnaAnna|Schmidt", got[3].text)
+
+
+def test_titles_are_no_part_of_a_person(spark):
+    texts = [(1, "Dr. Anna Schmidt saw Mrs. Anna Schmidt"), (2, "Prof. Anna Schmidt and Dr Otto Schmidt"), (3, "Mr Otto Schmidt"), (4, "Dr. Uwe Berg")]
+    text = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    one, family = re.fullmatch(r"Dr\. (\w+a) (\w+) saw Mrs\. \1 \2", text[1]).groups()
+    other = re.fullmatch(rf"Prof\. {one} {family} and Dr (\w+o) {family}", text[2])[1]
+    assert text[3] == f"Mr {other} {family}" and re.fullmatch(r"Dr\. \w+ \w+", text[4])
+
+
 def test_phone_spellings_share_a_surrogate(spark):
     same = ["+17435553824", "+1 743 555 3824", "(743) 555-3824", "743-555-3824", "+1 (743) 555-3824"]
     abroad = ["+442079460958", "+44 20 7946 0958", "+44-20-7946-0958"], ["+353861234567", "+353 86 123 4567"], ["+79161234567", "+7 916 123 4567"], ["+8801712345678", "+880 1712 345 678"]
@@ -177,7 +198,7 @@ def test_colliding_surrogates_are_drawn_again(spark):
     # Two-letter local parts at one domain: 5 vowels or 20 consonants a place, so first draws collide.
     names = ["".join(p) for p in itertools.product("bcdfgh", "bcdfghjk")]
     docs = spark.createDataFrame([(k, f"to {n}@x.org and {n}@x.org") for k, n in enumerate(names)], "doc_id long, text string")
-    assert pii.attempts(docs, "auditloom").count() > 0
+    assert pii.attempts(docs, "auditloom").where("attempt > 0").count() > 0
     found = [re.findall(r"\S+@\S+", r.text) for r in pii.replace(docs).collect()]
     assert all(a == b for a, b in found) and len({a for a, _ in found}) == len(names)
 
