@@ -201,22 +201,15 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    """SEQUENCES rows to PACKED rows: a row a piece, its checksum (of its ids as uint32) taken from the sequence's ids."""
+    """SEQUENCES rows to PACKED rows: a row a piece, its checksum (of its ids as uint32) taken from the sequence's ids. DataFrame functions only."""
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    def crc(part):
+        wide = F.unhex(F.regexp_replace(F.hex(part), "(.{4})", "$10000"))  # two zero bytes after each uint16
+        return F.crc32(F.when(F.col("id_bytes") == 2, wide).otherwise(part))
 
-        names = [x.split()[0] for x in PACKED.split(", ")]
-        types = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-        for batch in batches:
-            rows: list[tuple] = []
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], dtype=f"<u{r['id_bytes']}").astype("<u4")
-                for p in r["pieces"]:
-                    part = ids[p["offset"] : p["offset"] + p["length"]]
-                    rows.append((p["doc_id"], p["piece"], p["start"], p["length"], zlib.crc32(part.tobytes()), r["sequence_id"], p["offset"]))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, types, strict=True)], names=names)
-
-    return packed.mapInArrow(run, PACKED)
+    def of(x):
+        part = F.substr("ids", (x["offset"] * F.col("id_bytes") + 1).cast("int"), (x["length"] * F.col("id_bytes")).cast("int"))
+        return F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["start"].alias("start"), x["length"].alias("length"), crc(part).alias("ids_crc32"), F.col("sequence_id").alias("sequence_id"), x["offset"].alias("offset"))
+
+    # The digests are worked out within the row, so that the ids aren't copied for each piece.
+    return packed.select(F.explode(F.transform("pieces", of)).alias("d")).select("d.*")
