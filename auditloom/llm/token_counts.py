@@ -2,13 +2,14 @@
 
 A text of up to ``chunk_chars`` code points is encoded at once. A longer one is encoded as overlapping
 chunks with offsets, and two neighbouring chunks are spliced at a *proven stable common boundary*: a place in
-their overlap that follows ASCII white space, where both have a token start and from which both give the same
-ids at the same places up to the overlap's last such place. (No token, special string or normalisation of the
-vocabulary crosses ASCII white space, see :func:`tokens.words_are_independent`; what either chunk says to the
-right of such a place therefore doesn't depend on where the chunk began, and what it says to the left not on
-where it ends.) If an overlap has no such place it is doubled, at the end until it holds the whole rest, so the
-result is always the library's own for the whole text. For vocabularies without that proof texts are encoded
-whole. One pass over the rows, no shuffle; memory is bounded by one Arrow batch plus one text.
+their overlap where a pre-token begins whatever stands around it, where both have a token start and from which both give the same
+ids at the same places up to the overlap's last such place. Such places follow ASCII white space (no token, special string or normalisation of the
+vocabulary crosses it, see :func:`tokens.words_are_independent`) or, for the vocabulary's own pre-token pattern, part letters, digits and signs of ASCII and of CJK
+script, where nothing composes and no contraction or special string lies across. What either chunk says to the
+right of such a place doesn't depend on where the chunk began, and what it says to the left not on
+where it ends. An overlap without such a place is doubled; once it reaches back to the last splice, the left chunk is doubled from there, never from the text's
+start, so work stays linear in the text but for a constant. The result is always the library's own for the whole text. For vocabularies without that proof texts are encoded
+whole. One pass over the rows, no shuffle; of a text's ids only the last chunk's are held.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; a null ``doc_id`` is kept; repeated rows are counted one
 by one; an empty table gives an empty result; input columns other than the two named are neither read nor kept.
@@ -26,11 +27,19 @@ from .tokens import WordEncoder, encoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int"
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+_LETTER, _SIGN = r"A-Za-z\u4e00-\u9fff", r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+#: Between two plain characters of different sorts, or at a digit; not after an apostrophe, which may begin a contraction.
+_PARTED = re.compile(rf"(?<=[{_LETTER}])(?=[0-9'{_SIGN}])|(?<=[0-9])(?=[0-9'{_LETTER}{_SIGN}])|(?<=['{_SIGN}])(?=[0-9])|(?<=[{_SIGN}])(?=[{_LETTER}])")
 
 
-def _starts(text: str, lo: int, hi: int) -> list[int]:
-    """Places in (lo, hi) that follow ASCII white space and hold none."""
-    return [m.end() for m in _SPACE.finditer(text, lo, hi - 1) if not _SPACE.match(text, m.end())]
+def _starts(enc: WordEncoder, text: str, lo: int, hi: int) -> list[int]:
+    """Proven places in (lo, hi)."""
+    found = {m.end() for m in _SPACE.finditer(text, lo, hi - 1) if not _SPACE.match(text, m.end())}
+    if enc.by_part:
+        reach = max(map(len, enc.added), default=0)
+        special = lambda at: any(x in text[max(0, at - reach) : at + reach].lower() for x in enc.added)
+        found.update(p for m in _PARTED.finditer(text, lo + 1, hi) if (p := m.start()) < hi and not special(p))
+    return sorted(found)
 
 
 def _encoded(enc: WordEncoder, text: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
@@ -46,9 +55,9 @@ def _from(starts: list[int], place: int) -> int | None:
     return k if k < len(starts) and starts[k] == place else None
 
 
-def _splice(text: str, a: tuple, b: tuple, lo: int, hi: int) -> tuple[int, int] | None:
+def _splice(enc: WordEncoder, text: str, a: tuple, b: tuple, lo: int, hi: int) -> tuple[int, int] | None:
     """Token indices (in a, in b) of the first proven place in the overlap text[lo:hi]."""
-    places = _starts(text, lo, hi)
+    places = _starts(enc, text, lo, hi)
     if len(places) < 2:
         return None
     end_a, end_b = _from(a[1], places[-1]), _from(b[1], places[-1])
@@ -61,32 +70,33 @@ def _splice(text: str, a: tuple, b: tuple, lo: int, hi: int) -> tuple[int, int]
     return None
 
 
-def resynchronised(enc: WordEncoder, text: str, chunk_chars: int, overlap_chars: int) -> tuple[list[int], int, int]:
-    """(ids of the whole text, chunks encoded, times an overlap was widened)."""
+def spliced(enc: WordEncoder, text: str, chunk_chars: int, overlap_chars: int) -> Iterator[tuple[list[int], int]]:
+    """The ids of the whole text, part by part, each with the number of times that an overlap or chunk was widened for it."""
     if len(text) <= chunk_chars or not enc.by_word:
-        return enc.tokenizer.encode(text, add_special_tokens=False).ids, 1, 0
-    hi = chunk_chars
-    ids, starts = _encoded(enc, text, 0, hi)
-    n, widened = 1, 0
+        yield enc.tokenizer.encode(text, add_special_tokens=False).ids, 0
+        return
+    start, hi, overlap, widened = 0, chunk_chars, overlap_chars, 0
+    a = _encoded(enc, text, start, hi)
     while hi < len(text):
-        overlap = min(overlap_chars, hi)
-        while True:
-            lo = hi - overlap
-            end = min(len(text), max(lo + chunk_chars, hi + chunk_chars // 2))
-            b = _encoded(enc, text, lo, end)
-            n += 1
-            if at := _splice(text, (ids, starts), b, lo, hi):
-                break
-            if overlap == hi:  # the overlap is all that came before: the new chunk is the whole beginning
-                at = (0, 0)
-                break
-            overlap = min(overlap * 2, hi)
-            widened += 1
-        del ids[at[0] :], starts[at[0] :]
-        ids += b[0][at[1] :]
-        starts += b[1][at[1] :]
-        hi = end
-    return ids, n, widened
+        lo = max(start, hi - overlap)
+        end = min(len(text), max(lo + chunk_chars, hi + chunk_chars // 2))
+        b = _encoded(enc, text, lo, end)
+        if at := _splice(enc, text, a, b, lo, hi):
+            yield a[0][: at[0]], widened
+            a = b[0][at[1] :], b[1][at[1] :]
+            start, hi, overlap, widened = a[1][0], end, overlap_chars, 0
+        elif lo > start:
+            overlap, widened = 2 * overlap, widened + 1
+        else:
+            hi, overlap, widened = min(len(text), start + 2 * (hi - start)), overlap_chars, widened + 1
+            a = _encoded(enc, text, start, hi)
+    yield a[0], widened
+
+
+def resynchronised(enc: WordEncoder, text: str, chunk_chars: int, overlap_chars: int) -> tuple[list[int], int, int]:
+    """(ids of the whole text, parts spliced, times an overlap or chunk was widened)."""
+    parts = list(spliced(enc, text, chunk_chars, overlap_chars))
+    return [i for ids, _ in parts for i in ids], len(parts), sum(w for _, w in parts)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 65_536, overlap_chars: int = 512) -> DataFrame:
@@ -106,8 +116,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, id_
                 if len(text) <= chunk_chars:
                     count = len(enc.encode([text])[0]) // 4
                 else:
-                    ids, n, m = resynchronised(enc, text, chunk_chars, overlap_chars)
-                    count = len(ids)
+                    count, n, m = 0, 0, 0
+                    for ids, w in spliced(enc, text, chunk_chars, overlap_chars):
+                        count, n, m = count + len(ids), n + 1, m + w
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
                 tokens.append(count)
                 chunks.append(n)

@@ -159,3 +159,18 @@ def test_matrices_round_trip(spark, docs, enc, tmp_path):
         want += [(d.doc_id, k, at, ids[at : at + 256]) for k, at in enumerate(range(0, len(ids), 256))]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert token_output.token_matrices(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_text_without_white_space_is_spliced_at_pre_tokens(enc):
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "B", "e\u0301", "\u0130", "1", "\u0662", "'s", "'", "'ll", "\u3002", "\uff0c", "\u6f22", "-", "\u0301", "\x1c", " ", "\n", "\u1100\u1161", "\ufb01", *enc.added]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 120)))
+        assert token_counts.resynchronised(enc, text, rng.choice((4, 8, 32)), rng.choice((1, 2, 8)))[0] == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) + "\u3002" * (k % 3 == 2) for k in range(60_000))
+    ids, chunks, widened = token_counts.resynchronised(enc, text, 4096, 64)
+    assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids and chunks < 30 and not widened
+    solid = "x" * 20_000  # one pre-token: the chunk grows, from its start, to the whole
+    assert token_counts.resynchronised(enc, solid, 512, 64)[0] == enc.tokenizer.encode(solid, add_special_tokens=False).ids
