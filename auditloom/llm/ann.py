@@ -14,8 +14,11 @@ one aggregation per query over blocks * k rows. ``rerank`` is the share of a blo
 at its edge are. No task holds more than a block of vectors and a block of queries.
 
 Cases: vectors that are null, zero, empty, of another dimension than the table's first by id, or that hold null or non-finite components take no part, as
-queries or candidates; a null id neither; repeated ids are candidates each, but never of a query of that id; fewer candidates than ``k``
-give them all; ties go to the smaller id; an empty table gives no row. Other columns aren't read.
+queries or candidates; a null id neither; rows of one id are queries and candidates each, of each other too, since only a query's own row is left out; fewer candidates than ``k``
+give them all; ties go to the smaller id; a product that overflows to no number comes last; an empty table gives no row. Other columns aren't read.
+
+Cost: a query reads the places of all rows, so work grows with queries times rows (in numpy, blockwise). Lists of a fixed number of probed pivots would be cheaper, but vectors
+without clusters have their neighbours spread over most lists: a recall of 0.9 then needs about the share of rows that ``rerank`` states.
 """
 
 from __future__ import annotations
@@ -96,15 +99,19 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
 
     rows = cut(usable(vectors, id_col, vector_col))
     spark = rows.sparkSession
-    norm2 = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # Directions are taken of vectors scaled by the largest component, so no norm overflows.
+    widest = rows.agg(F.max(F.array_max(F.transform("vector", F.abs))).alias("x")).first()["x"] or 1.0
+    norm2 = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / widest) * (x / widest))
     head = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(norm2).alias("most")).first()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_row long, query_id long, vec_id long, score double"
     if not head["n"] or not head["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = [np.asarray(r["vector"]) for r in rows.orderBy(F.md5(F.concat(F.lit(SEED), F.col("vec_id").cast("string"))), "vec_id", "vector").limit(n_pivots).collect()]
     most = float(head["most"])
 
     def lifted(x, query: bool):
+        x = x / widest
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0.0))
         return np.column_stack([x, extra])
 
@@ -113,7 +120,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     blocks, query_blocks = -(-head["n"] // block_rows), -(-head["q"] // query_rows)
     block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))
     query_block = F.pmod(F.xxhash64(F.lit("q"), "vec_id", "vector"), F.lit(query_blocks))
-    side = "vec_id long, vector array<double>, perm array<int>"
+    side = "vec_id long, vector array<double>, perm array<int>, row long"
 
     def indexed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -122,10 +129,10 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
             x = _matrix(batch.column(1))
             if len(x):
                 perm = permutations(lifted(x, batch.schema.names[0] == "query_id"), pivots, prefix)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(perm), pa.list_(pa.int32()))], names=["vec_id", "vector", "perm"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(perm), pa.list_(pa.int32())), batch.column(2)], names=["vec_id", "vector", "perm", "row"])
 
-    data = rows.select("vec_id", "vector").mapInArrow(indexed, side)
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").mapInArrow(indexed, side)
+    data = rows.select("vec_id", "vector", "row").mapInArrow(indexed, side)
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector", "row").mapInArrow(indexed, side)
     # A data row goes to each query block, a query to each data block: blocks * queries + query blocks * rows rows move, no pair does.
     data = data.withColumns({"b": block, "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
     queries = queries.withColumns({"q": query_block.cast("int"), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))})
@@ -133,32 +140,33 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     def task(left, right):
         import pyarrow as pa
 
-        ids, qids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        ids, qids, own, qrows = (side.column(c).to_numpy() for c in ("vec_id", "row") for side in (left, right))
         if not len(ids) or not len(qids):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({n: pa.array([], t) for n, t in (("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
         x, q = _matrix(left.column("vector").combine_chunks()), _matrix(right.column("vector").combine_chunks())
         files = InvertedFiles(_matrix(left.column("perm").combine_chunks()), len(pivots))
         perms = _matrix(right.column("perm").combine_chunks())
         want = max(20 * k, int(np.ceil(rerank * len(ids))))
-        out = [[], [], []]
-        for qid, query, perm in zip(qids, q, perms, strict=True):
+        out = [[], [], [], []]
+        for qrow, qid, query, perm in zip(qrows, qids, q, perms, strict=True):
             distance = files.footrule(perm)
             if want < len(ids):
                 edge = np.partition(distance, want - 1)[want - 1]
                 near = np.nonzero(distance <= edge)[0]
             else:
                 near = np.arange(len(ids))
-            near = near[ids[near] != qid]
-            scores = (x[near] * query).sum(axis=1)
+            near = near[own[near] != qrow]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = (x[near] * query).sum(axis=1)
+            order = np.where(np.isnan(scores), -np.inf, scores)
             if len(near) > k:
-                top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                near, scores = near[top], scores[top]
-            best = np.lexsort((ids[near], -scores))[:k]
-            out[0].append(np.full(len(best), qid))
-            out[1].append(ids[near][best])
-            out[2].append(scores[best])
-        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                top = order >= np.partition(order, len(order) - k)[len(order) - k]
+                near, scores, order = near[top], scores[top], order[top]
+            best = np.lexsort((ids[near], -order))[:k]
+            for into, values in zip(out, (np.full(len(best), qrow), np.full(len(best), qid), ids[near][best], scores[best]), strict=True):
+                into.append(values)
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_row", "query_id", "vec_id", "score"), out, strict=True)})
 
     found = data.groupBy("b", "q").cogroup(queries.groupBy("b", "q")).applyInArrow(task, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -196,3 +196,9 @@ def test_footrule_is_the_brute_force_distance():
             a, b = {v: k for k, v in enumerate(perms[q])}, {v: k for k, v in enumerate(p)}
             want.append(sum(abs(a.get(v, 6) - b.get(v, 6)) for v in {*a, *b}))
         assert files.footrule(perms[q]).tolist() == want
+
+
+def test_rows_of_one_id_are_queries_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1e200, 1e200])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 3, 1e200), (0, 1, 3, 1e200), (0, 2, 1, 2.0), (0, 2, 2, 3.0)]
