@@ -3,11 +3,11 @@
 Heuristic labellers (the rules of ``quality_rules``, which overlap and err) vote on every document. EM over the counts of all vote
 combinations in the corpus estimates what each labeller's votes are worth; the posterior that a document is good is its soft label. A linear model
 on hashed features of the words (their shapes, their endings, repetitions) is trained on the posterior labels of a bounded sample of
-documents, ``train_docs`` at most, the smallest by a hash of id and text, and then scores every document: what the
+documents, ``train_docs`` at most, the smallest by a hash of id and whole text (rows alike in both count once), and then scores every document: what the
 labellers say only where their thresholds are met, it says in between.
 
 Two passes over the texts (votes, scores), no shuffle but the counts. The driver holds the counts (a row a combination, 3**9 at most), the sample's sparse
-features and one weight a hash bucket. Cases: a null or empty text has no features and the score of the bias alone, and isn't kept; null
+features and one weight a hash bucket. Cases: a null or empty text has no features and the score of the bias alone, and isn't kept; very long texts and words are read whole; null
 and repeated ids are kept row by row; an empty table gives an empty result (the model is then all zero); other columns aren't read.
 """
 
@@ -29,7 +29,7 @@ BUCKETS = 1 << 15
 def _shape(word: str) -> str:
     """Runs of letters as A (upper case) or a, of digits as 9; signs as they are, runs of one sign as two."""
     out = []
-    for part in re.findall(r"[^\W\d_]+|\d+|[\W_]", word[:64]):
+    for part in re.findall(r"[^\W\d_]+|\d+|[\W_]", word):
         c = part[0]
         out.append("9" if c.isdigit() else ("A" if part.isupper() and len(part) > 1 else "Aa" if c.isupper() else "a") if c.isalpha() else c)
     return re.sub(r"([^aA9])\1+", r"\1\1", "".join(out))
@@ -101,27 +101,30 @@ def classify(docs: DataFrame, *, train_docs: int = 8192, threshold: float = 0.5,
     import numpy as np
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rank = F.xxhash64(F.lit("train"), "doc_id", F.length("text"), F.substring("text", 1, 64))
+    rank = F.xxhash64(F.lit("train"), "doc_id", "text")
     votes = quality_rules.measured(own.withColumn("rank", rank))
     voted = cut(votes.select("rank", "n_words", "votes"))
     counts = {tuple(r["votes"]): r["n"] for r in voted.where("n_words > 0").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = quality_rules.fit_counts(counts)
     log_odds = {v: model.log_odds(v) for v in counts}
-    # The rows of the sample are named by the largest hash among the train_docs smallest; all with that hash are taken.
-    ranks = [r["rank"] for r in voted.where("n_words > 0").select("rank").orderBy("rank").limit(train_docs).collect()]
+    # The sample's documents are those of the train_docs smallest distinct hashes, one row each.
+    ranks = [r["rank"] for r in voted.where("n_words > 0").select("rank").distinct().orderBy("rank").limit(train_docs).collect()]
     weights = np.zeros(BUCKETS)
     if ranks:
-        sample = votes.where(F.col("rank") <= ranks[-1]).select("text", "votes", "n_words").where("n_words > 0").select(F.col("text").cast("binary").alias("text"), "votes")
+        # No filter on n_words here: it would be worked out once more for the filter. Texts without words give no row.
+        sample = votes.where(F.col("rank") <= ranks[-1]).select(F.col("text").cast("binary").alias("text"), "votes", "rank")
 
         def extract(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             features = Features()
             for batch in batches:
-                found = [features.of((t or b"").split(), t or b"") for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), batch.column(1)], names=["b", "v", "votes"])
+                some = [k for k, t in enumerate(batch.column(0).to_pylist()) if t and t.split()]
+                batch = batch.take(pa.array(some, pa.int64()))
+                found = [features.of(t.split(), t) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["b", "v", "votes", "rank"])
 
-        got = sample.mapInArrow(extract, "b array<int>, v array<float>, votes array<int>").toArrow()
+        got = sample.mapInArrow(extract, "b array<int>, v array<float>, votes array<int>, rank long").dropDuplicates(["rank"]).toArrow()
         rows = [(np.asarray(b), np.asarray(v, dtype=float)) for b, v in zip(got.column("b").to_pylist(), got.column("v").to_pylist(), strict=True)]
         labels = [1 / (1 + np.exp(-np.clip(log_odds[tuple(v)], -30, 30))) for v in got.column("votes").to_pylist()]
         weights = train(rows, labels)

@@ -102,6 +102,20 @@ def test_classifier(spark, docs):
     assert classifier.classify(docs).count() == docs.count() and classifier.classify(docs.limit(0)).count() == 0
 
 
+def test_classifier_against_held_out_labels(spark):
+    # EM and training see no label; all labelled documents are held out.
+    folder = "/root/testdata/sf0.01"
+    got = classifier.classify(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert len(bad) > 20 and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+
+
+def test_classifier_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "the same old text of words"), *[(None, "a " * 30)] * 50, (2, "w" * 5000)], "doc_id long, text string")
+    got = classifier.classify(docs, train_docs=1)
+    assert got.count() == 52
+
+
 PII = [
     (1, "Mail Anna.Lee+x@mail5.example.com, or anna.lee+x@MAIL5.example.com now."),
     (2, "call +1 (743) 555-3824 or (743) 555-3824 or 743-555-3824, or +44 20 7946 0958."),
