@@ -152,7 +152,7 @@ def _round(pieces: DataFrame, groups: int, turn: int, capacity: int, last: bool)
             out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
-    group = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start", "length", "ids_crc32"), F.lit(groups)).cast("long")
+    group = F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(groups)).cast("long")  # with the row key, so that copies spread
     return pieces.withColumn("grp", group).groupBy("grp").applyInArrow(run, f"{PIECES}{', row long' * ('row' in names)}, sequence_id long, offset long, group_bins long, group_bound long")
 
 
