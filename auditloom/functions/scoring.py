@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 # Fixed values.
 RISK_WEIGHTS = {"CRITICAL": 10.0, "HIGH": 7.0, "MEDIUM": 4.0, "LOW": 1.0, "INFO": 0.0}
 CONTEXT_WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.8, "MEDIUM": 0.5, "LOW": 0.2}
-CRITICAL_PATHS = ["payment", "payments/", "billing/", "checkout/", "auth/", "login/", "session/", "token/", "admin/", "secrets/", "credential/", "key/"]
+CRITICAL_PATHS = ["payment/", "payments/", "billing/", "checkout/", "auth/", "login/", "session/", "token/", "admin/", "secrets/", "credential/", "key/"]
 DREAD_DAMAGE = {"CRITICAL": 10, "HIGH": 7, "MEDIUM": 4, "LOW": 2}
+DREAD_REPRODUCIBLE = ["sql", "injection", "rce", "traversal", "ssti", "deserial"]
+DREAD_EXPLOIT = {"sql": 9, "rce": 9, "command": 9, "injection": 8, "ssti": 9, "deserial": 9, "upload": 8, "idor": 8, "auth": 9, "ssrf": 8, "xss": 7, "csrf": 6, "redirect": 5, "traversal": 8, "info": 4, "disclos": 4, "log": 4, "dos": 6}
+DREAD_MANY, DREAD_INFO = ["auth", "idor", "privilege", "account", "bypass"], ["info", "disclos", "log"]
 DOWNGRADE = {"CRITICAL": "HIGH", "HIGH": "MEDIUM", "MEDIUM": "LOW"}
 NOISE_DOWNGRADE = {"CRITICAL": "MEDIUM", "HIGH": "LOW"}
 
@@ -79,19 +82,25 @@ def developer_score(introduced: Column, fixed: Column, confirmed: Column) -> Col
     return F.when(n == 0, 0.0).otherwise(f / n * (1 + 0.1 * c / F.greatest(f, F.lit(1))))
 
 
-def fix_quality(n_files: Column, share_in_scope: Column, regression: Column, has_tests: Column) -> Column:
-    minimality = F.when(n_files <= 1, 1.0).when(n_files == 2, 0.85).when(n_files <= 5, 0.6).otherwise(0.3) * share_in_scope
-    return 0.5 * minimality + 0.3 * (1 - regression) + F.when(has_tests, 0.2).otherwise(0.0)
+def fix_quality(n_files: Column, out_of_scope: Column, has_tests: Column) -> Column:
+    """Half for few files, three tenths for staying in scope, two tenths for tests; ``out_of_scope`` files of ``n_files`` are others than the finding's."""
+    n = F.greatest(n_files, F.lit(1))
+    minimality = F.greatest(F.lit(0.0), 1 - 0.15 * (n - 1))
+    return F.round(0.5 * minimality + 0.3 * (1 - F.round(out_of_scope / n, 3)) + F.when(has_tests, 0.2).otherwise(0.0), 3)
 
 
 def quality_label(score: Column) -> Column:
-    return F.when(score >= 0.8, "good").when(score >= 0.5, "acceptable").otherwise("risky")
+    return F.when(score >= 0.75, "good").when(score >= 0.5, "acceptable").otherwise("risky")
 
 
-def dread(severity: Column, exploitable: Column, info_only: Column) -> Column:
-    """Sum of damage, reproducibility, exploitability, affected and discoverability."""
-    affected = F.when(info_only, F.least(F.lit(7), F.when(exploitable, 10).otherwise(6))).otherwise(F.when(exploitable, 10).otherwise(6))
-    return lookup(severity, DREAD_DAMAGE, 2) + F.when(exploitable, 7).otherwise(5) + F.when(exploitable, 8).otherwise(5) + affected + F.lit(8)
+def dread(severity: Column, surface: Column) -> Column:
+    """Sum of damage, reproducibility, exploitability, affected users and discoverability, by severity and the words in a threat's description."""
+    low = F.lower(F.coalesce(surface, F.lit("")))
+    holds = lambda words: low.rlike("|".join(words))
+    exploitability = F.greatest(F.lit(5), *[F.when(low.contains(w), n).otherwise(5) for w, n in DREAD_EXPLOIT.items()])
+    many = F.when(holds(DREAD_MANY), 10).otherwise(6)
+    affected = F.when(holds(DREAD_INFO), F.least(many, F.lit(7))).otherwise(many)
+    return lookup(severity, DREAD_DAMAGE, 4) + F.when(holds(DREAD_REPRODUCIBLE), 7).otherwise(5) + exploitability + affected + F.lit(8)
 
 
 def cvss_severity(score: Column) -> Column:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 LICENCES = {
-    "permissive": ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense", "zlib", "0bsd", "cc0-1.0"],
-    "weak-copyleft": ["lgpl-2.1", "lgpl-3.0", "mpl-2.0", "epl-2.0", "cddl-1.0"],
-    "copyleft": ["gpl-2.0", "gpl-3.0", "agpl-3.0"],
-    "proprietary": ["proprietary", "commercial"],
+    "permissive": ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "isc", "0bsd", "unlicense", "zlib", "python-2.0", "wtfpl", "cc0-1.0", "bsl-1.0", "postgresql", "mit-0"],
+    "weak-copyleft": ["lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "mpl-1.0", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "cddl-1.0", "cddl-1.1", "cpl-1.0"],
+    "copyleft": ["gpl-2.0", "gpl-3.0", "agpl-3.0", "sspl-1.0", "osl-3.0", "cpal-1.0"],
+    "proprietary": ["proprietary", "commercial", "unlicensed", "all-rights-reserved", "busl-1.1", "elastic-2.0", "elv2", "commons-clause", "json", "fair-source-1.0", "noassertion", "cc-by-nc-4.0", "cc-by-nc-3.0", "cc-by-nc-2.0"],
 }
+#: Beginnings that decide where the whole name is in no list.
+LICENCE_FAMILIES = {"copyleft": ["agpl", "gpl", "sspl"], "weak-copyleft": ["lgpl", "mpl", "epl"]}
 #: Worst first.
 LICENCE_ORDER = ["copyleft", "proprietary", "weak-copyleft", "unknown", "permissive"]
 FORBIDDEN = ["copyleft", "proprietary", "unknown"]
@@ -61,6 +63,8 @@ def licence_class(expression: Column) -> Column:
         out = F
         for cls, names in LICENCES.items():
             out = out.when(F.regexp_replace(name, "(-only|-or-later|\\+)$", "").isin(*names), rank(cls))
+        for cls, beginnings in LICENCE_FAMILIES.items():
+            out = out.when(name.rlike(f"^({'|'.join(beginnings)})"), rank(cls))
         return out.otherwise(rank("unknown"))
 
     names = F.filter(F.split(F.lower(F.regexp_replace(expression, "[()]", " ")), r"\s+or\s+|\s+and\s+|\s*,\s*|\s*/\s*|\s+with\s+"), lambda x: F.trim(x) != "")

@@ -103,20 +103,23 @@ def dev_leaderboard(spark, d):
     return a.join(c, "o_custkey").select("developer", "introduced", "fixed", "confirmed", score.alias("score")).orderBy(F.desc("score"), F.desc("introduced"), "developer").limit(100)
 
 
-@query("""WITH a AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n_files, count(*) FILTER (l_linestatus = 'F') / count(*) AS share, avg(l_discount) AS regression, bool_or(l_returnflag = 'R') AS tests FROM lineitem GROUP BY 1),
-s AS (SELECT l_orderkey, 0.5 * ((CASE WHEN n_files <= 1 THEN 1.0 WHEN n_files = 2 THEN 0.85 WHEN n_files <= 5 THEN 0.6 ELSE 0.3 END)::DOUBLE * share) + 0.3::DOUBLE * (1 - regression) + (CASE WHEN tests THEN 0.2 ELSE 0 END)::DOUBLE AS q FROM a)
-SELECT l_orderkey, round(q, 6) AS quality, CASE WHEN round(q, 6) >= 0.8 THEN 'good' WHEN round(q, 6) >= 0.5 THEN 'acceptable' ELSE 'risky' END AS label FROM s""")
+@query("""WITH a AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linestatus <> 'F') AS away, bool_or(l_returnflag = 'R') AS tests FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, round(0.5::DOUBLE * greatest(0::DOUBLE, 1 - 0.15::DOUBLE * (n - 1)) + 0.3::DOUBLE * (1 - round(away::DOUBLE / n, 3)) + (CASE WHEN tests THEN 0.2 ELSE 0 END)::DOUBLE, 3) AS q FROM a)
+SELECT l_orderkey, q AS quality, CASE WHEN q >= 0.75 THEN 'good' WHEN q >= 0.5 THEN 'acceptable' ELSE 'risky' END AS label FROM s""")
 def fix_quality(spark, d):
-    a = R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("n_files"), (F.count_if(F.col("l_linestatus") == "F") / F.count("*")).alias("share"), F.avg("l_discount").alias("regression"), F.bool_or(F.col("l_returnflag") == "R").alias("tests"))
-    q = F.round(scoring.fix_quality(F.col("n_files"), F.col("share"), F.col("regression"), F.col("tests")), 6)
+    a = R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_files"), F.count_if(F.col("l_linestatus") != "F").alias("away"), F.bool_or(F.col("l_returnflag") == "R").alias("tests"))
+    q = scoring.fix_quality(F.col("n_files"), F.col("away"), F.col("tests"))
     return a.select("l_orderkey", q.alias("quality"), scoring.quality_label(q).alias("label"))
 
 
-@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber, {_SEV} AS severity, l_returnflag = 'R' AS x, l_linestatus = 'O' AS info FROM lineitem),
-s AS (SELECT l_orderkey, l_linenumber, {case("severity", scoring.DREAD_DAMAGE, 2)} + CASE WHEN x THEN 7 ELSE 5 END + CASE WHEN x THEN 8 ELSE 5 END + CASE WHEN info THEN least(7, CASE WHEN x THEN 10 ELSE 6 END) ELSE CASE WHEN x THEN 10 ELSE 6 END END + 8 AS dread FROM i)
+_SURFACE = "CASE l_partkey % 8 WHEN 0 THEN 'SQL injection in login' WHEN 1 THEN 'reflected XSS' WHEN 2 THEN 'information disclosure of accounts' WHEN 3 THEN 'open redirect' WHEN 4 THEN 'RCE by deserialization' WHEN 5 THEN 'CSRF' WHEN 6 THEN 'privilege bypass, IDOR' ELSE 'weak hash' END"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber, {_SEV} AS severity, l_partkey % 8 AS k FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber, {case("severity", {"CRITICAL": 10, "HIGH": 7, "MEDIUM": 4, "LOW": 2}, 4)} + CASE WHEN k IN (0, 4) THEN 7 ELSE 5 END + CASE k WHEN 0 THEN 9 WHEN 1 THEN 7 WHEN 4 THEN 9 WHEN 5 THEN 6 WHEN 6 THEN 8 ELSE 5 END + CASE k WHEN 2 THEN 7 WHEN 6 THEN 10 ELSE 6 END + 8 AS dread FROM i)
 SELECT l_orderkey, l_linenumber, dread::INT AS dread, CASE WHEN dread >= 40 THEN 'critical' WHEN dread >= 30 THEN 'high' WHEN dread >= 20 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def dread_scores(spark, d):
-    s = scoring.dread(F.col("severity"), F.col("l_returnflag") == "R", F.col("l_linestatus") == "O").cast("int")
+    s = scoring.dread(F.col("severity"), F.expr(_SURFACE)).cast("int")
     return _items(spark, d).select("l_orderkey", "l_linenumber", s.alias("dread"), scoring.level(s, 40, 30, 20).alias("level"))
 
 
@@ -130,10 +133,10 @@ def severity_purl_version(spark, d):
     return p.select("p_partkey", sev.alias("severity"), F.coalesce(scoring.lookup(sev, scoring.DOWNGRADE), F.lit("LOW")).alias("unreachable"), software.purl(F.lit("PyPI"), name, F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))).alias("purl"), software.concrete_version(spec).alias("version"))
 
 
-@query("""WITH e(n, expr) AS (VALUES (0, 'MIT'), (1, 'GPL-3.0 OR MIT'), (2, 'LGPL'), (3, ''), (4, 'MIT, Apache-2.0'), (5, 'made-up'), (6, 'MPL-2.0 AND ISC')), c(n, cls) AS (VALUES (0, 'permissive'), (1, 'copyleft'), (2, 'weak-copyleft'), (3, 'proprietary'), (4, 'permissive'), (5, 'unknown'), (6, 'weak-copyleft'))
-SELECT p_brand, cls AS licence_class, count(*) AS n_parts, cls NOT IN ('copyleft', 'proprietary', 'unknown') AS allowed FROM part JOIN c ON n = p_partkey % 7 GROUP BY ALL""")
+@query("""WITH e(n, expr) AS (VALUES (0, 'MIT'), (1, 'GPL-3.0 OR MIT'), (2, 'LGPL'), (3, ''), (4, 'MIT, Apache-2.0'), (5, 'made-up'), (6, 'MPL-2.0 AND ISC'), (7, 'BUSL-1.1'), (8, 'SSPL-1.0'), (9, 'LGPL-2.0-only'), (10, 'Python-2.0')), c(n, cls) AS (VALUES (0, 'permissive'), (1, 'copyleft'), (2, 'weak-copyleft'), (3, 'proprietary'), (4, 'permissive'), (5, 'unknown'), (6, 'weak-copyleft'), (7, 'proprietary'), (8, 'copyleft'), (9, 'weak-copyleft'), (10, 'permissive'))
+SELECT p_brand, cls AS licence_class, count(*) AS n_parts, cls NOT IN ('copyleft', 'proprietary', 'unknown') AS allowed FROM part JOIN c ON n = p_partkey % 11 GROUP BY ALL""")
 def licence_gate(spark, d):
-    expr = F.element_at(F.array(*map(F.lit, ["MIT", "GPL-3.0 OR MIT", "LGPL", "", "MIT, Apache-2.0", "made-up", "MPL-2.0 AND ISC"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    expr = F.element_at(F.array(*map(F.lit, ["MIT", "GPL-3.0 OR MIT", "LGPL", "", "MIT, Apache-2.0", "made-up", "MPL-2.0 AND ISC", "BUSL-1.1", "SSPL-1.0", "LGPL-2.0-only", "Python-2.0"])), (F.col("p_partkey") % 11 + 1).cast("int"))
     p = R.table(spark, d, "part").select("p_brand", software.licence_class(expr).alias("licence_class"))
     return p.groupBy("p_brand", "licence_class").agg(F.count("*").alias("n_parts")).withColumn("allowed", ~F.col("licence_class").isin(software.FORBIDDEN))
 

@@ -119,3 +119,15 @@ def test_structural_frame(spark):
     lines = detect.lines_of(spark.createDataFrame([("p", "f", "t", text)], "project string, file_path string, language string, content string"))
     assert [r.line_number for r in detect.structural(lines, "open", "close", 0, 3).collect()] == [4]
     assert [r.line_number for r in detect.structural(lines, "open", "close", 0, 4).collect()] == []
+
+
+def test_published_fix_quality_and_dread(spark):
+    c = F.col
+    rows = [(2, 1, False), (1, 0, True), (1, 0, False), (4, 3, False), (9, 8, False)]
+    score = scoring.fix_quality(c("n"), c("away"), c("tests"))
+    assert one(spark, rows, "n int, away int, tests boolean", F.struct(score, scoring.quality_label(score))) == [(0.575, "acceptable"), (1.0, "good"), (0.8, "good"), (0.35, "risky"), (0.033, "risky")]
+    threats = [("HIGH", "SQL injection in login"), ("LOW", "log of account data"), ("odd", None)]
+    assert one(spark, threats, "s string, t string", scoring.dread(c("s"), c("t"))) == [7 + 7 + 9 + 6 + 8, 2 + 5 + 5 + 7 + 8, 4 + 5 + 5 + 6 + 8]
+    names = [("BUSL-1.1",), ("SSPL-1.0",), ("LGPL-2.0",), ("Python-2.0",), ("GPL-2.0-with-odd-exception",)]
+    assert one(spark, names, "s string", software.licence_class(c("s"))) == ["proprietary", "copyleft", "weak-copyleft", "permissive", "copyleft"]
+    assert "payment" not in scoring.CRITICAL_PATHS and "payment/" in scoring.CRITICAL_PATHS
