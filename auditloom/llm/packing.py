@@ -125,13 +125,15 @@ def _settle(lengths: list[int], capacity: int, last: bool) -> tuple[list[list[in
     return bins, [k != emptiest or filled[k] == capacity for k in range(len(bins))], bound
 
 
-def _carried(pieces: DataFrame) -> list[str]:
-    """The columns of pieces that packing takes along: PIECES and, where there is one, the row key."""
-    return [x.split()[0] for x in PIECES.split(", ")] + ["row"] * ("row" in pieces.columns)
+def _carried(pieces: DataFrame) -> dict[str, str]:
+    """The columns of pieces that packing takes along, with their types: those of PIECES that are there and, where there is one, the row key."""
+    types = dict(x.split() for x in f"{PIECES}, row long".split(", "))
+    return {c: t for c, t in types.items() if c in pieces.columns}
 
 
 def _round(pieces: DataFrame, groups: int, turn: int, capacity: int, last: bool) -> DataFrame:
-    names = _carried(pieces)
+    types = _carried(pieces)
+    names = list(types)
 
     def run(key, table):
         import pyarrow as pa
@@ -153,17 +155,18 @@ def _round(pieces: DataFrame, groups: int, turn: int, capacity: int, last: bool)
         return out
 
     group = F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(groups)).cast("long")  # with the row key, so that copies spread
-    return pieces.withColumn("grp", group).groupBy("grp").applyInArrow(run, f"{PIECES}{', row long' * ('row' in names)}, sequence_id long, offset long, group_bins long, group_bound long")
+    return pieces.withColumn("grp", group).groupBy("grp").applyInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()) + ", sequence_id long, offset long, group_bins long, group_bound long")
 
 
-def pack(pieces: DataFrame, *, capacity: int = 4096, group_rows: int = 4096, max_rounds: int = 12) -> DataFrame:
-    """PIECES rows to PACKED rows: sequence_id and offset (gapless from 0 in each sequence). A column ``row`` is taken along.
+def pack(pieces: DataFrame, *, capacity: int = 4096, group_rows: int = 4096, max_rounds: int = 12, stored: bool = False) -> DataFrame:
+    """PIECES rows to PACKED rows: sequence_id and offset (gapless from 0 in each sequence). A column ``row`` is taken along, and of PIECES only ``length`` is needed.
 
+    ``stored`` says that ``pieces`` is read from a written table, so it isn't checkpointed again.
     ``group_rows`` is the mean number of pieces a task packs at once. After ``max_rounds``, or once a round exchanges
     over nine tenths of what it got, a round is final whatever its gaps: every piece is placed.
     """
-    names = _carried(pieces)
-    pieces = cut(pieces.select(*names))
+    names = list(_carried(pieces))
+    pieces = pieces.select(*names) if stored else cut(pieces.select(*names))
     whole = pieces.where(F.col("length") == capacity)
     out = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
@@ -191,7 +194,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end
     id_bytes = 2 if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     cut_up = cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, with_ids=True, id_bytes=id_bytes)
     rows, _ = written(cut_up.withColumn("row", F.monotonically_increasing_id()))
-    placed = cut(pack(rows.drop("ids"), capacity=capacity, group_rows=group_rows).select("row", "sequence_id", "offset"))
+    placed = cut(pack(rows.select("row", "length"), capacity=capacity, group_rows=group_rows, stored=True).select("row", "sequence_id", "offset"))
     piece = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     whole = rows.join(placed, "row").groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
     ids = F.aggregate("p.ids", F.lit(b""), lambda a, b: F.concat(a, b))
