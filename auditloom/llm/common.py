@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """``df`` as a Parquet table of its own in the shared folder, reread, and its path; for tables too wide to checkpoint as rows.
 
     The table goes when the driver ends, or by :func:`remove` before that.
@@ -57,7 +57,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path), path
 
 

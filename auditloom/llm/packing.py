@@ -32,8 +32,8 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 SEQUENCES = "sequence_id long, n_tokens int, id_bytes int, ids binary, pieces array<struct<doc_id:long,piece:int,start:long,length:long,offset:long>>"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, id_bytes: int = 4) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and the ids, little-endian, ``id_bytes`` each; the checksum is that of four bytes each)."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, id_bytes: int = 4, checksums: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and the ids, little-endian, ``id_bytes`` each; the checksum is that of four bytes each, null without ``checksums``)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -51,7 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, en
                     ids = enc.encode([text or ""])[0] + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
-                        for into, value in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), narrow(part) if with_ids else b""), strict=False):
+                        for into, value in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part) if checksums else None, narrow(part) if with_ids else b""), strict=False):
                             into.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(rows, types, strict=True)], names=names)
         enc.rest()
@@ -192,8 +192,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end
     The pieces are written once with their ids and a row key; packing sees the key and the length, and its placements go back to the ids by the key.
     """
     id_bytes = 2 if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    cut_up = cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, with_ids=True, id_bytes=id_bytes)
-    rows, _ = written(cut_up.withColumn("row", F.monotonically_increasing_id()))
+    cut_up = cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, with_ids=True, id_bytes=id_bytes, checksums=False)
+    rows, _ = written(cut_up.drop("ids_crc32").withColumn("row", F.monotonically_increasing_id()), "zstd")
     placed = cut(pack(rows.select("row", "length"), capacity=capacity, group_rows=group_rows, stored=True).select("row", "sequence_id", "offset"))
     piece = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     whole = rows.join(placed, "row").groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))

@@ -47,7 +47,7 @@ def test_resynchronised_chunks_give_the_whole_texts_ids(parts, chunk, overlap):
 def test_overlap_widens_where_no_boundary_is_proven(enc):
     text = "ab" * 500 + " then words again and again " * 20
     ids, chunks, widened = token_counts.resynchronised(enc, text, 100, 10)
-    assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids and widened > 0 and chunks > 3
+    assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids and widened > 0 and chunks > 1  # the first part is the solid word, reached by widening
 
 
 def test_counts(spark, docs, enc):
