@@ -28,12 +28,30 @@ VULNERABILITY_CLASSES = {
     "path_traversal": ["path_traversal", "lfi", "traversal"],
     "xxe": ["xxe"],
     "deserialization": ["deserialization", "pickle", "unserialize"],
-    "auth_bypass": ["auth_bypass"],
+    "auth_bypass": ["auth_bypass", "authentication_bypass"],
     "mass_assignment": ["mass_assignment"],
     "graphql": ["graphql"],
     "info_leak": ["info_leak", "exposure", "disclosure", "pii"],
     "prompt_injection": ["prompt_injection"],
 }
+#: Classes of rule ids by their beginnings.
+RULE_CLASSES = {
+    "GS004": "command_injection",
+    "GS005": "sql_injection",
+    "GS007": "idor",
+    "GS012": "mass_assignment",
+    "GS013": "graphql",
+    "GS014": "info_leak",
+    "GS019": "auth_bypass",
+    "GS020": "xss",
+    "GS021": "ssrf",
+    "GS022": "open_redirect",
+    "GS024": "sql_injection",
+    "GS032": "prompt_injection",
+    "GS040": "info_leak",
+    "YAML-SSTI001": "ssti",
+    "YAML-A7E2F001": "command_injection",
+}
 IMPORT_ALIASES = {"pyyaml": "yaml", "pillow": "pil", "beautifulsoup4": "bs4", "python-dotenv": "dotenv", "opencv-python": "cv2", "scikit-learn": "sklearn"}
 
 
@@ -94,12 +112,18 @@ def last_fixed(affected: Column) -> Column:
 
 def vulnerability_class(text: Column) -> Column:
     """The class whose keywords in a text are longest in sum; the first of the table wins ties; null without any."""
-    low = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")
+    low = F.translate(F.lower(text), "- ", "__")
     scored = [F.struct(sum((F.when(low.contains(k), len(k)).otherwise(0) for k in words), F.lit(0)).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("cls")) for i, (c, words) in enumerate(VULNERABILITY_CLASSES.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["score"] > 0, best["cls"])
 
 
+def rule_class(rule_id: Column, title: Column) -> Column:
+    """A finding's class: by the beginning of its rule id, else by keywords of the id, else by those of the title; null without a rule id."""
+    by_id = F.coalesce(*[F.when(rule_id.startswith(p), c) for p, c in RULE_CLASSES.items()])
+    return F.when(rule_id != "", F.coalesce(by_id, vulnerability_class(rule_id), vulnerability_class(title)))
+
+
 def import_name(package: Column) -> Column:
     """What a package is imported as."""
     low = F.lower(package)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 PHASES = {"blocking-critical": {"CRITICAL": 0.90}, "blocking-standard": {"CRITICAL": 0.90, "HIGH": 0.85}}
-PRECISION_GATE = {"GS001": 0.15, "GS005": 0.25, "GS025": 0.10, "GS037": 0.20, "GS007": 0.05, "GS015": 0.15, "GS022": 0.10, "GS000": 0.05, "GS019": 0.20, "GS004": 0.70, "GS029": 0.60}
+PRECISION_GATE = {"GS001": 0.15, "GS005": 0.25, "GS025": 0.10, "GS037": 0.20, "GS007": 0.05, "GS015": 0.15, "GS022": 0.10, "GS000-LEGACY": 0.05, "GS019": 0.20, "GS004": 0.70, "GS029": 0.60}
+UNSURE, IMPRECISE, POC_BOOST, POC_BOOST_CAP = 0.35, 0.30, 0.05, 0.95
 SLA_DAYS = {"CRITICAL": 1, "HIGH": 7, "MEDIUM": 30, "LOW": 90}
 #: Allowed transitions of the finding state machine.
 TRANSITIONS = {
@@ -30,21 +31,30 @@ def _map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
-def blocking(findings: DataFrame, phase: str) -> DataFrame:
-    """findings (rule_id, severity, confidence, has_poc, overridden, status, verdicts, tp_rate) with blocking_reason and blocks.
+def blocking(findings: DataFrame, phase: str, *, bypass: bool = False, poc_boost: bool = True, invariants: bool = False, policy: dict[str, str] | None = None, manual: bool = False, min_verdicts: int = 10, min_tp_rate: float = 0.70) -> DataFrame:
+    """findings (rule_id, severity, confidence, poc, poc_failed, overridden, status, verdicts, tp_rate) with blocking_reason and blocks.
 
-    The first rule that holds decides: too unsure, below the phase's threshold, imprecise rule, shadow rule, too few verdicts, low precision, override.
+    The first rule that holds decides: bypass, no blocking phase, too unsure (by the raw confidence), below the phase's threshold (by that raised for a working proof), imprecise
+    rule (by whole id, else base id), deactivated or shadow rule, invariants not opted in, the policy's word on a base rule, manual mode, no or few verdicts, low precision, override.
     """
-    conf = F.when(F.col("has_poc"), F.least(F.lit(0.95), F.col("confidence") + 0.05)).otherwise(F.col("confidence"))
+    if bypass or phase not in PHASES:
+        return findings.withColumn("blocking_reason", F.lit("bypass" if bypass else "no-phase")).withColumn("blocks", F.lit(False))
+    sure = F.coalesce("confidence", F.lit(0.0))
+    proven = F.lit(poc_boost) & F.coalesce("poc", F.lit(False)) & ~F.coalesce("poc_failed", F.lit(False))
+    conf = F.when(proven, F.least(F.lit(POC_BOOST_CAP), sure + POC_BOOST)).otherwise(sure)
     threshold = F.element_at(_map(PHASES[phase]), F.col("severity"))
-    precision = F.element_at(_map(PRECISION_GATE), F.substring_index("rule_id", "-", 1))
+    base = F.substring_index("rule_id", "-", 1)
+    precision = F.coalesce(F.element_at(_map(PRECISION_GATE), F.col("rule_id")), F.element_at(_map(PRECISION_GATE), base))
+    said = F.element_at(_map(policy), base) if policy else F.lit(None).cast("string")
+    earned = F.when(F.col("verdicts").isNull(), "no-history").when(F.col("verdicts") < min_verdicts, "few-verdicts").when(F.coalesce("tp_rate", F.lit(0.0)) < min_tp_rate, "low-tp-rate")
+    allowed = F.when(base == "GS028", F.lit(None) if invariants else F.lit("invariants-off")).when(said.isNotNull(), F.when(said != "allow", "policy")).otherwise(F.lit("manual-mode") if manual else earned)
     reason = (
-        F.when(conf < 0.35, "low-confidence")
+        F.when(sure < UNSURE, "low-confidence")
         .when(threshold.isNull() | (conf < threshold), "below-threshold")
-        .when(F.coalesce(precision < 0.30, F.lit(False)), "imprecise-rule")
+        .when(precision < IMPRECISE, "imprecise-rule")
+        .when(F.col("status") == "deactivated", "deactivated-rule")
         .when(F.col("status") == "shadow", "shadow-rule")
-        .when(F.coalesce("verdicts", F.lit(0)) < 10, "few-verdicts")
-        .when(F.coalesce("tp_rate", F.lit(0.0)) < 0.70, "low-tp-rate")
+        .when(allowed.isNotNull(), allowed)
         .when(F.col("overridden"), "override")
         .otherwise("block")
     )
@@ -139,9 +149,36 @@ def chain_hash(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(prev, F.lit("")), payload), 256)
 
 
+def chained(events: DataFrame, by: str) -> DataFrame:
+    """events (by, seq, payload) with prev_hash and event_hash, each log in order of seq.
+
+    Rows are dealt by log and sorted by the shuffle (which spills); a task streams them and holds one hash, however long a log is.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        log, last = None, ""
+        for batch in batches:
+            before, after = [], []
+            for k, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != log:
+                    log, last = k, ""
+                before.append(last)
+                last = hashlib.sha256((last + (payload or "")).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "prev_hash", "event_hash"])
+
+    rows = events.select(by, "seq", "payload").repartition(by).sortWithinPartitions(by, "seq")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", prev_hash string, event_hash string")
+
+
 def verify_chain(events: DataFrame, by: str) -> DataFrame:
-    """(by, n_events, first_break): the first event whose stored previous hash isn't its predecessor's, or whose own hash doesn't follow from it."""
+    """(by, n_events, first_break, head): the first event whose stored previous hash isn't its predecessor's, or whose own hash doesn't follow from it, and the last event's hash."""
     w = Window.partitionBy(by).orderBy("seq")
     before = F.coalesce(F.lag("event_hash").over(w), F.lit(""))
-    broken = (F.col("prev_hash") != before) | (F.col("event_hash") != chain_hash(F.col("prev_hash"), F.col("payload")))
-    return events.withColumn("broken", broken).groupBy(by).agg(F.count(F.lit(1)).alias("n_events"), F.min(F.when(F.col("broken"), F.col("seq"))).alias("first_break"))
+    broken = (F.col("prev_hash") != before) | (F.col("event_hash") != chain_hash(F.col("prev_hash"), F.coalesce("payload", F.lit(""))))
+    return events.withColumn("broken", broken).groupBy(by).agg(F.count(F.lit(1)).alias("n_events"), F.min(F.when(F.col("broken"), F.col("seq"))).alias("first_break"), F.max_by("event_hash", "seq").alias("head"))

@@ -45,15 +45,63 @@ def range_match(packages: DataFrame, feed: DataFrame, hit: Column) -> DataFrame:
     return packages.join(feed, "name").where(hit)
 
 
-def severity_pairs(findings: DataFrame, by: list[str], key: str = "finding_key") -> DataFrame:
-    """Two-member chain candidates: distinct findings of one place, different rules and categories, each pair once."""
-    cols = [*by, key, "rule_id", "category", "rank"]
-    f = findings.select(*cols).dropDuplicates([*by, key])
+# Chain categories by the beginnings of rule ids.
+CHAIN_CATEGORIES = {
+    "GS001": "injection", "GS004": "injection", "GS005": "injection",
+    "GS007": "authz", "GS012": "info-leak",
+    "GS014": "info-leak",
+    "GS019": "auth", "GS011": "auth",
+    "GS022": "ssrf", "GS021": "ssrf",
+    "GS020": "injection",
+    "GS024": "llm-injection",
+    "GS025-permissive_cors": "exposure",
+    "GS025-debug_mode": "exposure",
+    "GS025-wildcard_bind": "exposure",
+    "GS025-hardcoded_secret": "secret",
+    "GS025-eval_usage": "injection",
+    "GS010": "exposure", "GS016": "exposure",
+}
+
+
+def chain_category(rule_id: Column, own: Column | None = None) -> Column:
+    """A rule's category in chains; rules outside the table have their ``own``, "other" without one."""
+    known = F.coalesce(*[F.when(rule_id.startswith(p), c) for p, c in CHAIN_CATEGORIES.items()])
+    return F.coalesce(known, own, F.lit("other")) if own is not None else F.coalesce(known, F.lit("other"))
+
+
+def chain_priority(categories: Column, ranks: Column, confidences: Column) -> Column:
+    """Priority of a chain of findings, given as three arrays: 2 a category, 3 for a leak beside an injection or an authorisation fault, 2 for a secret, 1.5 a step between severities, mean confidence."""
+    leak = F.array_contains(categories, "info-leak") & F.arrays_overlap(categories, F.array(*map(F.lit, ["injection", "authz", "auth"])))
+    mean = F.aggregate(confidences, F.lit(0.0), lambda a, x: a + x) / F.size(confidences)
+    return 2.0 * F.size(F.array_distinct(categories)) + F.when(leak, 3.0).otherwise(0.0) + F.when(F.array_contains(categories, "secret"), 2.0).otherwise(0.0) + 1.5 * (F.array_max(ranks) - F.array_min(ranks)) + mean
+
+
+def severity_pairs(findings: DataFrame, by: list[str], key: str = "finding_key", least: float = 0.35) -> DataFrame:
+    """Two-member chain candidates: distinct findings of one place and of confidence ``least`` or more, different rules and categories, each pair once."""
+    cols = [*by, key, "rule_id", "category", "rank", "confidence"]
+    f = findings.where(F.col("confidence") >= least).select(*cols).dropDuplicates([*by, key])
     a, b = (f.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in cols if c not in by]) for s in "ab")
     ok = (F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("rule_id_a") != F.col("rule_id_b")) & (F.col("category_a") != F.col("category_b"))
     return a.join(b, by).where(ok)
 
 
+def relevant_examples(snippets: DataFrame, examples: DataFrame, language: str, key: list[str], tie: list[str], among: int = 50, k: int = 3) -> DataFrame:
+    """The ``k`` best examples (text, severity, relevance, collected_at, cwe_id) for each snippet (column ``snippet``): score and columns of both.
+
+    Only the ``among`` foremost examples of a language are scored (that is the operator's definition), so a snippet meets ``among`` rows at most, whatever the table's size.
+    """
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0)))
+    rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).otherwise(2)
+    order = Window.partitionBy(language).orderBy(rank, F.desc("relevance"), F.desc("collected_at"), *tie)
+    top = examples.withColumn("place", F.row_number().over(order)).where(F.col("place") <= among).withColumn("t", tokens(F.col("text")))
+    pairs = snippets.withColumn("s", tokens(F.col("snippet"))).join(top, language)
+    overlap = F.size(F.array_intersect("s", "t"))
+    named = F.contains(F.lower("snippet"), F.lower(F.coalesce("cwe_id", F.lit(""))))
+    score = F.when(named, 5).otherwise(0) + F.when(overlap >= 3, F.least(overlap, F.lit(10))).otherwise(0) + 3 * F.coalesce("relevance", F.lit(0.0))
+    scored = pairs.withColumn("score", score).withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "place")))
+    return scored.where((F.col("n") <= k) & (F.col("score") > 0)).drop("n", "place", "s", "t")
+
+
 def drop_subsets(chains: DataFrame) -> DataFrame:
     """Chains (chain_key, keys: sorted array) whose keys aren't a strict subset of another chain's. Only chains that share a key are compared."""
     members = chains.select("chain_key", "keys", F.explode("keys").alias("k"))

@@ -87,14 +87,17 @@ def compliance(findings: DataFrame, exact: DataFrame, by_base: DataFrame) -> Dat
     return j.withColumn("control", F.coalesce("c1", "c2")).drop("c1", "c2", "base")
 
 
-def revalidation(path: Column, snippet: Column, confidence: Column) -> Column:
-    """A verdict that needs no model: tests, documents, placeholders and comments are false, certain ones true, others null."""
+def revalidation(path: Column, exists: Column, detail: Column, severity: Column) -> Column:
+    """A verdict that needs no model, by the first rule that holds: the file is gone ("fixed"), it is a test or a document, a template (of high severity:
+    open, null), or the detail speaks of placeholders ("false-positive"); null: open."""
+    path, low = F.coalesce(path, F.lit("")), F.lower(F.coalesce(detail, F.lit("")))
+    kinds = "test|tests|fixture|demo|example|sample"
     return (
-        F.when(path.rlike(r"(?i)(^|/)(tests?|fixtures|examples?)/"), "fp")
-        .when(path.rlike(r"(?i)\.(md|rst|txt)$"), "fp")
-        .when(snippet.rlike(r"(?i)example|placeholder|changeme|your[_-]"), "fp")
-        .when(snippet.rlike(r"^\s*(#|//|\*)"), "fp")
-        .when(confidence >= 0.95, "tp")
+        F.when(~F.coalesce(exists, F.lit(True)), "fixed")
+        .when(path.rlike(f"/({kinds})/|_({kinds})\\.|^({kinds})/"), "false-positive")
+        .when(path.rlike("[.](md|rst|txt|org)$"), "false-positive")
+        .when(F.lower(path).rlike("example|sample|template|[.]dist"), F.when(~F.coalesce(severity, F.lit("MEDIUM")).isin("HIGH", "CRITICAL"), "false-positive"))
+        .when(low.rlike("placeholder|changeme|your-key|example[.]com"), "false-positive")
     )
 
 
@@ -111,9 +114,7 @@ def world_readable(name: Column, mode: Column) -> Column:
 
 
 def canary_promotion(hours: Column, fp_rate: Column, error_rate: Column, pct: Column) -> tuple[Column, Column]:
-    """(action, next percentage) of a staged rollout: 1, 5, 25, 50, 100."""
-    good = (hours >= 24) & (fp_rate < 0.05) & (error_rate < 0.01)
-    bad = (fp_rate >= 0.20) | (error_rate >= 0.05)
+    """(action, next percentage) of a staged rollout in steps of 1, 5, 25, 50, 100. Only an active one (over 0, under 100) is promoted; rolling back is a person's decision."""
+    ready = (pct > 0) & (pct < 100) & (hours >= 24) & (fp_rate < 0.05) & (error_rate < 0.01)
     step = F.when(pct < 1, 1).when(pct < 5, 5).when(pct < 25, 25).when(pct < 50, 50).otherwise(100)
-    action = F.when(bad, "rollback").when(good & (pct < 100), "promote").otherwise("hold")
-    return action, F.when(bad, 0).when(good, step).otherwise(pct)
+    return F.when(ready, "promote").otherwise("hold"), F.when(ready, step).otherwise(pct)

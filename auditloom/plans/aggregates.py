@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import keys
-from auditloom.operators import decide, detect
+from auditloom.operators import decide, detect, joins
 
 from . import records as R
 
@@ -190,32 +190,39 @@ def severity_order_page(spark, d):
     return R.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(rank, F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
 
 
-_TOK = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z]{{4,}}'))"
+_TOK = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{4,}}'))"
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark), c AS (SELECT conv_id, turn, {_TOK.format('text')} AS t FROM conversations), x AS (SELECT item_id, conv_id, turn, len(list_intersect(b.t, c.t)) AS overlap FROM b, c), s AS (SELECT *, least(overlap, 10) AS score FROM x WHERE overlap >= 3) SELECT item_id, conv_id, turn, score::INT AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, conv_id, turn) AS n FROM s) WHERE n <= 5""")
+_EXAMPLE = ["CASE conv_id % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity", "CAST(turn % 4 AS DOUBLE) / 4 AS relevance", "conv_id AS collected_at", "CASE WHEN turn % 2 = 0 THEN 'The' ELSE 'CWE-79' END AS cwe_id"]
+
+
+@query(f"""WITH e AS (SELECT conv_id, turn, role, text, {', '.join(_EXAMPLE)} FROM conversations WHERE text <> ''), c AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, relevance DESC, collected_at DESC, turn) AS place FROM e QUALIFY place <= 50),
+b AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, lower(coalesce(text, '')) AS snippet FROM benchmark), x AS (SELECT item_id, conv_id, turn, place, relevance, contains(snippet, lower(cwe_id)) AS named, len(list_intersect({_TOK.format('snippet')}, {_TOK.format('c.text')})) AS overlap FROM b JOIN c USING (role)),
+s AS (SELECT *, CASE WHEN named THEN 5 ELSE 0 END + CASE WHEN overlap >= 3 THEN least(overlap, 10) ELSE 0 END + 3 * relevance AS score FROM x), t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, place) AS n FROM s) SELECT item_id, conv_id, turn, round(score, 6)::DOUBLE AS score FROM t WHERE n <= 3 AND score > 0""")
 def retrieval_topk(spark, d):
-    tok = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))
-    # Joined on shared tokens, so only pairs with one meet; overlap is the number of shared tokens.
-    b = R.table(spark, d, "benchmark").select("item_id", F.explode(tok).alias("t"))
-    c = R.table(spark, d, "conversations").select("conv_id", "turn", F.explode(tok).alias("t"))
-    s = b.join(c, "t").groupBy("item_id", "conv_id", "turn").agg(F.count("*").alias("overlap")).where("overlap >= 3")
-    top = detect.first_per(s, ["item_id"], [F.desc("overlap"), "conv_id", "turn"], 5)
-    return top.select("item_id", "conv_id", "turn", F.least("overlap", F.lit(10)).cast("int").alias("score"))
+    """Examples for a snippet: the 50 foremost of its language (here: role), scored by named CWE, shared tokens and relevance."""
+    examples = R.table(spark, d, "conversations").where("text <> ''").selectExpr("conv_id", "turn", "role", "text", *_EXAMPLE)
+    snippets = R.table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("snippet"))
+    found = joins.relevant_examples(snippets, examples, "role", ["item_id"], ["turn"])
+    return found.select("item_id", "conv_id", "turn", F.round("score", 6).alias("score"))
 
 
-_F = f"""f AS (SELECT event_id, 'GS' || lpad((user_id % 45)::VARCHAR, 3, '0') || '-x' AS rule_id, {_BUCKET} AS severity, least(0.99, 0.5 + value / 300) AS confidence, user_id % 4 = 0 AS has_poc, user_id % 9 = 0 AS overridden, CASE WHEN user_id % 11 = 0 THEN 'shadow' ELSE 'full' END AS status FROM events), s AS (SELECT 'GS' || lpad((user_id % 45)::VARCHAR, 3, '0') || '-x' AS rule_id, count(*) AS verdicts, count(*) FILTER (value < 120) / count(*) AS tp_rate FROM events WHERE event_type <> 'view' GROUP BY 1)"""
-_GATE = "CASE split_part(rule_id, '-', 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in decide.PRECISION_GATE.items()) + " END"
+_F = f"""f AS (SELECT event_id, 'GS' || lpad((user_id % 45)::VARCHAR, 3, '0') || '-x' AS rule_id, {_BUCKET} AS severity, least(0.99, 0.2 + value / 200) AS confidence, user_id % 4 = 0 AS poc, user_id % 8 = 0 AS poc_failed, user_id % 9 = 0 AS overridden, CASE WHEN user_id % 11 = 0 THEN 'shadow' WHEN user_id % 13 = 0 THEN 'deactivated' ELSE 'full' END AS status FROM events), s AS (SELECT 'GS' || lpad((user_id % 45)::VARCHAR, 3, '0') || '-x' AS rule_id, count(*) AS verdicts, count(*) FILTER (value < 120) / count(*) AS tp_rate FROM events WHERE event_type <> 'view' GROUP BY 1)"""
+_POLICY = {"GS009": "allow", "GS010": "deny"}
 
 
-@query(f"""WITH {_F}, j AS (SELECT f.*, verdicts, tp_rate, CASE WHEN has_poc THEN least(0.95, confidence + 0.05) ELSE confidence END AS conf FROM f LEFT JOIN s USING (rule_id))
-SELECT event_id, rule_id, reason AS blocking_reason, reason = 'block' AS blocks FROM (SELECT *, CASE WHEN conf < 0.35 THEN 'low-confidence' WHEN (CASE severity WHEN 'CRITICAL' THEN 0.90 WHEN 'HIGH' THEN 0.85 END) IS NULL OR conf < (CASE severity WHEN 'CRITICAL' THEN 0.90 WHEN 'HIGH' THEN 0.85 END) THEN 'below-threshold' WHEN coalesce({_GATE} < 0.30, false) THEN 'imprecise-rule' WHEN status = 'shadow' THEN 'shadow-rule' WHEN coalesce(verdicts, 0) < 10 THEN 'few-verdicts' WHEN coalesce(tp_rate, 0) < 0.70 THEN 'low-tp-rate' WHEN overridden THEN 'override' ELSE 'block' END AS reason FROM j)""")
+@query(f"""WITH {_F}, gate(base, precision) AS (VALUES ('GS001', 0.15), ('GS005', 0.25), ('GS025', 0.10), ('GS037', 0.20), ('GS007', 0.05), ('GS015', 0.15), ('GS022', 0.10), ('GS019', 0.20), ('GS004', 0.70), ('GS029', 0.60)), phase(severity, least_conf) AS (VALUES ('CRITICAL', 0.90), ('HIGH', 0.85)),
+j AS (SELECT f.*, split_part(rule_id, '-', 1) AS base, verdicts, tp_rate, CASE WHEN poc AND NOT poc_failed THEN least(0.95, confidence + 0.05) ELSE confidence END AS conf FROM f LEFT JOIN s USING (rule_id)),
+r AS (SELECT event_id, rule_id, CASE WHEN confidence < 0.35 THEN 'low-confidence' WHEN least_conf IS NULL OR conf < least_conf THEN 'below-threshold' WHEN precision < 0.30 THEN 'imprecise-rule' WHEN status = 'deactivated' THEN 'deactivated-rule' WHEN status = 'shadow' THEN 'shadow-rule' WHEN base = 'GS028' THEN 'invariants-off' WHEN base = 'GS010' THEN 'policy'
+ WHEN base <> 'GS009' AND verdicts IS NULL THEN 'no-history' WHEN base <> 'GS009' AND verdicts < 10 THEN 'few-verdicts' WHEN base <> 'GS009' AND tp_rate < 0.70 THEN 'low-tp-rate' WHEN overridden THEN 'override' ELSE 'block' END AS reason FROM j LEFT JOIN gate USING (base) LEFT JOIN phase USING (severity))
+SELECT event_id, rule_id, reason AS blocking_reason, reason = 'block' AS blocks FROM r""")
 def blocking_decisions(spark, d):
     rule = F.concat(F.lit("GS"), F.lpad((F.col("user_id") % 45).cast("string"), 3, "0"), F.lit("-x"))
     e = events(spark, d).withColumn("rule_id", rule)
-    f = e.select("event_id", "rule_id", F.expr(_BUCKET).alias("severity"), F.least(F.lit(0.99), 0.5 + F.col("value") / 300).alias("confidence"), (F.col("user_id") % 4 == 0).alias("has_poc"), (F.col("user_id") % 9 == 0).alias("overridden"), F.when(F.col("user_id") % 11 == 0, "shadow").otherwise("full").alias("status"))
+    status = F.when(F.col("user_id") % 11 == 0, "shadow").when(F.col("user_id") % 13 == 0, "deactivated").otherwise("full")
+    f = e.select("event_id", "rule_id", F.expr(_BUCKET).alias("severity"), F.least(F.lit(0.99), 0.2 + F.col("value") / 200).alias("confidence"), (F.col("user_id") % 4 == 0).alias("poc"), (F.col("user_id") % 8 == 0).alias("poc_failed"), (F.col("user_id") % 9 == 0).alias("overridden"), status.alias("status"))
     stats = e.where("event_type <> 'view'").groupBy("rule_id").agg(F.count("*").alias("verdicts"), (F.count_if(F.col("value") < 120) / F.count("*")).alias("tp_rate"))
-    return decide.blocking(f.join(stats, "rule_id", "left"), "blocking-standard").select("event_id", "rule_id", "blocking_reason", "blocks")
+    return decide.blocking(f.join(stats, "rule_id", "left"), "blocking-standard", policy=_POLICY).select("event_id", "rule_id", "blocking_reason", "blocks")
 
 
 @query("""WITH v AS (SELECT user_id AS rule_id, count(*) AS n, count(*) FILTER (value < 45) AS tp FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1) SELECT rule_id, n, tp, CASE WHEN n < 10 THEN 'shadow' WHEN tp / n >= 0.70 THEN 'full' WHEN tp / n < 0.30 THEN 'deactivated' ELSE 'shadow' END AS status, round(CASE WHEN n >= 10 AND tp / n >= 0.70 THEN least(0.80 + (tp / n - 0.70) / 2, 0.95) ELSE 0.75 END, 6)::DOUBLE AS confidence FROM v""")
@@ -234,9 +241,20 @@ def auto_resolve(spark, d):
 _KIND = "CASE event_type WHEN 'signup' THEN 'finding_created' WHEN 'click' THEN 'fp_reported' WHEN 'purchase' THEN 'fix_pushed' WHEN 'view' THEN 'comment_added' ELSE CASE WHEN value > 50 THEN 'fix_confirmed' ELSE 'fix_rejected' END END"
 
 
-@query(None)
+_NEXT = """CASE WHEN x.kind = 'finding_created' AND a.state = 'new' THEN CASE WHEN x.conf >= 0.9 AND x.severity IN ('CRITICAL', 'HIGH') THEN 'confirmed' ELSE 'triage' END
+ WHEN x.kind = 'fp_reported' AND a.state IN ('new', 'triage', 'fp') THEN 'fp' WHEN x.kind = 'fix_pushed' AND a.state = 'confirmed' THEN 'fix_pending'
+ WHEN x.kind = 'fix_confirmed' AND a.state = 'fix_pending' THEN 'fix_verified' WHEN x.kind = 'fix_rejected' AND a.state = 'fix_pending' THEN 'fix_rejected'
+ WHEN x.kind = 'comment_added' AND a.state = 'failed' THEN CASE WHEN a.attempt >= 3 THEN 'wontfix' ELSE 'triage' END WHEN x.kind = 'comment_added' AND a.state IN ('fp', 'wontfix', 'fix_rejected') THEN 'triage' ELSE a.state END"""
+_ALLOWED_NEXT = """(a.state = 'new' AND n IN ('triage', 'fp', 'closed')) OR (a.state = 'triage' AND n IN ('confirmed', 'fp', 'wontfix', 'failed')) OR (a.state = 'confirmed' AND n IN ('fix_pending', 'wontfix')) OR (a.state = 'fp' AND n IN ('closed', 'triage')) OR (a.state = 'wontfix' AND n = 'closed')
+ OR (a.state = 'fix_pending' AND n IN ('fix_verified', 'fix_rejected', 'failed')) OR (a.state = 'fix_verified' AND n = 'closed') OR (a.state IN ('fix_rejected', 'failed') AND n = 'triage')"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS finding_key, {_KIND} AS kind, {_BUCKET} AS severity, least(0.99, value / 100) AS conf, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+a AS (SELECT finding_key, 0::BIGINT AS i, 'new' AS state, 0 AS attempt, 0::BIGINT AS n_changes, 0::BIGINT AS n_invalid FROM e WHERE i = 1
+ UNION ALL SELECT finding_key, i, n AS state, attempt + (state = 'failed' AND kind = 'comment_added' AND n = 'triage')::INT, n_changes + (n <> state)::INT, n_invalid + (n <> state AND NOT ({_ALLOWED_NEXT.replace('a.state', 'state')}))::INT FROM (SELECT a.finding_key, x.i, x.kind, a.state, a.attempt, a.n_changes, a.n_invalid, {_NEXT} AS n FROM a JOIN e x ON x.finding_key = a.finding_key AND x.i = a.i + 1))
+SELECT finding_key, arg_max(state, i) AS state, arg_max(attempt, i)::INT AS attempt, max(i)::BIGINT AS n_events, max(n_changes)::BIGINT AS n_changes, max(n_invalid)::BIGINT AS n_invalid FROM a GROUP BY 1""")
 def fsm_current_state(spark, d):
-    """The router folded over each user's events; tested against a plain fold, since SQL has no ordered fold."""
+    """The router folded over each user's events."""
     e = events(spark, d).select(F.col("user_id").cast("string").alias("finding_key"), F.expr(_KIND).alias("kind"), F.expr(_BUCKET).alias("severity"), F.least(F.lit(0.99), F.col("value") / 100).alias("confidence"), "ts", F.col("event_id").alias("seq"))
     return decide.run_fsm(e)
 
@@ -252,13 +270,12 @@ def transition_validity(spark, d):
     return s.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(decide.transition_is_valid(F.col("before"), F.col("after"))).alias("n_valid"))
 
 
-@query("""WITH l AS (SELECT user_id, event_id AS seq, event_type AS payload, lag(sha256(event_type || event_id)) OVER (PARTITION BY user_id ORDER BY event_id) AS p, sha256(event_type || event_id) AS h FROM events), c AS (SELECT *, CASE WHEN seq % 997 = 1 THEN 'tampered' ELSE coalesce(p, '') END AS prev_hash FROM l) SELECT user_id, count(*) AS n_events, min(seq) FILTER (prev_hash <> coalesce(p, '')) AS first_break FROM c GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id, event_id AS seq, event_type || event_id AS payload FROM events) SELECT user_id, count(*) AS n_events, min(seq) FILTER (seq % 997 = 1) AS first_break, list_reduce([''] || list(payload ORDER BY seq), lambda h, x: sha256(h || x)) AS head FROM e GROUP BY 1""")
 def audit_hash_chain(spark, d):
-    e = events(spark, d).select("user_id", F.col("event_id").alias("seq"), F.sha2(F.concat("event_type", F.col("event_id").cast("string")), 256).alias("event_hash"))
-    w = Window.partitionBy("user_id").orderBy("seq")
-    own = F.coalesce(F.lag("event_hash").over(w), F.lit(""))
-    e = e.withColumn("expected", own).withColumn("prev_hash", F.when(F.col("seq") % 997 == 1, "tampered").otherwise(F.col("expected")))
-    return e.groupBy("user_id").agg(F.count("*").alias("n_events"), F.min(F.when(F.col("prev_hash") != F.col("expected"), F.col("seq"))).alias("first_break"))
+    """Each user's log is chained, some payloads are changed afterwards, and the chain is verified."""
+    e = events(spark, d).select("user_id", F.col("event_id").alias("seq"), F.concat("event_type", F.col("event_id").cast("string")).alias("payload"))
+    chained = decide.chained(e, "user_id").withColumn("payload", F.when(F.col("seq") % 997 == 1, "tampered").otherwise(F.col("payload")))
+    return decide.verify_chain(chained, "user_id")
 
 
 @query(f"""WITH {R.FINDINGS_SQL}, s AS (SELECT project, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS b, count(*) FILTER (severity = 'MEDIUM') AS w FROM findings GROUP BY 1) SELECT project, CASE WHEN ends_with(project, '7') THEN 'action_required' WHEN ends_with(project, '3') THEN 'neutral' WHEN ends_with(project, '1') THEN CASE WHEN w > 0 THEN 'neutral' ELSE 'success' END WHEN b > 0 THEN 'failure' ELSE 'success' END AS conclusion FROM s""")

@@ -128,16 +128,16 @@ def import_orphans(spark, d):
     return R.table(spark, d, "part").join(used, "p_partkey", "left_anti").select("p_partkey", F.when(F.col("p_size") / 5.0 >= 7, "MEDIUM").otherwise("LOW").alias("severity"))
 
 
-_CHAIN = f"""WITH {R.FINDINGS_SQL}, f AS (SELECT DISTINCT file_path, finding_key, rule_id, category, {R.SEVERITY_RANK} AS rank FROM findings), p AS (SELECT a.file_path, a.finding_key AS ka, b.finding_key AS kb, a.rank AS ra, b.rank AS rb FROM f a JOIN f b ON a.file_path = b.file_path AND a.finding_key < b.finding_key AND a.rule_id <> b.rule_id AND a.category <> b.category)"""
-
-
-@query(_CHAIN + " SELECT file_path, ka, kb, substring(sha256(ka || '|' || kb), 1, 12) AS chain_key, round(4 + 1.5 * (greatest(ra, rb) - least(ra, rb)), 6)::DOUBLE AS priority FROM p")
+@query(f"""WITH {R.FINDINGS_SQL}, f AS (SELECT DISTINCT file_path, finding_key, rule_id, CASE WHEN starts_with(rule_id, 'GS001') THEN 'injection' ELSE category END AS category, {R.SEVERITY_RANK} AS rank, confidence FROM findings WHERE confidence >= 0.35),
+p AS (SELECT a.file_path, a.finding_key AS ka, b.finding_key AS kb, greatest(a.rank, b.rank) - least(a.rank, b.rank) AS gap, (a.confidence + b.confidence) / 2 AS mean, list_has_all([a.category, b.category], ['info-leak', 'injection']) AS leak FROM f a JOIN f b ON a.file_path = b.file_path AND a.finding_key < b.finding_key AND a.rule_id <> b.rule_id AND a.category <> b.category)
+SELECT file_path, ka, kb, substring(sha256(ka || '|' || kb), 1, 12) AS chain_key, round(4 + CASE WHEN leak THEN 3 ELSE 0 END + 1.5 * gap + mean, 6)::DOUBLE AS priority FROM p""")
 def chain_candidates(spark, d):
-    f = R.findings(spark, d).withColumn("rank", R.severity_rank())
+    f = R.findings(spark, d).withColumn("rank", R.severity_rank()).withColumn("category", joins.chain_category(F.col("rule_id"), F.col("category")))
     p = joins.severity_pairs(f, ["file_path"])
     key = F.substring(F.sha2(F.concat_ws("|", "finding_key_a", "finding_key_b"), 256), 1, 12)
-    gap = F.abs(F.col("rank_a") - F.col("rank_b"))
-    return p.select("file_path", F.col("finding_key_a").alias("ka"), F.col("finding_key_b").alias("kb"), key.alias("chain_key"), F.round(4 + 1.5 * gap, 6).cast("double").alias("priority"))
+    both = lambda c: F.array(f"{c}_a", f"{c}_b")
+    priority = joins.chain_priority(both("category"), both("rank"), both("confidence"))
+    return p.select("file_path", F.col("finding_key_a").alias("ka"), F.col("finding_key_b").alias("kb"), key.alias("chain_key"), F.round(priority, 6).alias("priority"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS chain, list_sort(list(DISTINCT l_partkey % 40)) AS keys FROM lineitem WHERE l_orderkey < 900 OR l_quantity > 20 GROUP BY 1) SELECT chain::VARCHAR AS chain_key, keys FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE len(b.keys) > len(a.keys) AND list_has_all(b.keys, a.keys))""".replace("l_orderkey < 900 OR ", ""))
@@ -194,8 +194,9 @@ def purl_dedup(spark, d):
     return R.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("kept"), F.count("*").alias("n_rows"))
 
 
-@query("""SELECT DISTINCT url AS finding FROM pages WHERE page_id % 2 = 0 EXCEPT SELECT url FROM pages WHERE page_id % 3 = 0""")
+@query("""SELECT DISTINCT url AS finding FROM pages EXCEPT SELECT url FROM pages WHERE contains(html, '&amp;')""")
 def baseline_suppression(spark, d):
+    """Pages that the baseline (those with an escaped ampersand) doesn't hold, compared by hash."""
     p = R.table(spark, d, "pages")
-    base = p.where("page_id % 3 = 0").select(F.sha2("url", 256).alias("h"))
-    return p.where("page_id % 2 = 0").select(F.col("url").alias("finding"), F.sha2("url", 256).alias("h")).join(base, "h", "left_anti").select("finding").distinct()
+    base = p.where(F.contains("html", F.lit("&amp;"))).select(F.sha2("url", 256).alias("h"))
+    return p.select(F.col("url").alias("finding"), F.sha2("url", 256).alias("h")).join(base, "h", "left_anti").select("finding").distinct()

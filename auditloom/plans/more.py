@@ -41,11 +41,14 @@ def compliance_lookup(spark, d):
     return policy.compliance(R.findings(spark, d), exact, base).select("file_path", "line_number", "rule_id", "match", "control")
 
 
-@query(f"""WITH {R.FINDINGS_SQL}, v AS (SELECT CASE WHEN regexp_matches(file_path, '^src1/') THEN 'fp' WHEN regexp_matches(snippet, '(?i)example|placeholder|changeme|your[_-]') THEN 'fp' WHEN regexp_matches(snippet, '^\\s*(#|//|\\*)') THEN 'fp' WHEN confidence >= 0.9 THEN 'tp' END AS verdict, severity FROM findings) SELECT coalesce(verdict, 'open') AS verdict, severity, count(*) AS n FROM v GROUP BY ALL""")
+_PLACE = "CASE project WHEN 'src1' THEN 'tests/' || file_path WHEN 'src3' THEN file_path || '.md' WHEN 'src4' THEN 'Config.dist/' || file_path ELSE file_path END"
+
+
+@query(f"""WITH {R.FINDINGS_SQL}, p AS (SELECT *, {_PLACE} AS place FROM findings), v AS (SELECT CASE WHEN project = 'src2' THEN 'fixed' WHEN starts_with(place, 'tests/') OR ends_with(place, '.md') THEN 'false-positive' WHEN contains(lower(place), '.dist') THEN CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 'open' ELSE 'false-positive' END
+ WHEN contains(lower(snippet), 'placeholder') OR contains(lower(snippet), 'changeme') OR contains(lower(snippet), 'your-key') OR contains(lower(snippet), 'example.com') THEN 'false-positive' ELSE 'open' END AS verdict, severity FROM p) SELECT verdict, severity, count(*) AS n FROM v GROUP BY ALL""")
 def revalidation_histogram(spark, d):
     f = R.findings(spark, d)
-    path = F.when(F.col("file_path").startswith("src1/"), F.concat(F.lit("tests/"), F.col("file_path"))).otherwise(F.col("file_path"))
-    v = policy.revalidation(path, F.col("snippet"), F.when(F.col("confidence") >= 0.9, 0.95).otherwise(F.col("confidence")))
+    v = policy.revalidation(F.expr(_PLACE), F.col("project") != "src2", F.col("snippet"), F.col("severity"))
     return f.groupBy(F.coalesce(v, F.lit("open")).alias("verdict"), "severity").agg(F.count("*").alias("n"))
 
 
@@ -122,7 +125,7 @@ def sightings_first_last(spark, d):
     return R.table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("first_sighting"), F.max("event_id").alias("last_sighting"), F.count("*").alias("n"), F.date_diff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))).alias("span_days"))
 
 
-@query("""WITH c AS (SELECT user_id AS flag, 24 * (max(ts)::DATE - min(ts)::DATE) AS hours, count(*) FILTER (event_type = 'error') / count(*) / 4 AS fp, count(*) FILTER (value > 200) / count(*) AS err, (user_id % 5) * 20 AS pct FROM events GROUP BY 1) SELECT flag, CASE WHEN fp >= 0.2 OR err >= 0.05 THEN 'rollback' WHEN hours >= 24 AND fp < 0.05 AND err < 0.01 AND pct < 100 THEN 'promote' ELSE 'hold' END AS action, (CASE WHEN fp >= 0.2 OR err >= 0.05 THEN 0 WHEN hours >= 24 AND fp < 0.05 AND err < 0.01 THEN CASE WHEN pct < 1 THEN 1 WHEN pct < 5 THEN 5 WHEN pct < 25 THEN 25 WHEN pct < 50 THEN 50 ELSE 100 END ELSE pct END)::BIGINT AS next_pct FROM c""")
+@query("""WITH c AS (SELECT user_id AS flag, 24 * (max(ts)::DATE - min(ts)::DATE) AS hours, count(*) FILTER (event_type = 'error') / count(*) / 4 AS fp, count(*) FILTER (value > 200) / count(*) AS err, (user_id % 5) * 20 AS pct FROM events GROUP BY 1) SELECT flag, CASE WHEN hours >= 24 AND fp < 0.05 AND err < 0.01 AND pct BETWEEN 1 AND 99 THEN 'promote' ELSE 'hold' END AS action, (CASE WHEN hours >= 24 AND fp < 0.05 AND err < 0.01 AND pct BETWEEN 1 AND 99 THEN CASE WHEN pct < 5 THEN 5 WHEN pct < 25 THEN 25 WHEN pct < 50 THEN 50 ELSE 100 END ELSE pct END)::BIGINT AS next_pct FROM c""")
 def canary_promotion(spark, d):
     e = R.table(spark, d, "events").groupBy(F.col("user_id").alias("flag")).agg((24 * F.date_diff(F.to_date(F.max("ts")), F.to_date(F.min("ts")))).alias("hours"), (F.count_if(F.col("event_type") == "error") / F.count("*") / 4).alias("fp"), (F.count_if(F.col("value") > 200) / F.count("*")).alias("err")).withColumn("pct", (F.col("flag") % 5) * 20)
     action, pct = policy.canary_promotion(F.col("hours"), F.col("fp"), F.col("err"), F.col("pct"))
@@ -137,10 +140,13 @@ def calibration_gate(spark, d):
     return x.join(n, ["project", "rule_id"], "left").select("project", "rule_id", found.alias("n_found"), (found >= F.col("least")).alias("passed"))
 
 
-@query("""SELECT p_brand AS manifest, count(*) FILTER (p_size >= 35) AS blocking, count(*) AS n, count(*) FILTER (p_size >= 35) = 0 AS passed FROM part WHERE p_partkey % 3 = 0 GROUP BY 1""")
+@query("""WITH r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') SELECT p_brand AS manifest, count(*) FILTER (p_size >= 35 AND l_partkey IS NOT NULL) AS blocking, count(*) AS n, count(*) FILTER (p_size >= 35 AND l_partkey IS NOT NULL) = 0 AS passed FROM part LEFT JOIN r ON l_partkey = p_partkey GROUP BY 1""")
 def sca_merge_gate(spark, d):
-    p = R.table(spark, d, "part").where("p_partkey % 3 = 0")
-    return p.groupBy(F.col("p_brand").alias("manifest")).agg(F.count_if(F.col("p_size") >= 35).alias("blocking"), F.count("*").alias("n")).withColumn("passed", F.col("blocking") == 0)
+    """Packages of high severity that are reachable (here: that lines which came back use) block their manifest."""
+    used = R.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("reachable")).distinct()
+    p = R.table(spark, d, "part").select("p_partkey", "p_brand", "p_size").join(used, "p_partkey", "left")
+    blocking = F.count_if((F.col("p_size") >= 35) & F.coalesce("reachable", F.lit(False)))
+    return p.groupBy(F.col("p_brand").alias("manifest")).agg(blocking.alias("blocking"), F.count("*").alias("n")).withColumn("passed", F.col("blocking") == 0)
 
 
 @query("""SELECT l_shipmode AS x FROM (SELECT l_returnflag || l_linestatus AS l_shipmode FROM lineitem WHERE l_quantity > 10) GROUP BY 1 INTERSECT SELECT l_returnflag || l_linestatus FROM lineitem WHERE l_discount > 0.05""")

@@ -141,13 +141,16 @@ def licence_gate(spark, d):
     return p.groupBy("p_brand", "licence_class").agg(F.count("*").alias("n_parts")).withColumn("allowed", ~F.col("licence_class").isin(software.FORBIDDEN))
 
 
-@query("""WITH t AS (SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'CVE-2021-1234-sqli' WHEN 1 THEN 'GS025-command_injection' WHEN 2 THEN 'template injection with rce' WHEN 3 THEN 'GS001' WHEN 4 THEN 'PII disclosure' WHEN 5 THEN 'open redirect to lfi' ELSE event_type END AS label, user_id % 7 AS k FROM events)
-SELECT event_id, CASE k WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'command_injection' WHEN 2 THEN 'ssti' WHEN 4 THEN 'info_leak' WHEN 5 THEN 'open_redirect' END AS cls, CASE WHEN k = 0 THEN 'CVE-2021-1234' END AS cve, split_part(label, '-', 1) AS base FROM t""")
+_RULE_OF_EVENT = "CASE user_id % 9 WHEN 0 THEN 'CVE-2021-1234-sqli' WHEN 1 THEN 'GS025-command_injection' WHEN 2 THEN 'GS037-template' WHEN 3 THEN 'GS001' WHEN 4 THEN 'GS040-email' WHEN 5 THEN 'X' WHEN 6 THEN 'GS005-raw' WHEN 7 THEN 'GS039-login' ELSE 'YAML-A7E2F001' END"
+_TITLE_OF_EVENT = "CASE user_id % 9 WHEN 2 THEN 'Template injection with RCE' WHEN 3 THEN 'Hardcoded secret' WHEN 4 THEN 'XSS address' WHEN 5 THEN 'Open redirect to LFI' WHEN 6 THEN 'XSS in page' WHEN 7 THEN 'Authentication-bypass at login' ELSE event_type END"
+
+
+@query(f"""WITH t AS (SELECT event_id, {_RULE_OF_EVENT} AS label, user_id % 9 AS k FROM events), c(k, cls) AS (VALUES (0, 'sql_injection'), (1, 'command_injection'), (2, 'ssti'), (4, 'info_leak'), (5, 'open_redirect'), (6, 'sql_injection'), (7, 'auth_bypass'), (8, 'command_injection'))
+SELECT event_id, cls, CASE WHEN k = 0 THEN 'CVE-2021-1234' END AS cve, split_part(label, '-', 1) AS base FROM t LEFT JOIN c USING (k)""")
 def vulnerability_classes(spark, d):
-    label = F.expr("CASE user_id % 7 WHEN 0 THEN 'CVE-2021-1234-sqli' WHEN 1 THEN 'GS025-command_injection' WHEN 2 THEN 'template injection with rce' WHEN 3 THEN 'GS001' WHEN 4 THEN 'PII disclosure' WHEN 5 THEN 'open redirect to lfi' ELSE event_type END")
-    e = R.table(spark, d, "events").select("event_id", label.alias("label"))
+    e = R.table(spark, d, "events").select("event_id", F.expr(_RULE_OF_EVENT).alias("label"), F.expr(_TITLE_OF_EVENT).alias("title"))
     alias = F.array(F.regexp_replace("label", "-sqli$", ""))
-    return e.select("event_id", software.vulnerability_class(F.col("label")).alias("cls"), software.cve_id(F.col("label"), alias).alias("cve"), software.base_rule(F.col("label")).alias("base"))
+    return e.select("event_id", software.rule_class(F.col("label"), F.col("title")).alias("cls"), software.cve_id(F.col("label"), alias).alias("cve"), software.base_rule(F.col("label")).alias("base"))
 
 
 @query("""WITH g AS (SELECT event_type AS rule_id, count(DISTINCT user_id) AS tenants, count(*) FILTER (value >= 5) / count(*) AS rate FROM events GROUP BY 1), l AS (SELECT event_type AS rule_id, user_id, least(avg(value) / 100, 1.0::DOUBLE) AS conf FROM events GROUP BY ALL)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import keys, scoring, software, text
-from auditloom.operators import decide, detect, joins
+from auditloom.operators import decide, detect, joins, policy
 
 
 def one(spark, rows, schema, column):
@@ -53,6 +53,8 @@ def test_software(spark):
     rows = [("PyPI", "Requests", "2.25.0"), ("npm", "@babel/core", "7.0.0"), ("Go", "github.com/gin-gonic/gin", "v1.7.0"), ("PyPI", "x", None)]
     assert one(spark, rows, "e string, n string, v string", software.purl(c("e"), c("n"), c("v"))) == ["pkg:pypi/requests@2.25.0", "pkg:npm/%40babel/core@7.0.0", "pkg:golang/github.com/gin-gonic/gin@1.7.0", "pkg:pypi/x"]
     assert one(spark, [("CVE-2021-XXXX-sqli",), ("GS025-command_injection",), ("GS001",), ("ssti rce",)], "s string", software.vulnerability_class(c("s"))) == ["sql_injection", "command_injection", None, "ssti"]
+    ids = [("GS005-x", "XSS"), ("GS040-email", None), ("GS025-command_injection", "XSS"), ("GS037-x", "SSTI via template"), ("GS001", "Hardcoded secret"), ("", "XSS"), ("YAML-A7E2F001", None), ("GS039", "authentication bypass")]
+    assert one(spark, ids, "i string, t string", software.rule_class(c("i"), c("t"))) == ["sql_injection", "info_leak", "command_injection", "ssti", None, None, "command_injection", "auth_bypass"]
     assert one(spark, [("GHSA-1", ["cve-2020-12345"]), ("PYSEC-1", None)], "i string, a array<string>", software.cve_id(c("i"), c("a"))) == ["CVE-2020-12345", None]
     assert one(spark, [("PyYAML",), ("python-dotenv",), ("My-Lib",)], "s string", software.import_name(c("s"))) == ["yaml", "dotenv", "my_lib"]
     nested = [([{"ranges": [{"events": [{"introduced": "0", "fixed": None}, {"introduced": None, "fixed": "1.2"}]}, {"events": [{"introduced": "2", "fixed": "2.1"}]}]}],)]
@@ -131,3 +133,62 @@ def test_published_fix_quality_and_dread(spark):
     names = [("BUSL-1.1",), ("SSPL-1.0",), ("LGPL-2.0",), ("Python-2.0",), ("GPL-2.0-with-odd-exception",)]
     assert one(spark, names, "s string", software.licence_class(c("s"))) == ["proprietary", "copyleft", "weak-copyleft", "permissive", "copyleft"]
     assert "payment" not in scoring.CRITICAL_PATHS and "payment/" in scoring.CRITICAL_PATHS
+
+
+def test_revalidation_and_canary(spark):
+    c = F.col
+    rows = [("src/a.py", False, "changeme", "HIGH"), ("src/tests/a.py", True, None, "HIGH"), ("src/a_test.py", True, None, "LOW"), ("latest/a.py", True, None, "LOW"), ("docs/a.md", True, None, "HIGH"), ("conf/Template.yml", True, "changeme", "CRITICAL"), ("conf/app.dist", True, None, "LOW"), ("a.py", True, "mail Example.com", "HIGH"), ("# a.py", True, "# x", "HIGH"), (None, None, None, None)]
+    assert one(spark, rows, "p string, e boolean, d string, s string", policy.revalidation(c("p"), c("e"), c("d"), c("s"))) == ["fixed", "false-positive", "false-positive", None, "false-positive", None, "false-positive", "false-positive", None, None]
+    flags = [(24, 0.04, 0.0, 5), (24, 0.5, 0.5, 5), (23, 0.0, 0.0, 5), (24, 0.0, 0.0, 0), (24, 0.0, 0.0, 100), (48, 0.049, 0.0099, 50)]
+    assert one(spark, flags, "h int, f double, e double, p int", F.struct(*policy.canary_promotion(c("h"), c("f"), c("e"), c("p")))) == [("promote", 25), ("hold", 5), ("hold", 5), ("hold", 0), ("hold", 100), ("promote", 100)]
+
+
+def test_blocking_order(spark):
+    schema = "rule_id string, severity string, confidence double, poc boolean, poc_failed boolean, overridden boolean, status string, verdicts int, tp_rate double, k string"
+    good = ("GS020-x", "CRITICAL", 0.95, False, False, False, "full", 10, 0.7)
+    rows = {
+        "block": good,
+        "low-confidence": ("GS020-x", "CRITICAL", 0.34, True, False, False, "full", 10, 0.7),
+        "below-threshold": ("GS020-x", "CRITICAL", 0.86, True, True, False, "full", 10, 0.7),
+        "imprecise-rule": ("GS001-x", *good[1:]),
+        "deactivated-rule": (*good[:6], "deactivated", 10, 0.7),
+        "shadow-rule": (*good[:6], "shadow", 10, 0.7),
+        "invariants-off": ("GS028-x", *good[1:]),
+        "policy": ("GS010-x", *good[1:]),
+        "no-history": (*good[:7], None, None),
+        "few-verdicts": (*good[:7], 9, 1.0),
+        "low-tp-rate": (*good[:7], 10, 0.69),
+        "override": (*good[:5], True, *good[6:]),
+    }
+    f = spark.createDataFrame([(*v, k) for k, v in rows.items()], schema)
+    got = {r.k: r.blocking_reason for r in decide.blocking(f, "blocking-critical", policy={"GS010": "deny"}).collect()}
+    assert got == {k: k for k in rows}
+    one_of = lambda row, **kw: decide.blocking(spark.createDataFrame([(*row, "")], schema), kw.pop("phase", "blocking-critical"), **kw).first().blocking_reason
+    assert one_of(("GS020-x", "CRITICAL", 0.86, True, False, False, "full", 10, 0.7)) == "block"  # a working proof lifts it to .91
+    assert one_of(("GS020-x", "CRITICAL", 0.86, True, False, False, "full", 10, 0.7), poc_boost=False) == "below-threshold"
+    assert one_of(good, bypass=True) == "bypass" and one_of(good, phase="report") == "no-phase" and one_of(good, manual=True) == "manual-mode"
+    assert one_of(("GS028-x", *good[1:]), invariants=True) == "block" and one_of(("GS000-LEGACY", *good[1:])) == "imprecise-rule"
+    assert one_of((*good[:7], None, None), policy={"GS020": "allow"}) == "block"
+
+
+def test_chain_priority_and_retrieval(spark):
+    c = F.col
+    rows = [(["info-leak", "injection"], [1, 4], [0.5, 0.7]), (["secret", "other"], [2, 2], [0.9, 0.5]), (["injection", "injection", "ssrf"], [1, 2, 3], [0.3, 0.6, 0.9])]
+    got = one(spark, rows, "a array<string>, r array<int>, f array<double>", F.round(joins.chain_priority(c("a"), c("r"), c("f")), 6))
+    assert got == [4 + 3 + 4.5 + 0.6, 4 + 2 + 0.7, 4 + 3 + 0.6]
+    assert one(spark, [("GS025-hardcoded_secret",), ("GS025-new",), ("GS014-x",), ("X",)], "r string", joins.chain_category(c("r"))) == ["secret", "other", "info-leak", "other"]
+    weak = spark.createDataFrame([("f", "a", "GS001", "injection", 4, 0.34), ("f", "b", "GS012", "info-leak", 1, 0.9)], "file_path string, finding_key string, rule_id string, category string, rank int, confidence double")
+    assert joins.severity_pairs(weak, ["file_path"]).count() == 0
+    snippets = spark.createDataFrame([(1, "py", "alpha beta gamma cwe-79 delta"), (2, "py", "nothing"), (3, None, "x")], "id int, lang string, snippet string")
+    examples = spark.createDataFrame([(1, "py", "alpha beta gamma", "LOW", 0.5, 1, "CWE-79"), (2, "py", "alpha beta", "HIGH", 0.0, 1, "CWE-1"), (3, "go", "alpha", "HIGH", 1.0, 1, None)], "e int, lang string, text string, severity string, relevance double, collected_at int, cwe_id string")
+    found = joins.relevant_examples(snippets, examples, "lang", ["id"], ["e"])
+    assert {(r.id, r.e, r.score) for r in found.collect()} == {(1, 1, 5 + 3 + 1.5), (2, 1, 1.5)}
+    assert {r.e for r in joins.relevant_examples(snippets, examples, "lang", ["id"], ["e"], among=1).collect()} == set()
+
+
+def test_log_is_chained(spark):
+    rows = [("u", 2, "b"), ("u", 1, "a"), ("v", 1, None), (None, 1, "x"), ("u", 3, "c")]
+    done = decide.chained(spark.createDataFrame(rows, "who string, seq int, payload string"), "who")
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {(r.who, r.n_events, r.first_break, r.head) for r in decide.verify_chain(done, "who").collect()} == {("u", 3, None, h(h(h("a") + "b") + "c")), ("v", 1, None, h("")), (None, 1, None, h("x"))}
+    assert {(r.who, r.first_break) for r in decide.verify_chain(done.where("seq <> 2 OR who <> 'u'"), "who").collect()} == {("u", 3), ("v", None), (None, None)}
