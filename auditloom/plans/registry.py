@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, detection, joins, more, scores
+from . import aggregates, detection, joins, more, pack_queries, scores
 
-MODULES = [detection, scores, joins, aggregates, more]
+MODULES = [detection, scores, joins, aggregates, more, pack_queries]
 
 
 def queries() -> dict:
