@@ -1,21 +1,21 @@
-"""The pipeline's near-dedup: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked; one of each component stays.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of ``percent`` / 100 or more are linked. Operator 12 and the pipeline's near-dedup work on this.
 
-Pairs of similarity 0.8 lie about 10 bits of 64 apart in SimHash, and a pigeonhole that finds all within 13 bits or more compares a fixed share of all pairs.
-Candidates come from MinHash bands instead: two texts meet in a band with probability s**rows, so a pair of 0.8 is missed by all
-24 bands of 5 with probability 7e-5, and a pair of 0.3 meets in 6 of 100 cases. Every candidate is then verified on the texts: only an exact similarity
-of 0.8 or more makes a link.
+Candidates come from bands of fast similarity sketches (:mod:`.fast_sketch`); every candidate is then verified on the full sets of its texts: only an exact similarity
+of ``percent`` or more makes a link.
 
-Copies (equal words) collapse first, so a group of copies of any size is one row. A bucket of up to ``ALL_PAIRS`` texts gives all its pairs; in a larger one
+Copies (equal sets) collapse first, so a group of copies of any size is one row. A bucket of up to ``ALL_PAIRS`` texts gives all its pairs; in a larger one
 each member is paired with two *leaders*, the least by two hashes that differ from band to band, so a large group of near copies stays linear. Where the members of a large bucket aren't in one
 component after that, the members outside its largest component (usually few) are held against all others, in blocks of ``BLOCK`` by ``BLOCK`` at most; only pairs that
 their sketches allow leave a block. So no bucket is capped and no link that a bucket holds is lost.
 
-Candidates are pruned exactly before any text travels: each text has a *parity sketch*, ``SKETCH`` bits of which each shingle flips one. Two sketches differ in no more bits than
+Candidates are pruned exactly before any text travels: each text has a *parity sketch*, bits of which each shingle flips one. Two sketches differ in no more bits than
 the sets of shingles do in elements, and sets of similarity s differ in (1 - s) / (1 + s) of the sum of their sizes at most, so a pair beyond that can't be similar. What remains is verified on the
 texts in two steps: each text with the candidate nearest by sketch first, then only pairs that those links haven't joined. The texts of candidates are written once.
 
-Cases: words are lower case by A-Z and parted by ASCII white space, as in operator 5; fewer words than a shingle are one shingle; null, empty and wordless texts are one
-group; a null doc_id is the smallest only in a group of null ids; an empty table gives an empty result.
+Tables of pairs, links and roots are broadcast where their rows were counted to be few, and joined by shuffles beyond that.
+
+Cases: words are lower case by A-Z and parted by ASCII white space; fewer words than a shingle are one shingle; null, empty and wordless texts have no shingle; a null doc_id is the
+smallest only in a group of null ids; an empty table gives an empty result; a text of any length is one row, its set eight bytes a shingle.
 """
 
 from __future__ import annotations
@@ -26,56 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import fast_sketch
 from .common import cut, small, written
-from .simhash import components
+from .fast_sketch import PARITY, shingle_set, similar
 
-BANDS, ROWS = 24, 5
 ALL_PAIRS = 16
 BLOCK = 8192
-SKETCH = 1024
-
-
-def shingles(text: bytes, shingle: int = 5) -> set[bytes]:
-    """The distinct word shingles of a UTF-8 text."""
-    words = text.lower().split()
-    if not words:
-        return set()
-    if len(words) <= shingle:
-        return {b" ".join(words)}
-    return set(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)))
-
-
-def similar(a: set, b: set, least: float) -> bool:
-    both = len(a & b)
-    return both + 1e-9 >= least * (len(a) + len(b) - both)
-
-
-def parity(found: set[bytes], seed: int = 42) -> bytes:
-    """The parity sketch of a set of shingles."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    places = np.array([xxh64_intdigest(s, seed) >> 32 for s in found], dtype=np.int64) % SKETCH
-    return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
-
-
-def bands(found: set[bytes], seed: int = 42) -> list[int]:
-    """A signed 64-bit value a band; none for a text without shingles."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    if not found:
-        return []
-    rng = np.random.default_rng(seed)
-    times = rng.integers(1, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
-    plus = rng.integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
-    values = np.array([xxh64_intdigest(s, seed) for s in found], dtype=np.uint64)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for lo in range(0, len(values), 2048):
-        least = np.minimum(least, (values[None, lo : lo + 2048] * times + plus).min(axis=1))
-    raw = least.astype("<u8").tobytes()
-    step = 8 * ROWS
-    return [v - (1 << 64) if (v := xxh64_intdigest(raw[k * step : (k + 1) * step], k)) >> 63 else v for k in range(BANDS)]
 
 
 def _met(batches: Iterator) -> Iterator:
@@ -106,7 +62,7 @@ def _apart(one, two):
 def _sketches(column):
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY // 64)
 
 
 def _allowed(apart, n, least: float):
@@ -130,22 +86,25 @@ def _possible(least: float):
     return run
 
 
-def _verified(shingle: int, least: float):
-    """Rows (u, v, a, b) with the texts a and b: the pairs (u, v) of similarity ``least`` or more."""
+def _verified(shingle: int, percent: int):
+    """Rows (u, v, a, b) with the texts a and b: the pairs (u, v) of similarity ``percent`` or more."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        last, left = None, set()
-        for batch in batches:
-            us, vs = [], []
-            for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if u != last:
-                    last, left = u, shingles(a, shingle)
-                if similar(left, shingles(b, shingle), least):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        last, left = None, None
+        try:
+            for batch in batches:
+                us, vs = [], []
+                for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    if u != last:
+                        last, left = u, shingle_set(a, shingle)
+                    if similar(left, shingle_set(b, shingle), percent):
+                        us.append(u)
+                        vs.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        finally:
+            fast_sketch.forget()
 
     return run
 
@@ -185,11 +144,57 @@ def _compared(least: float):
     return run
 
 
+def _forest(batches: Iterator) -> Iterator:
+    """Rows (u, v) of a partition to links (node, root of the partition's own component): as many as it has nodes at most."""
+    import pyarrow as pa
+
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := above.get(top, top)) != top:
+            top = up
+        while x != top:
+            above[x], x = top, above.get(x, top)
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    for k in range(0, len(nodes), 65536):
+        part = [x for x in nodes[k : k + 65536] if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(root, part), pa.int64())], names=["u", "v"])
+
+
+def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+    """(node, root) of every node with a link but the roots, root the smallest node of its component, by alternating stars.
+
+    Each partition first contracts its own links to stars. Then large-star hangs every larger neighbour of a node, small-star every smaller one, on the smallest neighbour, until
+    no node has two parents or a parent with a parent.
+    """
+    now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long"))
+    for _ in range(max_rounds):
+        ends = now.select(F.col("u").alias("x"), F.col("v").alias("up"), F.lit(0).alias("below")).unionByName(now.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("up"), F.lit(1).alias("below")))
+        seen = ends.groupBy("x").agg(F.min("up").alias("up"), F.max("up").alias("top"), F.max("below").alias("below"))
+        if not seen.where("up < top OR up IS NOT NULL AND below = 1").limit(1).count():
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = small(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = small(cut(up.groupBy("u").agg(F.min("v").alias("m"))))
+        hung = up.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = cut(low.select("u", F.col("m").alias("v")).unionByName(hung).distinct())
+    raise RuntimeError(f"components need over {max_rounds} rounds")
+
+
 def _rooted(nodes: DataFrame, stars: DataFrame | None, node: str = "node", root: str = "root") -> DataFrame:
     """``nodes`` with the root of a node; one without a link is its own."""
     if stars is None:
         return nodes.withColumn(root, F.col(node))
-    known = stars.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    known = small(stars).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
     return nodes.join(known, F.col(node) == F.col("__n"), "left").withColumn(root, F.coalesce("__r", node)).drop("__n", "__r")
 
 
@@ -207,43 +212,43 @@ def candidates(posts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(head[0]).alias("one"), F.min(head[1]).alias("two")).where("n > 1")
     sizes = cut(sizes.select("bucket", "n", F.col("one.node").alias("one"), F.col("two.node").alias("two")))
     large = sizes.where(F.col("n") > ALL_PAIRS)
-    few = posts.join(sizes.where(F.col("n") <= ALL_PAIRS).select("bucket"), "bucket", "left_semi")
+    few = posts.join(small(sizes.where(F.col("n") <= ALL_PAIRS).select("bucket")), "bucket", "left_semi")
     met = few.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "u long, v long")
     if not large.limit(1).count():
         return cut(met.distinct()), None
-    held = cut(posts.join(large, "bucket").select("bucket", "node", "one", "two"))
+    held = cut(posts.join(small(large), "bucket").select("bucket", "node", "one", "two"))
     led = held.select("node", F.explode(F.array("one", "two")).alias("leader")).where("node <> leader")
     return cut(met.unionByName(led.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))).distinct()), held.select("bucket", "node")
 
 
-def remaining(held: DataFrame, stars: DataFrame | None, marks: DataFrame, similarity: float) -> DataFrame:
+def remaining(held: DataFrame, stars: DataFrame | None, marks: DataFrame, percent: int) -> DataFrame:
     """The possible pairs (u, v, gap) of different components within the large buckets ``held`` (bucket, node)."""
     rooted = cut(_rooted(held, stars))
     counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = mixed.select("bucket", F.col("most.root").alias("most"), blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("most.n")).alias("lefts"))
-    rows = cut(rooted.join(mixed, "bucket").join(marks, "node"))
+    rows = cut(rooted.join(small(cut(mixed)), "bucket").join(marks, "node"))
     place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     left = rows.where("root <> most").select("*", place("lefts").alias("i"), every("rights").alias("j"))
     right = rows.select("*", place("rights").alias("j"), every("lefts").alias("i"))
     both = left.withColumn("right", F.lit(False)).unionByName(right.withColumn("right", F.lit(True)))
     both = both.select(F.xxhash64("bucket", "i", "j").alias("block"), "right", "node", "root", "n", "sketch").repartition("block").sortWithinPartitions("block", "right")
-    return cut(both.mapInArrow(_compared(similarity), "u long, v long, gap long").distinct())
+    return cut(both.mapInArrow(_compared(percent / 100), "u long, v long, gap long").distinct())
 
 
-def pruned(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+def pruned(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v, gap) whose sizes and sketches (``marks``: node, n, sketch) allow the similarity."""
     side = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1e-6)
-    return cut(both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_possible(similarity), "u long, v long, gap long"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") >= F.greatest("nu", "nv") * (percent / 100) - 1e-6)
+    return cut(both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_possible(percent / 100), "u long, v long, gap long"))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose texts (``texts``: row, t) are similar."""
     both = pairs.join(texts.select(F.col("row").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("row").alias("v"), F.col("t").alias("b")), "v")
-    return cut(both.select("u", "v", "a", "b").mapInArrow(_verified(shingle, similarity), "u long, v long"))
+    return cut(both.select("u", "v", "a", "b").mapInArrow(_verified(shingle, percent), "u long, v long"))
 
 
 def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -256,14 +261,14 @@ def _as_links(stars: DataFrame | None, links: DataFrame) -> DataFrame:
     return links if stars is None else links.unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
-def joined(pairs: DataFrame, stars: DataFrame | None, rows: DataFrame, shingle: int, similarity: float, *, nearest_first: bool) -> DataFrame | None:
+def joined(pairs: DataFrame, stars: DataFrame | None, rows: DataFrame, shingle: int, percent: int, *, nearest_first: bool) -> DataFrame | None:
     """``stars`` (node, root) with the links of the pairs (u, v, gap) that are similar; if ``nearest_first``, the nearest of each text, then those of the rest that are still apart."""
     if not pairs.limit(1).count():
         return stars
     texts = _texts_of(pairs, rows)
     for whole in (False, True) if nearest_first else (True,):
         now = pairs if whole else cut(pairs.groupBy("v").agg(F.min(F.struct("gap", "u")).alias("x")).select(F.col("x.u").alias("u"), "v"))
-        links = _linked(now.select("u", "v"), texts, shingle, similarity)
+        links = _linked(now.select("u", "v"), texts, shingle, percent)
         if links.limit(1).count():
             stars = cut(components(_as_links(stars, links)))
         if not whole:
@@ -273,12 +278,12 @@ def joined(pairs: DataFrame, stars: DataFrame | None, rows: DataFrame, shingle:
     return stars
 
 
-def linked_components(posts: DataFrame, marks: DataFrame, rows: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+def linked_components(posts: DataFrame, marks: DataFrame, rows: DataFrame, *, shingle: int, percent: int) -> DataFrame:
     """(node, root) of every text with a link, the root itself included, from its posts (bucket, a, b, node), ``marks`` (node, n, sketch) and ``rows`` (row, t)."""
     met, held = candidates(posts)
-    stars = joined(pruned(met, marks, similarity), None, rows, shingle, similarity, nearest_first=True)
+    stars = joined(pruned(met, marks, percent), None, rows, shingle, percent, nearest_first=True)
     if held is not None:
-        stars = joined(remaining(held, stars, marks, similarity), stars, rows, shingle, similarity, nearest_first=False)
+        stars = joined(remaining(held, stars, marks, percent), stars, rows, shingle, percent, nearest_first=False)
     if stars is None:
         return posts.select("node", F.col("node").alias("root")).limit(0)
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()  # a root is in no row of its own
@@ -290,39 +295,50 @@ def _posts(texts: DataFrame) -> DataFrame:
     return row.select(F.xxhash64("band", "value").alias("bucket"), F.hash("band", "key").alias("a"), F.hash("key", "band", F.lit("b")).alias("b"), "node")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component with just the columns of ``docs``: that of the smallest id (null last)."""
+def sketched(docs: DataFrame, *, shingle: int, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table of the rows of ``docs`` (doc: all its columns) with doc_id, key (a name of the set), bands, n (size of the set), sketch (parity) and row, a number."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh3_128_digest
 
-        for batch in batches:
-            keys, found, sizes, sketches = [], [], [], []
-            for t in batch.column(2).to_pylist():
-                own = shingles(t, shingle)
-                keys.append(xxh3_128_digest(b" ".join(t.lower().split())))
-                found.append(bands(own, seed))
-                sizes.append(len(own))
-                sketches.append(parity(own, seed))
-            columns = [pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "doc_id", "key", "bands", "n", "sketch"])
+        own = fast_sketch.Sketcher(seed=seed)
+        try:
+            for batch in batches:
+                rows = []
+                for t in batch.column(2).to_pylist():
+                    found = shingle_set(t, shingle)
+                    rows.append((fast_sketch.key(found), own.bands(found), len(found), fast_sketch.parity(found)))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "doc_id", "key", "bands", "n", "sketch"])
+        finally:
+            fast_sketch.forget()
 
     own = [("doc_id", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("n", T.LongType()), ("sketch", T.BinaryType())]
     fields = [boxed.schema["doc"], *[T.StructField(*x) for x in own]]
-    rows, _ = written(boxed.mapInArrow(run, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))
-    # The row number decides only between rows that are equal in id, words and the hash of all columns.
+    return written(boxed.mapInArrow(run, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))[0]
+
+
+def linked_sets(rows: DataFrame, *, shingle: int, percent: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Of sketched rows the distinct sets (key, order, node, copies; order has the smallest id first, its ``row`` is the node) and the (node, root) of those with a link, roots included."""
+    # The row number decides only between rows that are equal in id, set and the hash of all columns.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", F.xxhash64("doc").alias("h"), F.col("row"))
-    narrow = rows.select("key", order.alias("order"), "bands")
-    texts = cut(narrow.groupBy("key").agg(F.min("order").alias("order"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    posts = _posts(texts.select(F.col("order.row").alias("node"), "bands", "key"))
+    sets = rows.select("key", order.alias("order"), "bands").groupBy("key").agg(F.min("order").alias("order"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(sets.withColumn("node", F.col("order.row")))
     whole = rows.select("row", F.coalesce(F.col(f"doc.`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
     marks = rows.select(F.col("row").alias("node"), "n", "sketch")
-    stars = cut(linked_components(posts, marks, whole, shingle=shingle, similarity=similarity))
-    named = stars.join(texts.select(F.col("order.row").alias("node"), "order"), "node")
-    chosen = named.groupBy("root").agg(F.min("order").alias("best"))
-    lost = named.join(chosen, "root").where("order.row <> best.row").select(F.col("node").alias("row"))
-    copies = narrow.select("key", F.col("order.row").alias("row")).join(texts.where("n > 1").select("key", F.col("order.row").alias("first")), "key").where("row <> first").select("row")
+    stars = cut(linked_components(_posts(sets), marks, whole, shingle=shingle, percent=percent))
+    return sets.drop("bands"), stars
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component with just the columns of ``docs``: that of the smallest id (null last). Texts without words are one group."""
+    rows = sketched(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col)
+    sets, stars = linked_sets(rows, shingle=shingle, percent=percent, text_col=text_col)
+    named = sets.select("node", "order").join(small(stars), "node")
+    chosen = cut(named.groupBy("root").agg(F.min("order").alias("best")))
+    lost = named.join(small(chosen), "root").where("order.row <> best.row").select(F.col("node").alias("row"))
+    several = cut(sets.where("copies > 1").select("key", F.col("node").alias("first")))
+    copies = rows.select("key", "row").join(small(several), "key").where("row <> first").select("row")
     return rows.join(small(cut(lost.unionByName(copies))), "row", "left_anti").select("doc.*")

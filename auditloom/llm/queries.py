@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, conversation_trie, fill_middle, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, token_output
+from . import ann, classifier, conversation_trie, fill_middle, minhash, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, token_output
 from .common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,12 +64,16 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="char", seed=1, rate=90, spm=20))
 
 
+def op12_fast_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, seed=42)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op4_pii_surrogates, op5_simhash_components, op6_fair_mix, op7_quality_scores, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing, op11_fill_middle, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_matrices, op3_quality_votes, op4_pii_surrogates, op5_simhash_components, op6_fair_mix, op7_quality_scores, op8_rendezvous_shards, op9_permutation_search, op10_bestfit_packing, op11_fill_middle, op12_fast_minhash, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
