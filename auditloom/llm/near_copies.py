@@ -27,11 +27,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fast_sketch
-from .common import cut, small, written
+from .common import BROADCAST_ROWS, cut, small, written
 from .fast_sketch import PARITY, shingle_set, similar
 
 ALL_PAIRS = 16
 BLOCK = 8192
+#: Partitions of links that were counted to be few.
+FEW_PARTS = 8
+
+
+def _sliced(batches: Iterator, rows: int = 256) -> Iterator:
+    """Batches of fewer rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
 
 
 def _met(batches: Iterator) -> Iterator:
@@ -94,7 +103,7 @@ def _verified(shingle: int, percent: int):
 
         last, left = None, None
         try:
-            for batch in batches:
+            for batch in _sliced(batches):
                 us, vs = [], []
                 for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     if u != last:
@@ -173,20 +182,25 @@ def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """(node, root) of every node with a link but the roots, root the smallest node of its component, by alternating stars.
 
     Each partition first contracts its own links to stars. Then large-star hangs every larger neighbour of a node, small-star every smaller one, on the smallest neighbour, until
-    no node has two parents or a parent with a parent.
+    no node has two parents or a parent with a parent. Counted links that are few stay in few partitions, and their joins broadcast them.
     """
     now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long"))
+    rows = now.count()
+    few = rows <= BROADCAST_ROWS
+    tight = (lambda df: df.coalesce(max(FEW_PARTS, rows // 50_000))) if few else (lambda df: df)
+    side = F.broadcast if few else cut
+    now = tight(now)
     for _ in range(max_rounds):
         ends = now.select(F.col("u").alias("x"), F.col("v").alias("up"), F.lit(0).alias("below")).unionByName(now.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("up"), F.lit(1).alias("below")))
-        seen = ends.groupBy("x").agg(F.min("up").alias("up"), F.max("up").alias("top"), F.max("below").alias("below"))
+        seen = tight(ends.groupBy("x").agg(F.min("up").alias("up"), F.max("up").alias("top"), F.max("below").alias("below")))
         if not seen.where("up < top OR up IS NOT NULL AND below = 1").limit(1).count():
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return tight(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = small(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        least = side(tight(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = small(cut(up.groupBy("u").agg(F.min("v").alias("m"))))
-        hung = up.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = cut(low.select("u", F.col("m").alias("v")).unionByName(hung).distinct())
+        low = cut(tight(up.groupBy("u").agg(F.min("v").alias("m"))))
+        hung = up.join(F.broadcast(low) if few else low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = cut(tight(low.select("u", F.col("m").alias("v")).unionByName(hung).distinct()))
     raise RuntimeError(f"components need over {max_rounds} rounds")
 
 
@@ -305,7 +319,7 @@ def sketched(docs: DataFrame, *, shingle: int, seed: int = 42, id_col: str = "do
 
         own = fast_sketch.Sketcher(seed=seed)
         try:
-            for batch in batches:
+            for batch in _sliced(batches):
                 rows = []
                 for t in batch.column(2).to_pylist():
                     found = shingle_set(t, shingle)
