@@ -69,11 +69,16 @@ def chain_category(rule_id: Column, own: Column | None = None) -> Column:
     return F.coalesce(known, own, F.lit("other")) if own is not None else F.coalesce(known, F.lit("other"))
 
 
-def chain_priority(categories: Column, ranks: Column, confidences: Column) -> Column:
-    """Priority of a chain of findings, given as three arrays: 2 a category, 3 for a leak beside an injection or an authorisation fault, 2 for a secret, 1.5 a step between severities, mean confidence."""
+def chain_score(categories: Column, ranks: Column) -> Column:
+    """What a chain's classes give to its priority: 2 a category, 3 for a leak beside an injection or an authorisation fault, 2 for a secret, 1.5 a step between severities."""
     leak = F.array_contains(categories, "info-leak") & F.arrays_overlap(categories, F.array(*map(F.lit, ["injection", "authz", "auth"])))
+    return 2.0 * F.size(F.array_distinct(categories)) + F.when(leak, 3.0).otherwise(0.0) + F.when(F.array_contains(categories, "secret"), 2.0).otherwise(0.0) + 1.5 * (F.array_max(ranks) - F.array_min(ranks))
+
+
+def chain_priority(categories: Column, ranks: Column, confidences: Column) -> Column:
+    """Priority of a chain of findings, given as three arrays: :func:`chain_score` and the mean confidence."""
     mean = F.aggregate(confidences, F.lit(0.0), lambda a, x: a + x) / F.size(confidences)
-    return 2.0 * F.size(F.array_distinct(categories)) + F.when(leak, 3.0).otherwise(0.0) + F.when(F.array_contains(categories, "secret"), 2.0).otherwise(0.0) + 1.5 * (F.array_max(ranks) - F.array_min(ranks)) + mean
+    return chain_score(categories, ranks) + mean
 
 
 def severity_pairs(findings: DataFrame, by: list[str], key: str = "finding_key", least: float = 0.35) -> DataFrame:

@@ -29,12 +29,53 @@ class PackRule:
     pattern: str
 
 
+@dataclass(frozen=True)
+class Guard:
+    """What makes of a hit another severity (``to``: one, or one for each old one), or none at all (``to`` None). All conditions that are given must hold; a pack's first guard that does decides.
+
+    ``titles``: of which rules; ``line``: its line matches; ``match``: the matched text does; ``file`` and ``no_file``: the whole text does or doesn't; ``near``: so many lines before and after the hit's line that ``has`` matches
+    and ``lacks`` doesn't; ``parameter``: the name that this expression's group finds in the line is a parameter of the nearest function above, within 60 lines.
+    """
+
+    to: str | dict[str, str] | None = None
+    titles: tuple[str, ...] = ()
+    line: str = ""
+    match: str = ""
+    file: str = ""
+    no_file: str = ""
+    near: tuple[int, int] = (0, 0)
+    has: str = ""
+    lacks: str = ""
+    severities: tuple[str, ...] = ()
+    parameter: str = ""
+
+    def holds(self, hit: dict[str, Column], text: Column) -> Column:
+        """Whether it applies to a hit (title, severity, line, match)."""
+        own = F.coalesce(F.get("__lines", hit["line"] - 1), F.lit(""))
+        around = F.array_join(F.slice("__lines", F.greatest(hit["line"] - self.near[0], F.lit(1)), hit["line"] + self.near[1] - F.greatest(hit["line"] - self.near[0], F.lit(1)) + 1), "\n")
+        out = F.lit(True)
+        if self.titles:
+            out = out & hit["title"].isin(*self.titles)
+        if self.severities:
+            out = out & hit["severity"].isin(*self.severities)
+        for pattern, seen, wanted in ((self.line, own, True), (self.match, hit["match"], True), (self.has, around, True), (self.lacks, around, False), (self.file, text, True), (self.no_file, text, False)):
+            if pattern:
+                found = seen.rlike(FLAGS + pattern)
+                out = out & (found if wanted else ~found)
+        if self.parameter:
+            name = F.regexp_extract(own, FLAGS + self.parameter, 1)
+            above = F.reverse(F.slice("__lines", F.greatest(hit["line"] - 60, F.lit(1)), F.least(hit["line"] - 1, F.lit(60))))
+            heads = F.filter(F.transform(above, lambda l: F.regexp_extract(l, r"def\s+\w+\s*\(([^)]*)\)", 0)), lambda l: l != "")
+            out = out & (name != "") & F.coalesce(F.array_contains(F.regexp_extract_all(F.regexp_extract(F.get(heads, 0), r"\(([^)]*)\)", 1), F.lit(r"[a-zA-Z_]\w*"), F.lit(0)), name), F.lit(False))
+        return out
+
+
 @dataclass(frozen=True)
 class Pack:
     """Rules for files by extension or by a pattern of the path.
 
     ``excluded``: paths left out. ``window``: lines of a snippet before and after a hit; None: the hit's line, trimmed, 200 characters. ``docstrings`` False blanks triple-quoted
-    strings and interpreter sessions first. ``many`` is a further finding of files with ``most`` or more hits. ``required`` rules hit where their pattern is absent.
+    strings and interpreter sessions first; ``code`` blanks comments and quoted strings of languages like C. ``guards`` change or drop hits. ``file`` is a pattern that a file must hold, here or in its path (``named``). ``many`` is a further finding of files with ``most`` or more hits. ``required`` rules hit where their pattern is absent.
     """
 
     name: str
@@ -47,6 +88,10 @@ class Pack:
     many: PackRule | None = None
     most: int = 5
     required: tuple[PackRule, ...] = ()
+    guards: tuple[Guard, ...] = ()
+    code: bool = False
+    file: str = ""
+    named: str = ""
 
     def takes(self, path: Column) -> Column:
         ok = F.lower(F.regexp_extract(path, "[.][^.]*$", 0)).isin(*self.extensions) if self.extensions else path.rlike(self.path)
@@ -59,6 +104,16 @@ def without_docstrings(text: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, "   "), FLAGS + r"^[ \t]*(?:>>>|[.]{3})[^\n]*$", "")
 
 
+#: Comments and quoted strings of languages like C; an open one runs to the end.
+_NO_CODE = r"""//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|"(?:\\[\s\S]|[^"\\])*+(?:"|\\?\z)|'(?:\\[\s\S]|[^'\\])*+(?:'|\\?\z)"""
+
+
+def code_only(text: Column) -> Column:
+    """The text with comments and quoted strings blanked; line numbers stay."""
+    blanked = F.transform(F.regexp_extract_all(text, F.lit(_NO_CODE), F.lit(0)), lambda t: F.regexp_replace(t, "[^\n]", " "))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, _NO_CODE), blanked, lambda p, b: F.array(F.coalesce(p, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+
+
 def _table(pack: Pack) -> Column:
     """The pack's rules as one constant array."""
     rows = [{"pattern": FLAGS + r.pattern, "rule_id": r.rule_id, "title": r.title, "severity": r.severity, "confidence": r.confidence} for r in pack.rules]
@@ -71,8 +126,16 @@ def _snippet(line: Column, window: int | None) -> Column:
     return F.concat_ws("\n", *[F.get(F.col("__lines"), line - 1 + d) for d in range(-window, window + 1)])
 
 
-def _hit(rule: dict[str, Column], pack: Pack, line: Column, match: Column) -> Column:
-    return F.struct(*[rule[c].alias(c) for c in ("rule_id", "title", "severity", "confidence")], line.cast("int").alias("line_number"), match.alias("match"), _snippet(line, pack.window).alias("snippet"))
+def _hit(rule: dict[str, Column], pack: Pack, line: Column, match: Column, text: Column | None = None) -> Column:
+    severity = rule["severity"]
+    if pack.guards and text is not None:
+        hit = {"title": rule["title"], "severity": severity, "line": line, "match": match}
+        judged = None
+        for g in pack.guards:
+            to = F.lit(g.to) if not isinstance(g.to, dict) else F.coalesce(F.create_map(*[F.lit(x) for kv in g.to.items() for x in kv])[severity], severity)
+            judged = F.when(g.holds(hit, text), to) if judged is None else judged.when(g.holds(hit, text), to)
+        severity = judged.otherwise(severity).cast("string")
+    return F.struct(rule["rule_id"].alias("rule_id"), rule["title"].alias("title"), severity.alias("severity"), rule["confidence"].alias("confidence"), line.cast("int").alias("line_number"), match.alias("match"), _snippet(line, pack.window).alias("snippet"))
 
 
 def _constant(rule: PackRule) -> dict[str, Column]:
@@ -85,7 +148,8 @@ def _hits(rule: Column, pack: Pack, text: Column) -> Column:
     marked = F.split(F.regexp_replace(text, pattern, F.lit(_MARK + "$0")), "\n")
     lines = F.flatten(F.transform(marked, lambda s, i: F.array_repeat(i + 1, F.length(s) - F.length(F.translate(s, _MARK, "")))))
     found = F.arrays_zip(lines.alias("n"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
-    return F.transform(found, lambda x: _hit(rule, pack, x["n"], x["m"]))
+    hits = F.transform(found, lambda x: _hit(rule, pack, x["n"], x["m"], text))
+    return F.filter(hits, lambda h: h["severity"].isNotNull()) if pack.guards else hits
 
 
 def scan_packs(files: DataFrame, packs: Sequence[Pack], content: str = "content") -> DataFrame:
@@ -97,10 +161,11 @@ def scan_packs(files: DataFrame, packs: Sequence[Pack], content: str = "content"
     taken = files.where((F.coalesce(content, F.lit("")) != "") & F.coalesce(F.array_contains(F.array(*[p.takes(path) for p in packs]), True), F.lit(False)))
     text = F.translate(content, _MARK, "\ufffd")
     masked = F.when(F.array_contains(F.array(*[p.takes(path) if not p.docstrings else F.lit(False) for p in packs]), True), without_docstrings(text))
-    rows = taken.select("file_path", text.alias("__text"), masked.alias("__masked"), F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("__lines"))
+    code = F.when(F.coalesce(F.array_contains(F.array(*[p.takes(path) if p.code else F.lit(False) for p in packs]), True), F.lit(False)), code_only(text))
+    rows = taken.select("file_path", text.alias("__text"), masked.alias("__masked"), code.alias("__code"), F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("__lines"))
 
     def of(pack: Pack) -> Column:
-        seen = F.col("__text" if pack.docstrings else "__masked")
+        seen = F.col("__code" if pack.code else "__text" if pack.docstrings else "__masked")
         # A rule that doesn't match costs one search with a pattern compiled once a task; those that do are looked up by number.
         numbers = F.array_compact(F.array(*[F.when(seen.rlike(FLAGS + r.pattern), F.lit(k)) for k, r in enumerate(pack.rules)]))
         hits = F.flatten(F.transform(numbers, lambda k: _hits(F.get(_table(pack), k), pack, seen)))
@@ -110,7 +175,10 @@ def scan_packs(files: DataFrame, packs: Sequence[Pack], content: str = "content"
         if pack.many:
             more = lambda h: F.array(_hit(_constant(pack.many), pack, F.lit(1), F.concat(F.lit("("), F.size(h).cast("string"), F.lit(" patterns)"))))
             hits = F.flatten(F.transform(F.array(hits), lambda h: F.when(F.size(h) >= pack.most, F.concat(h, more(h))).otherwise(h)))
-        return F.when(pack.takes(path), hits).otherwise(F.array().cast(_HIT))
+        ok = pack.takes(path)
+        if pack.file:
+            ok = ok & (F.col("__text").rlike(FLAGS + pack.file) | (path.rlike(pack.named) if pack.named else F.lit(False)))
+        return F.when(ok, hits).otherwise(F.array().cast(_HIT))
 
     # explode_outer: for explode the optimizer infers a filter on the array's size, which would work all rules out twice.
     found = rows.select("file_path", F.explode_outer(F.flatten(F.array(*[of(p) for p in packs]))).alias("hit")).where("hit IS NOT NULL").select("file_path", "hit.*")

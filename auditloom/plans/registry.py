@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, detection, joins, more, pack_queries, scores
+from . import aggregates, chains, detection, graph, joins, more, pack_queries, scores
 
-MODULES = [detection, scores, joins, aggregates, more, pack_queries]
+MODULES = [detection, scores, joins, aggregates, more, pack_queries, chains, graph]
 
 
 def queries() -> dict:
