@@ -7,13 +7,48 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 LICENCES = {
-    "permissive": ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "isc", "0bsd", "unlicense", "zlib", "python-2.0", "wtfpl", "cc0-1.0", "bsl-1.0", "postgresql", "mit-0"],
-    "weak-copyleft": ["lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "mpl-1.0", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "cddl-1.0", "cddl-1.1", "cpl-1.0"],
-    "copyleft": ["gpl-2.0", "gpl-3.0", "agpl-3.0", "sspl-1.0", "osl-3.0", "cpal-1.0"],
-    "proprietary": ["proprietary", "commercial", "unlicensed", "all-rights-reserved", "busl-1.1", "elastic-2.0", "elv2", "commons-clause", "json", "fair-source-1.0", "noassertion", "cc-by-nc-4.0", "cc-by-nc-3.0", "cc-by-nc-2.0"],
+    "permissive": ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "0BSD", "Unlicense", "Zlib", "Python-2.0", "WTFPL", "CC0-1.0", "BSL-1.0", "PostgreSQL", "MIT-0"],
+    "weak-copyleft": ["LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "LGPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-1.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "CDDL-1.1", "CPL-1.0"],
+    "copyleft": ["GPL-2.0", "GPL-3.0", "GPL-2.0-only", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "SSPL-1.0", "OSL-3.0", "CPAL-1.0"],
+    "proprietary": ["Proprietary", "Commercial", "UNLICENSED", "All-Rights-Reserved", "BUSL-1.1", "Elastic-2.0", "ELv2", "Commons-Clause", "JSON", "Fair-Source-1.0", "NOASSERTION", "CC-BY-NC-4.0", "CC-BY-NC-3.0", "CC-BY-NC-2.0"],
+}
+#: Spellings of package registries, in lower case.
+LICENCE_SPELLINGS = {
+    "mit": "MIT",
+    "mit license": "MIT",
+    "apache-2.0": "Apache-2.0",
+    "apache 2.0": "Apache-2.0",
+    "apache license 2.0": "Apache-2.0",
+    "apache software license": "Apache-2.0",
+    "bsd": "BSD-3-Clause",
+    "bsd-2-clause": "BSD-2-Clause",
+    "bsd-3-clause": "BSD-3-Clause",
+    "new bsd": "BSD-3-Clause",
+    "simplified bsd": "BSD-2-Clause",
+    "isc": "ISC",
+    "gpl-3.0": "GPL-3.0",
+    "gpl-2.0": "GPL-2.0",
+    "gplv3": "GPL-3.0",
+    "gplv2": "GPL-2.0",
+    "agpl-3.0": "AGPL-3.0",
+    "agplv3": "AGPL-3.0",
+    "lgpl-3.0": "LGPL-3.0",
+    "lgpl-2.1": "LGPL-2.1",
+    "lgplv3": "LGPL-3.0",
+    "mpl-2.0": "MPL-2.0",
+    "mozilla public license 2.0": "MPL-2.0",
+    "epl-2.0": "EPL-2.0",
+    "eclipse public license": "EPL-2.0",
+    "python-2.0": "Python-2.0",
+    "psf": "Python-2.0",
+    "unlicense": "Unlicense",
+    "cc0-1.0": "CC0-1.0",
+    "zlib": "Zlib",
+    "wtfpl": "WTFPL",
+    "proprietary": "Proprietary",
+    "commercial": "Commercial",
+    "unlicensed": "UNLICENSED",
 }
-#: Beginnings that decide where the whole name is in no list.
-LICENCE_FAMILIES = {"copyleft": ["agpl", "gpl", "sspl"], "weak-copyleft": ["lgpl", "mpl", "epl"]}
 #: Worst first.
 LICENCE_ORDER = ["copyleft", "proprietary", "weak-copyleft", "unknown", "permissive"]
 FORBIDDEN = ["copyleft", "proprietary", "unknown"]
@@ -73,22 +108,23 @@ def in_range(version: Column, introduced: Column, fixed: Column) -> Column:
     return F.coalesce(v >= version_tuple(introduced), F.lit(True)) & F.coalesce(v < version_tuple(fixed), F.lit(True))
 
 
+def licence_id(name: Column) -> Column:
+    """The SPDX id of a licence as a registry spells it; empty for one that isn't known. A trailing + means or-later; custom terms are NOASSERTION; a classifier counts by its last part."""
+    raw = F.regexp_replace(F.trim(name), r"\+$", "-or-later")
+    upper = F.upper(raw)
+    custom = upper.startswith("LICENSEREF-") | upper.contains("SEE LICENSE") | (upper == "NOASSERTION")
+    last = F.regexp_extract(raw, r"(?i)License\s*::\s*OSI Approved\s*::\s*(.+)", 1)
+    spelled = F.create_map(*[F.lit(x) for kv in LICENCE_SPELLINGS.items() for x in kv])
+    found = spelled[F.lower(F.trim(F.when(last != "", last).otherwise(raw)))]
+    return F.when(raw == "", "").when(custom, "NOASSERTION").when(raw.isin(*[i for ids in LICENCES.values() for i in ids]), raw).otherwise(F.coalesce(found, F.lit("")))
+
+
 def licence_class(expression: Column) -> Column:
     """Worst class among an expression's licences; empty or missing is proprietary, unheard-of is unknown."""
-    rank = lambda c: LICENCE_ORDER.index(c)
-
-    def of(name: Column) -> Column:
-        out = F
-        for cls, names in LICENCES.items():
-            out = out.when(F.regexp_replace(name, "(-only|-or-later|\\+)$", "").isin(*names), rank(cls))
-        for cls, beginnings in LICENCE_FAMILIES.items():
-            out = out.when(name.rlike(f"^({'|'.join(beginnings)})"), rank(cls))
-        return out.otherwise(rank("unknown"))
-
-    names = F.filter(F.split(F.lower(F.regexp_replace(expression, "[()]", " ")), r"\s+or\s+|\s+and\s+|\s*,\s*|\s*/\s*|\s+with\s+"), lambda x: F.trim(x) != "")
-    aliased = F.transform(names, lambda x: F.when(F.trim(x).rlike("^(lgpl|mpl|gpl|agpl)$"), F.element_at(F.create_map(*[F.lit(v) for kv in {"lgpl": "lgpl-3.0", "mpl": "mpl-2.0", "gpl": "gpl-3.0", "agpl": "agpl-3.0"}.items() for v in kv]), F.trim(x))).otherwise(F.trim(x)))
-    worst = F.array_min(F.transform(aliased, of))
-    return F.when(expression.isNull() | (F.trim(expression) == ""), "proprietary").otherwise(F.element_at(F.array(*map(F.lit, LICENCE_ORDER)), worst + 1))
+    parts = F.filter(F.split(F.translate(expression, "()", "  "), r"\s+(?:AND|OR|WITH)\s+|[,/]"), lambda x: F.trim(x) != "")
+    classes = F.create_map(*[F.lit(x) for cls, ids in LICENCES.items() for i in ids for x in (i, LICENCE_ORDER.index(cls))])
+    worst = F.array_min(F.transform(parts, lambda x: F.coalesce(classes[licence_id(x)], F.lit(LICENCE_ORDER.index("unknown")))))
+    return F.when(F.size(parts) > 0, F.element_at(F.array(*map(F.lit, LICENCE_ORDER)), worst + 1)).otherwise("proprietary")
 
 
 def purl(ecosystem: Column, name: Column, version: Column) -> Column:

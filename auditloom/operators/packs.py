@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import keys
 
+from .anchors import anchors
+
 _MARK = "\u0001"
 _HIT = "array<struct<rule_id:string,title:string,severity:string,confidence:double,line_number:int,match:string,snippet:string>>"
 FLAGS = "(?dm)"  # ^ and $ at every \n, and at no other line end
@@ -152,6 +154,17 @@ def _hits(rule: Column, pack: Pack, text: Column) -> Column:
     return F.filter(hits, lambda h: h["severity"].isNotNull()) if pack.guards else hits
 
 
+def _gate(rule: PackRule, pack: Pack) -> Column:
+    """Whether the file holds a literal without which the rule can't match; true for a rule without one. Blanked text has other spaces, so literals of such packs have none."""
+    words = anchors(rule.pattern)
+    if not words or not all(w.isascii() for w in words) or ((pack.code or not pack.docstrings) and any(c.isspace() for w in words for c in w)):
+        return F.lit(True)
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(F.col("__low"), F.lit(w))
+    return out
+
+
 def scan_packs(files: DataFrame, packs: Sequence[Pack], content: str = "content") -> DataFrame:
     """Findings (file_path, rule_id, title, severity, confidence, line_number, match, snippet, finding_key): every match of every rule of the packs that take a file.
 
@@ -162,12 +175,12 @@ def scan_packs(files: DataFrame, packs: Sequence[Pack], content: str = "content"
     text = F.translate(content, _MARK, "\ufffd")
     masked = F.when(F.array_contains(F.array(*[p.takes(path) if not p.docstrings else F.lit(False) for p in packs]), True), without_docstrings(text))
     code = F.when(F.coalesce(F.array_contains(F.array(*[p.takes(path) if p.code else F.lit(False) for p in packs]), True), F.lit(False)), code_only(text))
-    rows = taken.select("file_path", text.alias("__text"), masked.alias("__masked"), code.alias("__code"), F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("__lines"))
+    rows = taken.select("file_path", text.alias("__text"), F.lower(text).alias("__low"), masked.alias("__masked"), code.alias("__code"), F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("__lines"))
 
     def of(pack: Pack) -> Column:
         seen = F.col("__code" if pack.code else "__text" if pack.docstrings else "__masked")
-        # A rule that doesn't match costs one search with a pattern compiled once a task; those that do are looked up by number.
-        numbers = F.array_compact(F.array(*[F.when(seen.rlike(FLAGS + r.pattern), F.lit(k)) for k, r in enumerate(pack.rules)]))
+        # A rule is searched for where a literal that it must hold occurs, with a pattern compiled once a task; those that match are looked up by number.
+        numbers = F.array_compact(F.array(*[F.when(_gate(r, pack) & seen.rlike(FLAGS + r.pattern), F.lit(k)) for k, r in enumerate(pack.rules)]))
         hits = F.flatten(F.transform(numbers, lambda k: _hits(F.get(_table(pack), k), pack, seen)))
         if pack.required:
             absent = [F.when(~seen.rlike(FLAGS + r.pattern), _hit(_constant(r), pack, F.lit(1), F.lit(""))) for r in pack.required]

@@ -35,12 +35,12 @@ def correlate_static_dynamic(spark, d):
     return joins.correlate(static, dynamic).select("file_path", "line_number", "rule_id", "match", "cls", "dynamic_id", "confirmed", "confidence")
 
 
-@query("""WITH feed AS (SELECT p_name AS name, min(p_size) AS introduced, max(p_size) AS fixed, 'CVE-2024-' || lpad(min(p_partkey)::VARCHAR, 4, '0') AS vuln FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@query("""WITH feed AS (SELECT p_name AS name, min(p_size) AS introduced, max(p_size) AS fixed, 'CVE-2024-' || lpad(min(p_partkey)::VARCHAR, 4, '0') AS vuln FROM part GROUP BY 1)
 SELECT p_partkey, name, p_size || '.' || (p_partkey % 10) AS version, vuln, fixed || '.0' AS fixed_in FROM part JOIN feed ON p_name = name WHERE [p_size, p_partkey % 10, 0, 0] >= [introduced, 0, 0, 0] AND [p_size, p_partkey % 10, 0, 0] < [fixed, 0, 0, 0]""")
 def sca_range_join(spark, d):
     p = R.table(spark, d, "part")
     packages = p.select("p_partkey", F.col("p_name").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string")).alias("version"))
-    feed = p.where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").cast("string").alias("introduced"), F.concat(F.max("p_size").cast("string"), F.lit(".0")).alias("fixed_in"), F.concat(F.lit("CVE-2024-"), F.lpad(F.min("p_partkey").cast("string"), 4, "0")).alias("vuln"))
+    feed = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").cast("string").alias("introduced"), F.concat(F.max("p_size").cast("string"), F.lit(".0")).alias("fixed_in"), F.concat(F.lit("CVE-2024-"), F.lpad(F.min("p_partkey").cast("string"), 4, "0")).alias("vuln"))
     hit = software.in_range(F.col("version"), F.col("introduced"), F.col("fixed_in"))
     return joins.range_match(packages, feed, hit).select("p_partkey", "name", "version", "vuln", "fixed_in")
 
@@ -181,11 +181,13 @@ def detector_tp_rates(spark, d):
     return v.select("rule_id", "verdicts", "tp", "fp", F.round(rate, 3).alias("tp_rate"), ((F.col("verdicts") >= 10) & (rate >= 0.70)).alias("blocking_ready"), F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), 6).alias("effectiveness"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderdate AS v FROM orders WHERE o_orderkey % 3 <> 0), u AS (SELECT o_orderkey AS k, 'U' AS s, o_orderdate + INTERVAL 1 DAY AS v FROM orders WHERE o_orderkey % 2 = 0) SELECT k, arg_max(s, v) AS status, max(v)::DATE AS version FROM (SELECT * FROM t UNION ALL SELECT * FROM u) GROUP BY k""")
+@query("""WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderdate AS v, 0 AS w FROM orders UNION ALL SELECT o_orderkey, 'U', max(l_shipdate), 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, w DESC) AS n FROM b) SELECT k, s AS status, v::DATE AS version FROM n WHERE n = 1""")
 def upserted_latest(spark, d):
+    """Every order, updated by its last shipment where that is later."""
     o = R.table(spark, d, "orders")
-    t = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("v"))
-    u = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit("U").alias("status"), F.expr("o_orderdate + INTERVAL 1 DAY").alias("v"))
+    t = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("v"))
+    shipped = R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("v"))
+    u = o.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("k"), F.lit("U").alias("status"), "v")
     return joins.upsert(t, u, ["k"], "v").select("k", "status", F.to_date("v").alias("version"))
 
 

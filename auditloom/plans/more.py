@@ -52,9 +52,9 @@ def revalidation_histogram(spark, d):
     return f.groupBy(F.coalesce(v, F.lit("open")).alias("verdict"), "severity").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {R.FINDINGS_SQL}, i AS (SELECT DISTINCT file_path, CASE WHEN regexp_matches(content, '(?i)licen') THEN 'card' ELSE 'phone' END AS safe_for FROM files WHERE doc_id % 2 = 0) SELECT f.file_path, f.line_number, f.rule_id, f."match", CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.file_path = f.file_path AND contains(lower(f.title), i.safe_for)) THEN 'LOW' ELSE f.severity END AS severity FROM findings f""")
+@query(f"""WITH {R.FINDINGS_SQL}, i AS (SELECT DISTINCT file_path, CASE WHEN regexp_matches(content, '(?i)licen') THEN 'card' ELSE 'phone' END AS safe_for FROM files) SELECT f.file_path, f.line_number, f.rule_id, f."match", CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.file_path = f.file_path AND contains(lower(f.title), i.safe_for)) THEN 'LOW' ELSE f.severity END AS severity FROM findings f""")
 def framework_downgrade(spark, d):
-    imports = R.files(spark, d).where("doc_id % 2 = 0").select("file_path", F.when(F.col("content").rlike("(?i)licen"), "card").otherwise("phone").alias("safe_for")).distinct()
+    imports = R.files(spark, d).select("file_path", F.when(F.col("content").rlike("(?i)licen"), "card").otherwise("phone").alias("safe_for")).distinct()
     return policy.framework_filtered(R.findings(spark, d), imports).select("file_path", "line_number", "rule_id", "match", "severity")
 
 

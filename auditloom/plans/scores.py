@@ -133,10 +133,13 @@ def severity_purl_version(spark, d):
     return p.select("p_partkey", sev.alias("severity"), F.coalesce(scoring.lookup(sev, scoring.DOWNGRADE), F.lit("LOW")).alias("unreachable"), software.purl(F.lit("PyPI"), name, F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))).alias("purl"), software.concrete_version(spec).alias("version"))
 
 
-@query("""WITH e(n, expr) AS (VALUES (0, 'MIT'), (1, 'GPL-3.0 OR MIT'), (2, 'LGPL'), (3, ''), (4, 'MIT, Apache-2.0'), (5, 'made-up'), (6, 'MPL-2.0 AND ISC'), (7, 'BUSL-1.1'), (8, 'SSPL-1.0'), (9, 'LGPL-2.0-only'), (10, 'Python-2.0')), c(n, cls) AS (VALUES (0, 'permissive'), (1, 'copyleft'), (2, 'weak-copyleft'), (3, 'proprietary'), (4, 'permissive'), (5, 'unknown'), (6, 'weak-copyleft'), (7, 'proprietary'), (8, 'copyleft'), (9, 'weak-copyleft'), (10, 'permissive'))
-SELECT p_brand, cls AS licence_class, count(*) AS n_parts, cls NOT IN ('copyleft', 'proprietary', 'unknown') AS allowed FROM part JOIN c ON n = p_partkey % 11 GROUP BY ALL""")
+_LICENCES = ["MIT", "GPL-3.0 OR MIT", "LGPL", "", "MIT, Apache-2.0", "made-up", "MPL-2.0 AND ISC", "BUSL-1.1", "SSPL-1.0", "LGPL-2.0-only", "Python-2.0", "Apache License 2.0", "bsd", "License :: OSI Approved :: MIT License", "LicenseRef-x OR MIT", "SEE LICENSE IN file", "GPL-3.0+", "psf/isc", "(lgplv3 AND MIT)", "mit or gpl-3.0", "LGPL-2.1+", "Apache-2.0 WITH LLVM-exception", "Eclipse Public License"]
+
+
+@query("""WITH c(n, cls) AS (VALUES (0, 'permissive'), (1, 'copyleft'), (2, 'unknown'), (3, 'proprietary'), (4, 'permissive'), (5, 'unknown'), (6, 'weak-copyleft'), (7, 'proprietary'), (8, 'copyleft'), (9, 'weak-copyleft'), (10, 'permissive'), (11, 'permissive'), (12, 'permissive'), (13, 'permissive'), (14, 'proprietary'), (15, 'proprietary'), (16, 'copyleft'), (17, 'permissive'), (18, 'weak-copyleft'), (19, 'unknown'), (20, 'unknown'), (21, 'unknown'), (22, 'weak-copyleft'))
+SELECT p_brand, cls AS licence_class, count(*) AS n_parts, cls NOT IN ('copyleft', 'proprietary', 'unknown') AS allowed FROM part JOIN c ON n = p_partkey % 23 GROUP BY ALL""")
 def licence_gate(spark, d):
-    expr = F.element_at(F.array(*map(F.lit, ["MIT", "GPL-3.0 OR MIT", "LGPL", "", "MIT, Apache-2.0", "made-up", "MPL-2.0 AND ISC", "BUSL-1.1", "SSPL-1.0", "LGPL-2.0-only", "Python-2.0"])), (F.col("p_partkey") % 11 + 1).cast("int"))
+    expr = F.element_at(F.array(*map(F.lit, _LICENCES)), (F.col("p_partkey") % len(_LICENCES) + 1).cast("int"))
     p = R.table(spark, d, "part").select("p_brand", software.licence_class(expr).alias("licence_class"))
     return p.groupBy("p_brand", "licence_class").agg(F.count("*").alias("n_parts")).withColumn("allowed", ~F.col("licence_class").isin(software.FORBIDDEN))
 

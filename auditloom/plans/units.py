@@ -1,4 +1,4 @@
-"""Queries on functions as units, and on findings that come back: documents' lines become functions, their personal data sources, sinks and calls."""
+"""Queries on functions as units, and on findings that come back: documents' lines become functions, some of their words sources, sinks and calls."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def query(sql: str | None):
     return add
 
 
-_STEPS = [(r"[\w.]+@[\w.]+", "request.args"), (r"\d+", "cursor.execute(x)"), ("password", "escape(x)")]
+_STEPS = [("[a-z]+tion", "request.args"), ("[a-z]{9,}", "cursor.execute(x)"), ("ss", "escape(x)")]
 
 
 def _sql_code() -> str:

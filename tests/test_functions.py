@@ -49,7 +49,10 @@ def test_software(spark):
     rows = [("0.7.6", "0.0.1", "0.8.0", True), ("0.8.0", "0.0.1", "0.8.0", False), ("1.2", "1.2.0", "1.2.1", True), ("v1.2", "1.2.0", None, True), ("1.10", "1.9", "1.11", True)]
     df = spark.createDataFrame(rows, "v string, i string, f string, want boolean")
     assert all(r.got == r.want for r in df.select("want", software.in_range(c("v"), c("i"), c("f")).alias("got")).collect())
-    assert one(spark, [("MIT",), ("GPL-3.0 OR MIT",), ("LGPL",), ("MPL-2.0",), ("",), ("odd",), ("MIT, GPL-3.0",), (None,)], "s string", software.licence_class(c("s"))) == ["permissive", "copyleft", "weak-copyleft", "weak-copyleft", "proprietary", "unknown", "copyleft", "proprietary"]
+    assert one(spark, [("MIT",), ("GPL-3.0 OR MIT",), ("LGPL-2.1",), ("MPL-2.0",), ("",), ("SomeWeirdLicense-v99",), ("MIT, GPL-3.0",), (None,)], "s string", software.licence_class(c("s"))) == ["permissive", "copyleft", "weak-copyleft", "weak-copyleft", "proprietary", "unknown", "copyleft", "proprietary"]
+    spelled = {"BSD": "permissive", "MIT AND GPL-3.0": "copyleft", "MIT OR LicenseRef-Proprietary": "proprietary", "(GPL-2.0 OR MIT)": "copyleft", "GPL-3.0+": "copyleft", "BUSL-1.1": "proprietary", "MIT License": "permissive", "psf": "permissive", "License :: OSI Approved :: MIT License": "permissive", "LicenseRef-x": "proprietary", "LGPL": "unknown", "mit or isc": "unknown"}
+    assert one(spark, [(x,) for x in spelled], "s string", software.licence_class(c("s"))) == list(spelled.values())
+    assert one(spark, [("MIT",), ("Apache License 2.0",), ("License :: OSI Approved :: Apache Software License",), ("",), ("SEE LICENSE IN x",), ("GPL-2.0+",)], "s string", software.licence_id(c("s"))) == ["MIT", "Apache-2.0", "Apache-2.0", "", "NOASSERTION", "GPL-2.0-or-later"]
     rows = [("PyPI", "Requests", "2.25.0"), ("npm", "@babel/core", "7.0.0"), ("Go", "github.com/gin-gonic/gin", "v1.7.0"), ("PyPI", "x", None)]
     assert one(spark, rows, "e string, n string, v string", software.purl(c("e"), c("n"), c("v"))) == ["pkg:pypi/requests@2.25.0", "pkg:npm/%40babel/core@7.0.0", "pkg:golang/github.com/gin-gonic/gin@1.7.0", "pkg:pypi/x"]
     assert one(spark, [("CVE-2021-XXXX-sqli",), ("GS025-command_injection",), ("GS001",), ("ssti rce",)], "s string", software.vulnerability_class(c("s"))) == ["sql_injection", "command_injection", None, "ssti"]
@@ -130,7 +133,7 @@ def test_published_fix_quality_and_dread(spark):
     assert one(spark, rows, "n int, away int, tests boolean", F.struct(score, scoring.quality_label(score))) == [(0.575, "acceptable"), (1.0, "good"), (0.8, "good"), (0.35, "risky"), (0.033, "risky")]
     threats = [("HIGH", "SQL injection in login"), ("LOW", "log of account data"), ("odd", None)]
     assert one(spark, threats, "s string, t string", scoring.dread(c("s"), c("t"))) == [7 + 7 + 9 + 6 + 8, 2 + 5 + 5 + 7 + 8, 4 + 5 + 5 + 6 + 8]
-    names = [("BUSL-1.1",), ("SSPL-1.0",), ("LGPL-2.0",), ("Python-2.0",), ("GPL-2.0-with-odd-exception",)]
+    names = [("BUSL-1.1",), ("SSPL-1.0",), ("LGPL-2.0",), ("Python-2.0",), ("GPL-2.0-or-later",)]
     assert one(spark, names, "s string", software.licence_class(c("s"))) == ["proprietary", "copyleft", "weak-copyleft", "permissive", "copyleft"]
     assert "payment" not in scoring.CRITICAL_PATHS and "payment/" in scoring.CRITICAL_PATHS
 
