@@ -4,10 +4,11 @@ One pattern finds e-mail addresses, secrets after their keyword, IPv4 addresses,
 phone numbers and titled names. Each entity has a kind and a *canonical* form (digits, lower case, no format), and a surrogate is a keyed hash of both, spelled
 in the kind's own terms: digits for digits, letters of the same script for letters, a valid checksum for a card, the private or public side for an address,
 a given name ending by the title's gender. The surrogate is then rendered in the format of the place it replaces (separators, country code, case). So equal entities
-get equal surrogates wherever and however they are written (coreference), and without the key none can be undone.
+get equal surrogates wherever and however they are written (coreference), and without the key none can be undone. The key is given or set in the session (``auditloom.pii.key``), never part of the code.
 
 A name is one person whatever the title: where "Dr. Anna Schmidt" is "Mrs. Anna Schmidt" elsewhere in the corpus, both get the surrogate of the gender that is known.
-No pattern bounds an entity's length, and groups repeat possessively, so matching is linear and needs no stack. Not detected: names without a title of the list, IPv6, IBAN, secrets of fewer than eight characters.
+No pattern bounds an entity's length, and groups repeat possessively, so matching is linear and needs no stack. Several titles may stand before a name; a name of a title in capitals is three words in capitals at most.
+Not detected: names without a title of the list, IPv6, IBAN, secrets of fewer than eight characters, phone and social security numbers that are bare digits or parted by blanks alone without + or brackets.
 
 Collision checks keep entities distinct: over all distinct entities of the corpus, surrogates that two entities share, or that are themselves a real entity of the
 corpus, are drawn again with the next attempt number, until none is left. What is shuffled is a row a distinct entity and partition, not texts. The few
@@ -20,7 +21,9 @@ null and repeated ids and all other columns stay as they are; a column ``n_repla
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, without
@@ -31,23 +34,32 @@ MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur"]
 NEUTRAL = ["Dr", "Prof"]
 SECRET_WORDS = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
 
-#: Lower-case words within a family name.
-PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|los|las|zu|zur|bin|ibn|al"
+#: Titles in capitals; those that are other words or abbreviations as well need their dot.
+CAPITALS, DOTTED_CAPITALS = ["MRS", "MR", "MISS", "FRAU", "HERR", "SEÑORA", "SEÑOR", "MADAME", "MONSIEUR", "PROF"], ["MS", "DR", "SR", "SRA", "MME", "MLLE"]
+
+#: Lower-case words within a family name, or before it.
+PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|los|las|zu|zur|bin|ibn|al|y|e|i|ter|ten|af|av"
 
-#: A capitalised word, initials with their dots, or an initial without one before another capitalised word.
-_NAME_WORD = r"(?:(?:\p{Lu}\.-?)++|\p{Lu}[\p{L}'-]++|\p{Lu}(?= \p{Lu}))"
+#: A capitalised word (composed or not, with any apostrophe), initials with their dots, an initial without one before another capitalised word, or a name of Han or Hangul characters.
+_NAME_WORD = r"(?:(?:\p{Lu}\p{M}*+\.-?)++|\p{Lu}[\p{L}\p{M}'’ʼ-]++|\p{Lu}(?= \p{Lu})|\p{IsHan}{1,4}+|\p{IsHangul}{1,4}+)"
+_TITLE = rf"(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? "
+_CAPITAL_TITLE = rf"(?:(?:{'|'.join(CAPITALS)})\.? |(?:{'|'.join(DOTTED_CAPITALS)})\. )"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Letters of a domain's labels: those of scripts that are parted from other words.
+_LABEL = r"A-Za-z\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.(?=[0-9-]*[A-Za-z]))++[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+",
-    "secret": rf"(?i:(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS})\s*+[:=]\s*+)(?:\"[^\"\r\n]{{8,}}+(?=\")|'[^'\r\n]{{8,}}+(?=')|[\"']?[^\s\"']{{7,}}[^\s\"'.,;:!?)\]}}])",
+    "email": rf"(?<![\p{{L}}\p{{M}}\p{{N}}._%+-])[\p{{L}}\p{{M}}\p{{N}}._%+-]++@(?:[{_LABEL}0-9-]++\.(?=[0-9-]*[{_LABEL}]))++[{_LABEL}0-9]++(?:-++[{_LABEL}0-9]++)*+",
+    "secret": rf"(?i:(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS})[\"']?\s*+[:=]\s*+)(?:\"[^\"\r\n]{{8,}}+(?=\")|'[^'\r\n]{{8,}}+(?=')|[\"']?(?:(?=\S{{8}})(?:[^\s\"']++(?<=[\p{{L}}\p{{N}}])'(?=[\p{{L}}\p{{N}}]))++[^\s\"']*|[^\s\"']{{7,}})[^\s\"'.,;:!?)\]}}])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? {_NAME_WORD}(?:(?: (?:{PARTICLES})){{0,3}} {_NAME_WORD})*+(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})++(?:(?:{PARTICLES}) ){{0,3}}{_NAME_WORD}(?:(?: (?:{PARTICLES})){{0,3}} {_NAME_WORD})*+|{_CAPITAL_TITLE}\p{{Lu}}{{2,}}+(?:[ '’-]\p{{Lu}}{{2,}}+){{0,2}}+)(?![\p{{L}}\p{{M}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ABC = "abcdefghijklmnopqrstuvwxyz"
+#: Characters of given names.
+_HAN, _HANGUL = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平", "민서준우지현수영진호은경"
 _CYRILLIC, _GREEK = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 MAX_ATTEMPTS = 64
 
@@ -69,7 +81,7 @@ def _luhn_sum(digits: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """Kind of a match; null for what the pattern finds but is no entity (a digit run without a card's checksum)."""
     return (
-        F.when(m.rlike(rf"^(?i:{SECRET_WORDS})\s*[:=]"), "secret")
+        F.when(m.rlike(rf"^(?i:{SECRET_WORDS})[\"']?\s*[:=]"), "secret")
         .when(m.contains("@"), "email")
         .when(m.rlike(r"^\d+(\.\d+){3}$"), "ipv4")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -79,8 +91,9 @@ def kind_of(m: Column) -> Column:
     )
 
 
-_SECRET_HEAD = rf"^((?i:{SECRET_WORDS})\s*[:=]\s*[\"']?)"
-_NAME_HEAD = rf"^((?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? )"
+_SECRET_HEAD = rf"^((?i:{SECRET_WORDS})[\"']?\s*[:=]\s*[\"']?)"
+_NAME_HEAD = rf"^((?:{_TITLE})+|{_CAPITAL_TITLE})"
+_HER, _HIS = (rf"(?i)(?:^|[. ])(?:{'|'.join(titles)})[. ]" for titles in (FEMALE, MALE))
 
 
 #: E.164 country codes of one and two digits; all others have three.
@@ -94,8 +107,8 @@ def _country(m: Column) -> Column:
 
 def canonical(kind: Column, m: Column) -> Column:
     """What an entity is, whatever its format. Names keep gender: f, m or n before the words."""
-    title = F.regexp_replace(F.trim(F.regexp_extract(m, _NAME_HEAD, 1)), r"\.", "")
-    gender = F.when(title.isin(FEMALE), "f").when(title.isin(MALE), "m").otherwise("n")
+    titles = F.regexp_extract(m, _NAME_HEAD, 1)
+    gender = F.when(titles.rlike(_HER), "f").when(titles.rlike(_HIS), "m").otherwise("n")
     national = F.when(m.startswith("+"), F.substr(_digits(m), F.length(_country(m)) + 1)).otherwise(_digits(m))
     return (
         F.when(kind == "secret", F.regexp_replace(m, _SECRET_HEAD, ""))
@@ -127,6 +140,8 @@ def _spelled(text: Column, h: Column, shift: int = 0) -> Column:
             .when(c.rlike("^[a-z]$"), _pick("bcdfghjklmnpqrstvwxz", n))
             .when(c.rlike(r"^\p{IsCyrillic}$"), _pick(_CYRILLIC, n))
             .when(c.rlike(r"^\p{IsGreek}$"), _pick(_GREEK, n))
+            .when(c.rlike(r"^\p{IsHan}$"), _pick(_HAN, n))
+            .when(c.rlike(r"^\p{IsHangul}$"), _pick(_HANGUL, n))
             .when(c.rlike(r"^\p{L}$"), _pick(_ABC, n))
             .otherwise(c),
         )
@@ -158,7 +173,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         word = lambda w, draw: F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), w, draw.cast("string"), F.lit(str(k))), 256) for k in range(4)])
         parts = F.split(whole, " ")
         given = F.when(whole.contains(" "), F.substring_index(whole, " ", 1))
-        end = F.when(given.rlike(r"\p{IsCyrillic}$"), F.when(gender == "f", "а").when(gender == "m", "н").otherwise("")).when(given.rlike(r"\p{IsGreek}$"), F.when(gender == "f", "α").when(gender == "m", "ς").otherwise("")).otherwise(F.when(gender == "f", "a").when(gender == "m", "o").otherwise(""))
+        end = F.when(given.rlike(r"[\p{IsHan}\p{IsHangul}]$"), "").when(given.rlike(r"\p{IsCyrillic}$"), F.when(gender == "f", "а").when(gender == "m", "н").otherwise("")).when(given.rlike(r"\p{IsGreek}$"), F.when(gender == "f", "α").when(gender == "m", "ς").otherwise("")).otherwise(F.when(gender == "f", "a").when(gender == "m", "o").otherwise(""))
         first = let(word(F.coalesce(given, whole), attempt), lambda wh: F.concat(_spelled(F.coalesce(given, whole), wh), longer(wh)))
         first = F.when(given.isNull() | (end == "") | (F.length(given) == 1), first).otherwise(F.concat(F.regexp_replace(first, ".$", ""), end))
         rest = lambda w: let(word(w, F.lit(0)), lambda wh: _spelled(w, wh))
@@ -240,8 +255,27 @@ def attempts(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 BROADCAST_ENTRIES = 50_000
 
 
-def replace(docs: DataFrame, *, key: str = "auditloom", text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text_col``, n_replaced (long) and replaced_kinds (array of kinds, in order of the text)."""
+#: The session's setting that holds the key.
+KEY_SETTING = "auditloom.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key; one is drawn where none is set, so that surrogates agree within the session and nobody can work them out again after it."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def _key(spark: SparkSession, key: str | None) -> str:
+    found = key or spark.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"surrogates need a key: give one, or set {KEY_SETTING}")
+    return found
+
+
+def replace(docs: DataFrame, *, key: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with surrogates in ``text_col``, n_replaced (long) and replaced_kinds (array of kinds, in order of the text). Without a key, given or set in the session, nothing runs."""
+    key = _key(docs.sparkSession, key)
     docs = without(docs, "n_replaced", "replaced_kinds").withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     text = F.col(f"`{text_col}`")
     held = held_entities(docs, text_col)
@@ -270,7 +304,7 @@ def replace(docs: DataFrame, *, key: str = "auditloom", text_col: str = "text")
     return out.select(*[F.col("__done.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "__again"], F.size("__done.kinds").cast("long").alias("n_replaced"), F.col("__done.kinds").alias("replaced_kinds"))
 
 
-def replaced_rows(docs: DataFrame, *, key: str = "auditloom", text_col: str = "text") -> DataFrame:
+def replaced_rows(docs: DataFrame, *, key: str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and just its own columns (whatever their names)."""
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     done = replace(boxed, key=key)

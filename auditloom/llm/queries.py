@@ -33,7 +33,7 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.session_key(spark))
 
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

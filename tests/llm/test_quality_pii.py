@@ -116,6 +116,39 @@ def test_classifier_sample_is_bounded(spark):
     assert got.count() == 52
 
 
+@pytest.fixture(autouse=True)
+def key(spark):
+    spark.conf.set(pii.KEY_SETTING, "auditloom")
+    yield
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_no_key_no_run(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    with pytest.raises(ValueError, match="key"):
+        pii.replace(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 64 and pii.session_key(spark) == drawn
+
+
+#: (text, what must not be left, a pattern of the result).
+ORDINARY = [
+    ("Prof. Dr. Hans Meier said", "Hans|Meier", r"Prof\. Dr\. \w+ \w+ said"), ('{"password": "hunter2secret99", "u": 1}', "hunter|secret99", r'\{"password": "\S{15}", "u": 1\}'), ("{'api_key':'abcd1234efgh'}", "abcd|1234", r"\{'api_key':'\S{12}'\}"),
+    ("Mrs. Anna O’Neil left", "Anna|Neil", r"Mrs\. \w+a \S+ left"), ("Mr. Jose\u0301 Garci\u0301a Lopez came", "Jose|Garc|Lopez", r"Mr\. \S+ \S+ \S+ came"), ("Sr. Juan García y Vega, hoy", "Juan|Garc|Vega", r"Sr\. \w+o \w+ \w+ \w+, hoy"),
+    ("Mr. de la Cruz and Mrs. von der Leyen met", "Cruz|Leyen", r"Mr\. \w+ \w+ \w+ and Mrs\. \w+ \w+ \w+ met"), ("MR. JOHN SMITH waits", "JOHN|SMITH", r"MR\. [A-Z]+O [A-Z]+ waits"), ("Mr. 王伟 left", "王伟", r"Mr\. \S\S left"), ("Herr Dr. Otto Berg ging", "Otto|Berg", r"Herr Dr\. \w+o \w+ ging"),
+    ("to josé@exämple.org or a@münchen.de now", "josé|exämple|nchen", r"to \S+@\S+\.example or \S+@\S+\.example now"), ("password=abcdefgh'ijklmnop end", "abcdefgh|ijklmnop", r"password=\S{17} end"),
+]
+CLEAN = ["The MS Office file and the Dr", "MR is magnetic resonance", "Mr. and Mrs.", "a token of thanks: none", "the secret is out", "password: short1", "e y i de la", "Prof. says"]
+
+
+def test_ordinary_spellings(spark):
+    rows = [(k, t) for k, (t, _, _) in enumerate(ORDINARY)] + [(100 + k, t) for k, t in enumerate(CLEAN)]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (t, gone, shape) in enumerate(ORDINARY):
+        assert not re.search(gone, got[k]) and re.fullmatch(shape, got[k]), (t, got[k])
+    assert [got[100 + k] for k in range(len(CLEAN))] == CLEAN
+
+
 PII = [
     (1, "Mail Anna.Lee+x@mail5.example.com, or anna.lee+x@MAIL5.example.com now."),
     (2, "call +1 (743) 555-3824 or (743) 555-3824 or 743-555-3824, or +44 20 7946 0958."),
