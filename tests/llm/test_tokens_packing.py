@@ -176,3 +176,18 @@ def test_text_without_white_space_is_spliced_at_pre_tokens(enc):
     assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids and chunks < 30 and not widened
     solid = "x" * 20_000  # one pre-token: the chunk grows, from its start, to the whole
     assert token_counts.resynchronised(enc, solid, 512, 64)[0] == enc.tokenizer.encode(solid, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_script_is_spliced(seed):
+    enc, rng = encoder(tokenizer_path()), random.Random(seed)
+    made = lambda lo, hi, sep: "".join(chr(rng.randint(lo, hi)) + (sep if rng.random() < 0.15 else "") for _ in range(20_000))
+    # Kana, Thai, Cyrillic, Arabic and Devanagari without white space; most marks of the third and last part words without a sign.
+    for lo, hi, sep in [(0x3042, 0x3093, "。"), (0xE01, 0xE4E, ""), (0x430, 0x44F, ","), (0x627, 0x64A, "،"), (0x905, 0x94D, "")]:
+        text = made(lo, hi, sep)
+        ids, parts, widened = token_counts.resynchronised(enc, text, 4096, 256)
+        assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids and parts >= 5 and widened <= 2
+    alphabet = "aé é.,'sS!1٢กิ中।अि़İ̇ \n≠각<>[]ßΣ゙か"
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 120)))
+        assert token_counts.resynchronised(enc, text, rng.choice([8, 16, 24]), rng.choice([4, 6]))[0] == enc.tokenizer.encode(text, add_special_tokens=False).ids
