@@ -69,9 +69,15 @@ def context(lines: DataFrame, before: int, after: int, name: str = "context") ->
     return lines.withColumn(name, F.array_join(F.collect_list("line").over(w), "\n"))
 
 
-def structural(lines: DataFrame, pattern: str, require: str, lookbehind: int = 2, within: int = 3) -> DataFrame:
-    """Lines that match ``pattern`` without ``require`` within the frame of lookbehind lines before to ``within`` after."""
-    return context(lines, lookbehind, within).where(F.col("line").rlike(pattern) & ~F.col("context").rlike(require)).drop("context")
+def structural(files: DataFrame, pattern: str, require: str, lookbehind: int = 2, within: int = 3, content: str = "content") -> DataFrame:
+    """(project, file_path, language, line_number, line): lines that match ``pattern`` without ``require`` within the frame of lookbehind lines before to ``within`` after. Judged within the file's row; nothing is shuffled."""
+    lines = F.transform(F.split(F.coalesce(F.col(content), F.lit("")), "\n"), lambda l: F.regexp_replace(l, "\r$", ""))
+    first = lambda i: F.greatest(i - lookbehind, F.lit(0))
+    around = lambda i: F.array_join(F.slice(lines, first(i) + 1, i + within - first(i) + 1), "\n")
+    hit = lambda l, i: F.when(l.rlike(pattern), F.when(~around(i).rlike(require), F.struct((i + 1).alias("line_number"), l.alias("line"))))
+    hits = F.array_compact(F.transform(lines, hit))
+    # A file without a match is not split.
+    return files.where(F.coalesce(F.col(content), F.lit("")).rlike(pattern)).select("project", "file_path", "language", F.explode_outer(hits).alias("hit")).where("hit IS NOT NULL").select("project", "file_path", "language", "hit.*")
 
 
 def running_hits(findings: DataFrame, least: int = 3) -> DataFrame:

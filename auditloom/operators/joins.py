@@ -7,6 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+#: Rows and bytes of text of examples that may be broadcast, and parts of a language's snippets beyond that.
+BROADCAST_ROWS, BROADCAST_BYTES, SPREAD = 20_000, 64_000_000, 64
+
 
 def pick_first(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -99,7 +104,15 @@ def relevant_examples(snippets: DataFrame, examples: DataFrame, language: str, k
     rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).otherwise(2)
     order = Window.partitionBy(language).orderBy(rank, F.desc("relevance"), F.desc("collected_at"), *tie)
     top = examples.withColumn("place", F.row_number().over(order)).where(F.col("place") <= among).withColumn("t", tokens(F.col("text")))
-    pairs = snippets.withColumn("s", tokens(F.col("snippet"))).join(top, language)
+    top = cut(top)
+    rows, size = top.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # A language is a hot key: where the foremost examples were counted to be few they go to the snippets, else the snippets are dealt by rows and meet copies of them.
+    spread = F.lit(0) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else F.pmod(F.xxhash64(*key), F.lit(SPREAD)).cast("int")
+    near = snippets.withColumn("s", tokens(F.col("snippet"))).withColumn("__part", spread)
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        pairs = near.join(F.broadcast(top), language).drop("__part")
+    else:
+        pairs = near.join(top.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [language, "__part"]).drop("__part")
     overlap = F.size(F.array_intersect("s", "t"))
     named = F.contains(F.lower("snippet"), F.lower(F.coalesce("cwe_id", F.lit(""))))
     score = F.when(named, 5).otherwise(0) + F.when(overlap >= 3, F.least(overlap, F.lit(10))).otherwise(0) + 3 * F.coalesce("relevance", F.lit(0.0))

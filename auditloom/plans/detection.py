@@ -55,7 +55,7 @@ def pii_luhn_candidates(spark, d):
 
 @query(f"WITH {R.LINES_SQL}, framed AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY file_path ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS context FROM lines) SELECT project, file_path, language, line_number, line FROM framed WHERE regexp_matches(line, '(?i)licen[sc]e') AND NOT regexp_matches(context, '(?i)version|MIT')")
 def structural_invariant_missing(spark, d):
-    return detect.structural(detect.lines_of(R.files(spark, d)), "(?i)licen[sc]e", "(?i)version|MIT", 2, 3)
+    return detect.structural(R.files(spark, d), "(?i)licen[sc]e", "(?i)version|MIT", 2, 3)
 
 
 @query("WITH l AS (SELECT url AS file_path, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_number FROM pages) SELECT file_path, line_number::INT AS line_number, len(regexp_extract_all(line, '<a href=\"[^\"]*\"')) AS n_links FROM l WHERE regexp_matches(line, '<a href=\"[^\"]*\"') AND NOT regexp_matches(line, '(?i)nofollow|/the')")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import software
-from auditloom.operators import joins
+from auditloom.operators import joins, ranks
 
 from . import records as R
 
@@ -48,8 +48,8 @@ def sca_range_join(spark, d):
 @query("""WITH epss AS (SELECT s_suppkey AS k, round(greatest(s_acctbal, 0) / 10000, 4) AS epss, percent_rank() OVER (ORDER BY s_acctbal) AS pct FROM supplier)
 SELECT l_orderkey, l_linenumber, l_suppkey, epss, CASE WHEN pct >= 0.99 OR epss >= 0.7 THEN 'exploited' WHEN epss < 0.05 THEN 'low' ELSE 'some' END AS signal, CASE WHEN pct >= 0.99 OR epss >= 0.7 THEN round(least(0.99, l_discount + 0.05), 6) ELSE round(l_discount, 6) END AS confidence FROM lineitem LEFT JOIN epss ON k = l_suppkey""")
 def epss_enriched(spark, d):
-    # A feed of fixed size: a row a CVE.
-    epss = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.round(F.greatest("s_acctbal", F.lit(0.0)) / 10000, 4).alias("epss"), F.percent_rank().over(Window.orderBy("s_acctbal")).alias("pct"))
+    ranked = ranks.percent_rank(R.table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 10.0, "pct")
+    epss = ranked.select(F.col("s_suppkey").alias("l_suppkey"), F.round(F.greatest("s_acctbal", F.lit(0.0)) / 10000, 4).alias("epss"), "pct")
     hot = (F.col("pct") >= 0.99) | (F.col("epss") >= 0.7)
     j = R.table(spark, d, "lineitem").join(epss, "l_suppkey", "left")
     return j.select("l_orderkey", "l_linenumber", "l_suppkey", "epss", F.when(hot, "exploited").when(F.col("epss") < 0.05, "low").otherwise("some").alias("signal"), F.round(F.when(hot, F.least(F.lit(0.99), F.col("l_discount") + 0.05)).otherwise(F.col("l_discount")), 6).alias("confidence"))

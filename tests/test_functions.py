@@ -121,7 +121,9 @@ def test_joins(spark):
 
 def test_structural_frame(spark):
     text = "open\n\nclose\nopen\nx\nx\nx\nclose"
-    lines = detect.lines_of(spark.createDataFrame([("p", "f", "t", text)], "project string, file_path string, language string, content string"))
+    lines = spark.createDataFrame([("p", "f", "t", text), ("p", "none", "t", None)], "project string, file_path string, language string, content string")
+    plan = detect.structural(lines, "open", "close")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
     assert [r.line_number for r in detect.structural(lines, "open", "close", 0, 3).collect()] == [4]
     assert [r.line_number for r in detect.structural(lines, "open", "close", 0, 4).collect()] == []
 
