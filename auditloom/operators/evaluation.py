@@ -95,3 +95,31 @@ def dashboard(findings: DataFrame) -> DataFrame:
         FROM __auditloom_findings GROUP BY severity, rule_id, project, day GROUPING SETS ((severity), (rule_id), (project), (day), (severity, rule_id), ())""")
     findings.sparkSession.catalog.dropTempView("__auditloom_findings")
     return out
+
+
+def calibration(findings: DataFrame, projects: DataFrame, expected: DataFrame, forbidden: DataFrame, leaks: DataFrame | None = None) -> DataFrame:
+    """(project, kind, blocking, expected_found, expected_missed, forbidden_found, n_leaks, status, errors) of each project against what it should give.
+
+    ``findings``: project, rule_id, confidence, review_status, blocks; ``projects``: project, kind (clean, vulnerable), max_blocking (null: any); ``expected``: project, rule_id, min_confidence; ``forbidden``: project, rule_id,
+    review_status (null: any); ``leaks``: project, text of findings that should have been redacted. A project fails over what it misses, what it must not find, over its bound of blocking findings, and, if clean, over leaks.
+    """
+    f = findings.select("project", "rule_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "review_status", F.coalesce("blocks", F.lit(False)).alias("blocks"))
+    blocking = f.groupBy("project").agg(F.count_if("blocks").alias("blocking"))
+    best = f.groupBy("project", "rule_id").agg(F.max("confidence").alias("best"))
+    wanted = expected.join(best, ["project", "rule_id"], "left").groupBy("project").agg(F.count_if(F.coalesce(F.col("best") >= F.coalesce("min_confidence", F.lit(0.0)), F.lit(False))).alias("expected_found"), F.count(F.lit(1)).alias("n"))
+    kinds = f.groupBy("project", "rule_id", "review_status").agg(F.count(F.lit(1)).alias("n_hits"))
+    banned = forbidden.withColumnRenamed("review_status", "__status").join(kinds, ["project", "rule_id"]).where("__status IS NULL OR __status = review_status").groupBy("project").agg(F.sum("n_hits").alias("forbidden_found"))
+    j = projects.join(blocking, "project", "left").join(wanted, "project", "left").join(banned, "project", "left")
+    if leaks is not None:
+        j = j.join(leaks.groupBy("project").agg(F.count_if(F.col("text").isNotNull() & ~F.contains("text", F.lit("REDACTED"))).alias("n_leaks")), "project", "left")
+    else:
+        j = j.withColumn("n_leaks", F.lit(0).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    j = j.withColumns({c: zero(c) for c in ("blocking", "expected_found", "forbidden_found", "n_leaks")}).withColumn("expected_missed", zero("n") - F.col("expected_found"))
+    errors = F.array_compact(F.array(
+        F.when(F.col("expected_missed") > 0, F.concat(F.col("expected_missed").cast("string"), F.lit(" expected findings missed"))),
+        F.when(F.col("forbidden_found") > 0, F.concat(F.col("forbidden_found").cast("string"), F.lit(" forbidden findings"))),
+        F.when(F.col("blocking") > F.col("max_blocking"), F.concat(F.col("blocking").cast("string"), F.lit(" blocking over "), F.col("max_blocking").cast("string"))),
+        F.when((F.col("n_leaks") > 0) & (F.col("kind") == "clean"), F.concat(F.col("n_leaks").cast("string"), F.lit(" redaction leaks"))),
+    ))
+    return j.withColumn("errors", errors).select("project", "kind", "blocking", "expected_found", "expected_missed", "forbidden_found", "n_leaks", F.when(F.size("errors") > 0, "FAIL").otherwise("PASS").alias("status"), "errors")

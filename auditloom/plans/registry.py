@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, chains, detection, evaluation, graph, joins, more, pack_queries, scores, tables, units, web_queries
+from . import aggregates, chains, detection, evaluation, graph, joins, more, pack_queries, policies, scores, tables, units, web_queries
 
-MODULES = [detection, scores, joins, aggregates, more, pack_queries, chains, graph, web_queries, units, tables, evaluation]
+MODULES = [detection, scores, joins, aggregates, more, pack_queries, chains, graph, web_queries, units, tables, evaluation, policies]
 
 
 def queries() -> dict:
