@@ -10,7 +10,7 @@ A row of the result is a row of the id matrix: ``ids`` holds exactly ``row_token
 integers of ``id_bytes`` (2 where the vocabulary allows it, else 4), padded with ``pad_id``; ``n_tokens`` of them are real;
 ``cu_seqlens`` are cumulative segment lengths from 0 to n_tokens; ``position_resets`` are the segments' starts within
 their documents, so position ids can run on over a split document or restart at 0; ``doc_ids`` and ``pieces`` name them.
-``write_matrices`` writes the rows as Parquet, or as raw binary shards with an index.
+``write_matrices`` writes the rows as Parquet: ``ids`` is a binary column of whole matrix rows, the other columns are its index.
 
 One pass over the texts and one shuffle, of ``id_bytes`` a token. A task holds one group. Cases: a null or empty text is the end id alone; a null
 id stays null within ``doc_ids``; repeated rows are packed each; an empty table gives no row; other columns aren't read.
