@@ -14,7 +14,6 @@ DREAD_REPRODUCIBLE = ["sql", "injection", "rce", "traversal", "ssti", "deserial"
 DREAD_EXPLOIT = {"sql": 9, "rce": 9, "command": 9, "injection": 8, "ssti": 9, "deserial": 9, "upload": 8, "idor": 8, "auth": 9, "ssrf": 8, "xss": 7, "csrf": 6, "redirect": 5, "traversal": 8, "info": 4, "disclos": 4, "log": 4, "dos": 6}
 DREAD_MANY, DREAD_INFO = ["auth", "idor", "privilege", "account", "bypass"], ["info", "disclos", "log"]
 DOWNGRADE = {"CRITICAL": "HIGH", "HIGH": "MEDIUM", "MEDIUM": "LOW"}
-NOISE_DOWNGRADE = {"CRITICAL": "MEDIUM", "HIGH": "LOW"}
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:

@@ -1,4 +1,4 @@
-"""Infrastructure files: Dockerfiles, Kubernetes manifests, Terraform, Ansible; and multi-line and masked scans that need offsets."""
+"""Infrastructure files: Dockerfiles, Kubernetes manifests; and multi-line and masked scans that need offsets."""
 
 from __future__ import annotations
 
@@ -8,24 +8,6 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Line rules (id, title, severity, pattern).
-TERRAFORM = [
-    ("tf-public-acl", "Public bucket ACL", "HIGH", r"acl\s*=\s*\"public-read(-write)?\""),
-    ("tf-open-ingress", "Ingress open to the world", "HIGH", r"cidr_blocks\s*=\s*\[\s*\"0\.0\.0\.0/0\""),
-    ("tf-plain-secret", "Secret in plain text", "CRITICAL", r"(?i)(password|secret|token)\s*=\s*\"[^\"$]{4,}\""),
-    ("tf-unencrypted", "Encryption off", "MEDIUM", r"encrypted\s*=\s*false"),
-    ("tf-public-ip", "Public address", "LOW", r"associate_public_ip_address\s*=\s*true"),
-    ("tf-wildcard-action", "Wildcard IAM action", "HIGH", r"\"Action\"\s*:\s*\"\*\"|actions\s*=\s*\[\s*\"\*\""),
-    ("tf-public-db", "Database publicly accessible", "HIGH", r"publicly_accessible\s*=\s*true"),
-    ("tf-no-deletion-guard", "Deletion protection off", "LOW", r"deletion_protection\s*=\s*false"),
-]
-ANSIBLE = [
-    ("ansible-plain-secret", "Secret in plain text", "CRITICAL", r"(?i)(password|secret|token):\s*[\"']?[^\s\"'{]{4,}"),
-    ("ansible-no-verify", "Certificate checks off", "MEDIUM", r"validate_certs:\s*(no|false)"),
-    ("ansible-shell", "Shell with a variable", "MEDIUM", r"shell:.*\{\{"),
-    ("ansible-mode-777", "World-writable file", "HIGH", r"mode:\s*[\"']?0?777"),
-]
-
 
 def dockerfile(content: Column) -> Column:
     """array of violations of a Dockerfile; absence is judged on the whole file."""
@@ -106,11 +88,6 @@ def code_mask(text: str) -> str:
     return _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
-def mask_docstrings(text: str) -> str:
-    """Python text with triple-quoted strings blanked, newlines kept."""
-    return re.sub(r"(?s)(\"\"\"|''')(.*?)(\1)", lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-
-
 def taint(files: DataFrame, sources: str, sinks: str, sanitizers: str) -> DataFrame:
     """(file_path, function, line_number, variable) of Python functions in which a source's value reaches a sink.
 

@@ -77,7 +77,7 @@ class Pack:
     """Rules for files by extension or by a pattern of the path.
 
     ``excluded``: paths left out. ``window``: lines of a snippet before and after a hit; None: the hit's line, trimmed, 200 characters. ``docstrings`` False blanks triple-quoted
-    strings and interpreter sessions first; ``code`` blanks comments and quoted strings of languages like C. ``guards`` change or drop hits. ``file`` is a pattern that a file must hold, here or in its path (``named``). ``many`` is a further finding of files with ``most`` or more hits. ``required`` rules hit where their pattern is absent.
+    strings and interpreter sessions first; ``code`` blanks comments and quoted strings of languages like C. ``guards`` change or drop hits. ``once`` keeps a rule's first hit in a file only. ``file`` is a pattern that a file must hold, here or in its path (``named``). ``many`` is a further finding of files with ``most`` or more hits. ``required`` rules hit where their pattern is absent.
     """
 
     name: str
@@ -92,6 +92,7 @@ class Pack:
     required: tuple[PackRule, ...] = ()
     guards: tuple[Guard, ...] = ()
     code: bool = False
+    once: bool = False
     file: str = ""
     named: str = ""
 
@@ -151,7 +152,8 @@ def _hits(rule: Column, pack: Pack, text: Column) -> Column:
     lines = F.flatten(F.transform(marked, lambda s, i: F.array_repeat(i + 1, F.length(s) - F.length(F.translate(s, _MARK, "")))))
     found = F.arrays_zip(lines.alias("n"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
     hits = F.transform(found, lambda x: _hit(rule, pack, x["n"], x["m"], text))
-    return F.filter(hits, lambda h: h["severity"].isNotNull()) if pack.guards else hits
+    hits = F.filter(hits, lambda h: h["severity"].isNotNull()) if pack.guards else hits
+    return F.slice(hits, 1, 1) if pack.once else hits
 
 
 def _gate(rule: PackRule, pack: Pack) -> Column:

@@ -32,7 +32,7 @@ ALL = [*PACKS, *WEB_PACKS]
 #: Where files of packs lie that go by path; what stands before or after each line so that guards let a hit pass.
 PATHS = {"actions": "/.github/workflows/ci.yml", "workflows": "/.github/workflows/ci.yml", "package-json": "/package.json", "js-malware-named": "/setup_loader.js"}
 LEADS = {"xss": "q = input()\n", "redirect": "redirect\n", "jwt": "import jwt\n", "graphql": "apollo\n"}
-TAILS = {p.name: " SELECT {x} + y" for p in WEB_PACKS if p.name.startswith("sql-")} | {"xss": " ${x}", "graphql": "11"}
+TAILS = {p.name: " SELECT {x} + y" for p in WEB_PACKS if p.name.startswith("sql-")} | {"xss": " ${x}", "graphql": "11", "ansible": "\nbecome:", "ansible-start": "\nbecome:"}
 CHUNK = 6
 
 
@@ -108,7 +108,7 @@ def hits_sql(packs: Sequence[Pack]) -> str:
     n = len(samples())
     blank = "regexp_replace(array_to_string(list_transform(string_split_regex(content, '\"\"\"|'''''''), lambda s, i: CASE WHEN i % 2 = 0 THEN regexp_replace(s, '[^\\n]', ' ', 'g') ELSE s END), '   '), '(?m)^[ \\t]*(?:>>>|[.]{3})[^\\n]*$', '', 'g')"
     code = f"(SELECT array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(regexp_replace(b[i], '[^\\n]', ' ', 'g'), '')), '') FROM (SELECT string_split_regex(content, {_re(_NO_CODE_SQL)}) AS a, regexp_extract_all(content, {_re(_NO_CODE_SQL)}) AS b))"
-    rules, each, judged, k = [], [], [], 0
+    rules, each, judged, single, k = [], [], [], [], 0
     for p in packs:
         body = "only_code" if p.code else "content" if p.docstrings else "blanked"
         takes = f"ext IN ({', '.join(map(_text, p.extensions))})" if p.extensions else f"regexp_matches(file_path, {_re(p.path)})"
@@ -120,6 +120,8 @@ def hits_sql(packs: Sequence[Pack]) -> str:
             rules.append(f"({k}, {_text(r.rule_id)}, {_text(r.title)}, {_text(r.severity)}, {'NULL' if r.confidence is None else r.confidence})")
             each.append(f"SELECT file_path, {k} AS k, regexp_extract_all({body}, {_re(r.pattern)}) AS m, string_split_regex({body}, {_re(r.pattern)}) AS parts, lines, content FROM g WHERE {takes} AND regexp_matches({body}, {_re(r.pattern)})")
             k += 1
+        if p.once:
+            single.append(f"k BETWEEN {first} AND {k - 1}")
         if p.guards:
             judged.append(f"WHEN k BETWEEN {first} AND {k - 1} THEN CASE {' '.join(map(_guard_sql, p.guards))} ELSE severity END")
     before = "array_to_string(parts[1:n], '') || array_to_string(m[1:n - 1], '')"
@@ -127,7 +129,8 @@ def hits_sql(packs: Sequence[Pack]) -> str:
 g AS MATERIALIZED (SELECT *, lower(regexp_extract(file_path, '[.][^.]*$')) AS ext, string_split(content, chr(10)) AS lines, CASE WHEN ends_with(file_path, '.py') THEN {blank} END AS blanked, CASE WHEN ends_with(file_path, '.sol') THEN {code} END AS only_code FROM f),
 r(k, rule_id, title, severity, confidence) AS (VALUES {', '.join(rules)}), h AS ({' UNION ALL '.join(each)}), u AS (SELECT *, unnest(range(1, len(m) + 1)) AS n FROM h),
 placed AS (SELECT *, 1 + length({before}) - length(replace({before}, chr(10), '')) AS ln FROM u JOIN r USING (k)),
-hits AS (SELECT file_path, rule_id, title, CASE {' '.join(judged)} ELSE severity END AS severity, confidence::DOUBLE AS confidence, ln::INT AS line_number, m[n] AS "match" FROM placed)"""
+seen AS (SELECT file_path, k, n, rule_id, title, CASE {' '.join(judged)} ELSE severity END AS severity, confidence::DOUBLE AS confidence, ln::INT AS line_number, m[n] AS "match" FROM placed),
+nth AS (SELECT *, row_number() OVER (PARTITION BY file_path, k ORDER BY n) AS nth FROM seen WHERE severity IS NOT NULL), hits AS (SELECT * FROM nth WHERE nth = 1 OR NOT ({' OR '.join(single) or 'false'}))"""
 
 
 @query(f"""WITH {hits_sql(plain_packs())} SELECT file_path, rule_id, title, severity, confidence, line_number, "match" FROM hits WHERE severity IS NOT NULL""")

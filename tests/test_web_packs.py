@@ -68,7 +68,10 @@ def brute(path, content, packs=ALL):
         text = masked(content) if p.code else content
         lines, hits = content.split("\n"), []
         for r in p.rules:
+            seen = len(hits)
             for m in re.finditer(r.pattern, text, re.M):
+                if p.once and len(hits) > seen:
+                    break
                 line = text[: m.start()].count("\n") + 1
                 severity = judged(p, r, lines, text, line, m.group())
                 if severity:
@@ -107,6 +110,8 @@ CASES = [
     ("p.sol", "contract C {\n// tx.origin\nstring s = \"tx.origin\";\nrequire(tx.origin == o);\nfunction f() onlyOwner {\nselfdestruct(o);\n}\n"), ("q.sol", "x.call{value: 1}('');\n/* y.send(1)\n*/ y.send(1); unchecked { a; }\nselfdestruct(o); char c = '\\'';\nz.delegatecall(d)"), ("r.sol", "string s = \"open\n tx.origin"),
     ("s.py", "cur.execute(f\"SELECT {x}\")\nq = request.args['q']\ncur.execute(f\"SELECT {q}\")\nq = sanitize(q)\ncur.execute(f\"SELECT {q}\")\n"), ("t.py", "execute('a' + b)\nexecute('SELECT ' + b)\nexecute('SELECT ' + b) # nosec\nPRAGMA = execute('SELECT' + x)\n"), ("migrations/u.py", "execute('SELECT ' + b)\n"),
     ("v.py", "subprocess.run('ls', shell=True)\nsubprocess.run(c, shell=True)\nos.popen('ls')\nos.popen(c) # gsc:ignore\nos.popen(c)\n"), ("tests/w.py", "os.popen(c)\n"), ("x/package.json", "{\"preinstall\": \"node x\", \"a-utils-b\": \"^1\"}"), ("x/utils.js", "process.env.TOKEN; process.env.CI"), ("x/app.js", "process.env.TOKEN"),
+    ("ii.sol", "// setFee(1)\nfunction mint(uint a) public {\n  x;\n}\nfunction mintTo(uint a) external {\n  require(msg.sender == o);\n}\nsetFee(1); setTax(2); blacklist[a]; toggleTrading();\n"), ("jj.sol", "function mint() public onlyOwner {\n}\n"),
+    ("kk.tf", "acl = \"public-read\"\ncidr_blocks = [\"0.0.0.0/0\"]\npassword = \"short\"\nbucket = \"b\"\n"), ("ll.yml", "---\n- hosts: all\n  become: yes\n  vars:\n    password: \"hunter2secret\"\n"), ("mm.yml", "---\nbecome: yes\ntags: [a]\n"), ("nn.yml", "apiVersion: v1\nkind: Pod\nbecome: yes\n"), ("oo.yaml", "password: \"hunter2secret\"\n"),
     (".github/workflows/y.yml", "on: pull_request_target\nrun: |\n  curl http://x | sh\n- uses: actions/checkout@v4\n"), ("z.rb", "URI.open(x)\n# URI.open(x)\n"), ("empty.py", ""), ("crlf.js", "document.write(x)\r\nel.innerHTML = y\r\n"),
 ]
 
@@ -115,7 +120,7 @@ def test_guards_equal_python(spark):
     assert found(spark, [*CASES, ("null.py", None), (None, "os.popen(c)")]) == {path: hits for path, content in CASES if (hits := brute(path, content))}
 
 
-@pytest.mark.parametrize(("path", "rule", "severities"), [("a.py", "GS020", ["MEDIUM"]), ("b.py", "GS020", []), ("c.py", "GS020", ["HIGH"]), ("i.py", "GS023", ["HIGH"]), ("j.py", "GS023", []), ("m.py", "GS011", ["HIGH", "MEDIUM"]), ("o.yml", "GS013", []), ("apollo.yml", "GS013", ["HIGH"]), ("p.sol", "GS042", ["HIGH"]), ("r.sol", "GS042", []), ("v.py", "GS004", ["HIGH", "HIGH", "MEDIUM", "MEDIUM"])])
+@pytest.mark.parametrize(("path", "rule", "severities"), [("a.py", "GS020", ["MEDIUM"]), ("b.py", "GS020", []), ("c.py", "GS020", ["HIGH"]), ("i.py", "GS023", ["HIGH"]), ("j.py", "GS023", []), ("m.py", "GS011", ["HIGH", "MEDIUM"]), ("o.yml", "GS013", []), ("apollo.yml", "GS013", ["HIGH"]), ("p.sol", "GS042", ["HIGH"]), ("r.sol", "GS042", []), ("ii.sol", "GS043", ["HIGH", "HIGH", "MEDIUM"]), ("jj.sol", "GS043", []), ("nn.yml", "GS031-ANSIBLE-ROOT", []), ("ll.yml", "GS031-ANSIBLE-VAULT", ["CRITICAL"]), ("v.py", "GS004", ["HIGH", "HIGH", "MEDIUM", "MEDIUM"])])
 def test_published_outcomes(path, rule, severities):
     assert sorted(h[2] for h in brute(path, dict(CASES)[path]) if h[0] == rule) == severities
 
