@@ -77,3 +77,15 @@ def calibration_projects(spark, d):
     forbidden = p.where("kind = 'clean'").select("project", F.lit("GS040-card").alias("rule_id"), F.lit("confirmed").alias("review_status"))
     leaks = f.where("rule_id = 'GS001-secret_assignment'").select("project", F.col("snippet").alias("text"))
     return evaluation.calibration(f, p, expected, forbidden, leaks).drop("errors")
+
+
+@query(None)
+def disclosure_findings(spark, d):
+    """Personal data and internals in documents as files of code and configuration, whose lines become contacts, comments, hosts and calls. Tested against a plain reading (its expressions look behind)."""
+    from auditloom.operators.disclosure import disclosures
+
+    heads = F.array(*map(F.lit, ["contact = ", "# password: ", "host = ", "logger.info(", "requests.post(", "card number = ", "// ", "ssn = "]))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l, i: F.concat(F.get(heads, (i + F.col("doc_id").cast("int")) % 8), l))
+    end = F.expr("CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.yaml' WHEN 2 THEN '.env' ELSE '.js' END")
+    files = R.table(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), end).alias("file_path"), F.array_join(lines, "\n").alias("content"))
+    return disclosures(files).select("file_path", "rule_id", "severity", "confidence", "line_number", "snippet")
