@@ -61,7 +61,9 @@ def structural_invariant_missing(spark, d):
 @query("WITH l AS (SELECT url AS file_path, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_number FROM pages) SELECT file_path, line_number::INT AS line_number, len(regexp_extract_all(line, '<a href=\"[^\"]*\"')) AS n_links FROM l WHERE regexp_matches(line, '<a href=\"[^\"]*\"') AND NOT regexp_matches(line, '(?i)nofollow|/the')")
 def negation_guard(spark, d):
     rule = Rule("WEB-link", "Plain link", "LOW", 0.4, r'<a href="[^"]*"', languages=("html",), unless=("(?i)nofollow|/the",))
-    return detect.scan(R.page_files(spark, d), [rule]).groupBy("file_path", "line_number").agg(F.count("*").alias("n_links"))
+    # Several pages may have one url: a page, not its url, is the file whose lines are counted.
+    pages = R.page_files(spark, d).withColumn("project", F.monotonically_increasing_id().cast("string"))
+    return detect.scan(pages, [rule]).groupBy("project", "file_path", "line_number").agg(F.count("*").alias("n_links")).drop("project")
 
 
 @query(f"WITH {R.FILES_SQL}, s AS (SELECT file_path, string_split(coalesce(content, ''), chr(10)) AS ls FROM files), c AS (SELECT file_path, ls, unnest(range(0, greatest(len(ls) - 1, 0) + 1, 18)) AS o FROM s) SELECT file_path, (o + 1)::INT AS start_line, len(ls[(o + 1):(o + 20)])::INT AS n_lines, substring(sha256(array_to_string(ls[(o + 1):(o + 20)], chr(10))), 1, 16) AS chunk_hash FROM c")
