@@ -120,15 +120,28 @@ def relevant_examples(snippets: DataFrame, examples: DataFrame, language: str, k
     return scored.where((F.col("n") <= k) & (F.col("score") > 0)).drop("n", "place", "s", "t")
 
 
-def drop_subsets(chains: DataFrame) -> DataFrame:
-    """Chains (chain_key, keys: sorted array) whose keys aren't a strict subset of another chain's. Only chains that share a key are compared."""
-    members = chains.select("chain_key", "keys", F.explode("keys").alias("k"))
-    # A superset shares the chain's rarest key, so each chain is looked up under one of its keys only.
-    rare = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    chosen = members.join(rare, "k").groupBy("chain_key").agg(F.min_by("k", F.struct("n", "k")).alias("k"), F.first("keys").alias("keys"))
-    other = members.select("k", F.col("chain_key").alias("o"), F.col("keys").alias("other"))
-    covered = chosen.join(other, "k").where((F.col("o") != F.col("chain_key")) & (F.size("other") > F.size("keys")) & (F.size(F.array_except("keys", "other")) == 0)).select("chain_key").distinct()
-    return chains.join(covered, "chain_key", "left_anti")
+def drop_subsets(chains: DataFrame, spelled: int = 12) -> DataFrame:
+    """Chains (chain_key, keys: sorted array) whose keys aren't a strict subset of another chain's.
+
+    Copies of a set of keys are one row. A set of up to ``spelled`` keys spells its strict subsets out, which are then looked up: no pairs of chains are made, so the rows grow with the sets. Only larger sets,
+    whose subsets would be too many, are met under the rarest key of the sets below them.
+    """
+    sets = cut(chains.select(F.sort_array(F.array_distinct("keys")).alias("set")).distinct())
+    every = F.aggregate("set", F.array(F.slice("set", 1, 0)), lambda acc, k: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(k)))))
+    # The last subset is the set itself.
+    below = sets.where(F.size("set") <= spelled).select(F.explode(F.slice(every, F.lit(1), F.size(every) - 1)).alias("set"))
+    covered = below
+    large = sets.where(F.size("set") > spelled)
+    if large.limit(1).count():
+        members = sets.select("set", F.explode("set").alias("k"))
+        # A superset holds the set's rarest key, so each set is looked up under one of its keys only.
+        rare = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        chosen = members.join(rare, "k").groupBy("set").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
+        other = large.select("set", F.explode("set").alias("k")).select("k", F.col("set").alias("other"))
+        met = chosen.join(other, "k").where((F.size("other") > F.size("set")) & (F.size(F.array_except("set", "other")) == 0)).select("set")
+        covered = below.unionByName(met).unionByName(large.limit(1).select(F.slice("set", 1, 0).alias("set")))
+    lost = sets.join(covered, "set", "left_semi")
+    return chains.withColumn("__set", F.sort_array(F.array_distinct("keys"))).join(lost.withColumnRenamed("set", "__set"), "__set", "left_anti").drop("__set")
 
 
 def similar_before(rows: DataFrame, group: str, key: str, text: str, least: float = 0.5, latest: int = 20, chunk_rows: int = 1000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Published input and output pairs of the scalar operators."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,21 @@ def test_log_is_chained(spark):
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert {(r.who, r.n_events, r.first_break, r.head) for r in decide.verify_chain(done, "who").collect()} == {("u", 3, None, h(h(h("a") + "b") + "c")), ("v", 1, None, h("")), (None, 1, None, h("x"))}
     assert {(r.who, r.first_break) for r in decide.verify_chain(done.where("seq <> 2 OR who <> 'u'"), "who").collect()} == {("u", 3), ("v", None), (None, None)}
+
+
+def test_subsets_of_small_and_large_chains(spark):
+    rng = random.Random(3)
+    rows = [(str(n), sorted(rng.sample(range(12), rng.randrange(0, 8)))) for n in range(300)] + [("long", list(range(20, 50))), ("part", list(range(20, 45))), ("same", list(range(20, 45))), ("low", [20, 49]), ("mixed", [11, 49])]
+    want = {k for k, s in rows if not any(set(s) < set(o) for _, o in rows)}
+    chains = spark.createDataFrame(rows, "chain_key string, keys array<int>")
+    assert {r.chain_key for r in joins.drop_subsets(chains).collect()} == want
+    assert {r.chain_key for r in joins.drop_subsets(chains, spelled=3).collect()} == want
+    assert {"long", "mixed"} <= want and not {"part", "same", "low"} & want
+
+
+def test_chains_are_not_paired(spark):
+    # All sets hold the key 0; each has 16 copies. Pairs under the rarest key would be millions.
+    rows = [(f"{c}-{a}", [0, a, 1000 + a]) for a in range(1, 400) for c in range(16)] + [("k", [0])]
+    got = joins.drop_subsets(spark.createDataFrame(rows, "chain_key string, keys array<int>"))
+    assert got.count() == 399 * 16
+    assert "array_except" not in got._jdf.queryExecution().optimizedPlan().toString()
