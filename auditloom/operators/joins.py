@@ -158,10 +158,10 @@ def similar_before(rows: DataFrame, group: str, key: str, text: str, least: floa
     dealt = used.join(numbered, F.col("g").eqNullSafe(F.col("g2")) & (F.col("k") == F.col("k2"))).select("g", "k", "t", "n", own.alias("own"), F.explode(chunks).alias("chunk"))
 
     def run(batches: Iterator) -> Iterator:
-        from difflib import SequenceMatcher
-
         import pyarrow as pa
 
+        from .matching import Marked, ratio
+
         held: list[tuple] = []
         place = None
         for batch in batches:
@@ -170,13 +170,13 @@ def similar_before(rows: DataFrame, group: str, key: str, text: str, least: floa
                 if (g, chunk) != place:
                     held, place = [], (g, chunk)
                 held = [h for h in held if h[0] >= n - latest]
+                text = Marked(t)
                 if own == chunk:
                     for m, parent, other in held:
-                        matcher = SequenceMatcher(None, t, other)
-                        if m < n and matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (ratio := matcher.ratio()) >= least:
-                            for into, value in zip(out, (k, parent, ratio), strict=True):
+                        if m < n and (found := ratio(text, other, least)) is not None:
+                            for into, value in zip(out, (k, parent, found), strict=True):
                                 into.append(value)
-                held.append((n, k, t))
+                held.append((n, k, text))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["k", "parent", "similarity"])
 
     found = dealt.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "n").mapInArrow(run, "k long, parent long, similarity double")
