@@ -11,17 +11,30 @@ from pyspark.sql import functions as F
 from .packs import FLAGS, code_only
 
 _MARK = "\u0001"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 #: Fixed value: where a function begins.
 HEAD = r"^[ \t]*(?:export\s+)?(?:async\s+)?(?:def|func|fn|function)\b|^[ \t]*(?:public|private|protected)\s+[\w<>\[\],\s]+?\s+\w+\s*\("
 
 
 def parts(text: Column) -> Column:
-    """array<struct<line, text>>: what stands before the first function, then each function from its head to the next head; ``line`` is the part's first."""
-    cut = F.split(F.regexp_replace(F.translate(text, _MARK, "�"), FLAGS + HEAD, F.lit(_MARK + "$0")), _MARK)
-    breaks = F.transform(cut, lambda s: F.size(F.split(s, "\n")) - 1)
-    # Lines before each part, by a running sum; a file has few parts beside its characters.
-    before = F.transform(breaks, lambda _, i: F.aggregate(F.slice(breaks, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    return F.transform(F.arrays_zip(cut.alias("text"), before.alias("n")), lambda p: F.struct((p["n"] + 1).cast("int").alias("line"), p["text"].alias("text")))
+    """array<struct<line, text>>: what stands before the first function, then each function from its head to the next head; ``line`` is the part's first.
+
+    A lambda's body is worked out for each element, so the marked text is bound once; lines come from counting the marks in each line of it.
+    """
+    marked = F.regexp_replace(F.translate(text, _MARK, "�"), FLAGS + HEAD, F.lit(_MARK + "$0"))
+    marks = lambda s: F.length(s) - F.length(F.translate(s, _MARK, ""))
+
+    def of(m: Column) -> Column:
+        starts = F.flatten(F.transform(F.split(m, "\n"), lambda s, i: F.array_repeat(i + 1, marks(s))))
+        return F.zip_with(F.concat(F.array(F.lit(1)), starts), F.split(m, _MARK), lambda line, t: F.struct(line.cast("int").alias("line"), t.alias("text")))
+
+    return let(marked, of)
 
 
 def indented(text: Column) -> Column:
@@ -67,16 +80,16 @@ def dataflow(files: DataFrame, source: str, sink: str, sanitizer: str, *, conten
     Functions go from head to head, as published, so what follows a function counts as its own.
     """
     text = F.coalesce(content, F.lit(""))
-
-    def judged(p: Column) -> Column:
-        src, snk = _start(p["text"], source), _start(p["text"], sink)
-        to_sink = F.substring(p["text"], F.lit(1), snk)
-        line = p["line"] + F.size(F.split(to_sink, "\n")) - 1
-        own = F.get(F.split(p["text"], "\n"), line - p["line"])
-        return F.when((src <= snk) & ~p["text"].rlike(FLAGS + sanitizer), F.struct(line.cast("int").alias("line_number"), F.trim(own).alias("snippet")))
-
-    hits = F.array_compact(F.transform(parts(text), judged))
-    return files.where(text.rlike(FLAGS + sink) & text.rlike(FLAGS + source)).select("file_path", F.explode_outer(hits).alias("hit")).where("hit IS NOT NULL").select("file_path", "hit.*")
+    # Content is often an expression: it is worked out once, and a file without source or sink is not parted.
+    found = let(text, lambda t: F.when(t.rlike(FLAGS + sink) & t.rlike(FLAGS + source), parts(t)))
+    # explode_outer: for explode the optimizer infers a filter on the array's size, which would work it out twice.
+    rows = files.select("file_path", F.explode_outer(found).alias("part")).select("file_path", F.col("part.line").alias("line"), F.col("part.text").alias("text"))
+    p = F.col("text")
+    # A part is judged as a row of its own, with expressions compiled once a task.
+    rows = rows.where(p.rlike(FLAGS + source) & p.rlike(FLAGS + sink) & ~p.rlike(FLAGS + sanitizer))
+    rows = rows.withColumns({"src": _start(p, source), "snk": _start(p, sink)}).where("src <= snk")
+    below = F.size(F.split(F.substring(p, F.lit(1), F.col("snk")), "\n")) - 1
+    return rows.select("file_path", (F.col("line") + below).cast("int").alias("line_number"), F.trim(F.get(F.split(p, "\n"), below)).alias("snippet"))
 
 
 def in_order(files: DataFrame, first: str, then: str, unless: str = "", *, content: str = "content") -> DataFrame:

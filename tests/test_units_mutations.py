@@ -132,3 +132,21 @@ def test_normaliser(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mutations.normalized(F.col("t")).alias("n"), mutations.fingerprint(F.col("t")).alias("f"))
     rows = df.collect()
     assert [r.n for r in rows] == [norm(t) for t in texts] and rows[2].f == "" and len(rows[0].f) == 16
+
+
+def test_text_of_a_unit_is_worked_out_once(spark):
+    files = spark.createDataFrame([("a.js", "x")], "file_path string, content string")
+    plan = units.functions(files)._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the mark before heads: lines and parts both come from the one marked text.
+    assert plan.count("async") == 1
+
+
+def test_a_file_of_many_units_is_parted_in_time(spark):
+    import time
+
+    text = "function f() {\n request.args; cursor.execute(x)\n}\n" * 8000
+    files = spark.createDataFrame([("a.js", text)], "file_path string, content string")
+    start = time.monotonic()
+    got = sorted(r.line_number for r in units.dataflow(files, r"request\.args", r"cursor\.execute", r"escape\(").collect())
+    assert got == [2 + 3 * k for k in range(8000)]
+    assert time.monotonic() - start < 60
