@@ -3,6 +3,9 @@
 Candidates come from bands of fast similarity sketches (:mod:`.fast_sketch`); every candidate is then verified on the full sets of its texts: only an exact similarity
 of ``percent`` or more makes a link.
 
+The pipeline's near-dedup goes through operator 5's SimHash first (:func:`simhash_pairs`: fingerprints, their planned pigeonhole, links of ``RADIUS`` bits), each pair verified as well; the bands then find the
+rest, pairs that lie further apart than any radius that stays linear.
+
 Copies (equal sets) collapse first, so a group of copies of any size is one row. A bucket of up to ``ALL_PAIRS`` texts gives all its pairs; in a larger one
 each member is paired with two *leaders*, the least by two hashes that differ from band to band, so a large group of near copies stays linear. Where the members of a large bucket aren't in one
 component after that, the members outside its largest component (usually few) are held against all others, in blocks of ``BLOCK`` by ``BLOCK`` at most; only pairs that
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import fast_sketch
+from . import fast_sketch, simhash
 from .common import BROADCAST_ROWS, cut, small, written
 from .fast_sketch import PARITY, shingle_set, similar
 
 ALL_PAIRS = 16
 BLOCK = 8192
+#: Bits in which linked fingerprints differ at most.
+RADIUS = 3
 #: Partitions of links that were counted to be few.
 FEW_PARTS = 8
 
@@ -292,10 +297,22 @@ def joined(pairs: DataFrame, stars: DataFrame | None, rows: DataFrame, shingle:
     return stars
 
 
-def linked_components(posts: DataFrame, marks: DataFrame, rows: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """(node, root) of every text with a link, the root itself included, from its posts (bucket, a, b, node), ``marks`` (node, n, sketch) and ``rows`` (row, t)."""
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets (node, bands, fp) that SimHash links: those of one fingerprint with its least node, and the least nodes of linked fingerprints."""
+    named = cut(sets.where(F.size("bands") > 0).select("node", "fp"))
+    heads = cut(named.groupBy("fp").agg(F.min("node").alias("head")))
+    linked = simhash.links(heads.select("fp"), radius=RADIUS)
+    side = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}"))
+    far = linked.join(side("u"), "u").join(side("v"), "v").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))
+    return cut(named.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).unionByName(far).distinct())
+
+
+def linked_components(posts: DataFrame, marks: DataFrame, rows: DataFrame, *, shingle: int, percent: int, first: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every text with a link, the root itself included, from its posts (bucket, a, b, node), ``marks`` (node, n, sketch) and ``rows`` (row, t); candidates ``first`` (u, v) are verified before those of the posts."""
+    stars = joined(pruned(first, marks, percent), None, rows, shingle, percent, nearest_first=False) if first is not None else None
     met, held = candidates(posts)
-    stars = joined(pruned(met, marks, percent), None, rows, shingle, percent, nearest_first=True)
+    apart = pruned(met, marks, percent)
+    stars = joined(apart if stars is None else cut(_parted(apart, stars)), stars, rows, shingle, percent, nearest_first=True)
     if held is not None:
         stars = joined(remaining(held, stars, marks, percent), stars, rows, shingle, percent, nearest_first=False)
     if stars is None:
@@ -309,8 +326,8 @@ def _posts(texts: DataFrame) -> DataFrame:
     return row.select(F.xxhash64("band", "value").alias("bucket"), F.hash("band", "key").alias("a"), F.hash("key", "band", F.lit("b")).alias("b"), "node")
 
 
-def sketched(docs: DataFrame, *, shingle: int, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table of the rows of ``docs`` (doc: all its columns) with doc_id, key (a name of the set), bands, n (size of the set), sketch (parity) and row, a number."""
+def sketched(docs: DataFrame, *, shingle: int, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """A written table of the rows of ``docs`` (doc: all its columns) with doc_id, key (a name of the set), bands, n (size of the set), sketch (parity) and row, a number; ``marked``: with fp, operator 5's fingerprint."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
@@ -318,18 +335,20 @@ def sketched(docs: DataFrame, *, shingle: int, seed: int = 42, id_col: str = "do
         import pyarrow as pa
 
         own = fast_sketch.Sketcher(seed=seed)
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), *[pa.int64()] * marked]
         try:
             for batch in _sliced(batches):
                 rows = []
                 for t in batch.column(2).to_pylist():
                     found = shingle_set(t, shingle)
-                    rows.append((fast_sketch.key(found), own.bands(found), len(found), fast_sketch.parity(found)))
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "doc_id", "key", "bands", "n", "sketch"])
+                    fp = (simhash.fingerprint(t, shingle, seed),) if marked else ()
+                    rows.append((fast_sketch.key(found), own.bands(found), len(found), fast_sketch.parity(found), *(v - (1 << 64) if v >> 63 else v for v in fp)))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "doc_id", "key", "bands", "n", "sketch", "fp"][: 2 + len(kinds)])
         finally:
             fast_sketch.forget()
 
-    own = [("doc_id", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("n", T.LongType()), ("sketch", T.BinaryType())]
+    own = [("doc_id", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("n", T.LongType()), ("sketch", T.BinaryType()), *[("fp", T.LongType())] * marked]
     fields = [boxed.schema["doc"], *[T.StructField(*x) for x in own]]
     return written(boxed.mapInArrow(run, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))[0]
 
@@ -338,17 +357,20 @@ def linked_sets(rows: DataFrame, *, shingle: int, percent: int, text_col: str =
     """Of sketched rows the distinct sets (key, order, node, copies; order has the smallest id first, its ``row`` is the node) and the (node, root) of those with a link, roots included."""
     # The row number decides only between rows that are equal in id, set and the hash of all columns.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", F.xxhash64("doc").alias("h"), F.col("row"))
-    sets = rows.select("key", order.alias("order"), "bands").groupBy("key").agg(F.min("order").alias("order"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    fp = ["fp"] if "fp" in rows.columns else []
+    # Equal sets may repeat their shingles differently; the least fingerprint stands for them.
+    sets = rows.select("key", order.alias("order"), "bands", *fp).groupBy("key").agg(F.min("order").alias("order"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in fp])
     sets = cut(sets.withColumn("node", F.col("order.row")))
     whole = rows.select("row", F.coalesce(F.col(f"doc.`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
     marks = rows.select(F.col("row").alias("node"), "n", "sketch")
-    stars = cut(linked_components(_posts(sets), marks, whole, shingle=shingle, percent=percent))
-    return sets.drop("bands"), stars
+    first = simhash_pairs(sets) if fp else None
+    stars = cut(linked_components(_posts(sets), marks, whole, shingle=shingle, percent=percent, first=first))
+    return sets.drop("bands", "fp"), stars
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component with just the columns of ``docs``: that of the smallest id (null last). Texts without words are one group."""
-    rows = sketched(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col)
+    rows = sketched(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col, marked=True)
     sets, stars = linked_sets(rows, shingle=shingle, percent=percent, text_col=text_col)
     named = sets.select("node", "order").join(small(stars), "node")
     chosen = cut(named.groupBy("root").agg(F.min("order").alias("best")))

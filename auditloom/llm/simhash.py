@@ -344,15 +344,20 @@ def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def labels(marked: DataFrame, *, radius: int, bucket_rows: int) -> DataFrame:
-    """(fp, root) of every distinct fingerprint of ``marked`` (a column fp): root is the least fingerprint of its component."""
+def links(distinct: DataFrame, *, radius: int, bucket_rows: int = 16_384) -> DataFrame:
+    """:func:`edges` of a written table of distinct fingerprints (a column fp), under the plan fitted to it."""
     import numpy as np
 
-    distinct = cut(marked.select("fp").distinct())
     n = distinct.count()
     sample = [r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).collect()]
     chosen = plan(np.array(sample, dtype=np.int64).view(np.uint64), n, radius)
-    stars = cut(components(edges(distinct, chosen, radius=radius, bucket_rows=bucket_rows)))
+    return edges(distinct, chosen, radius=radius, bucket_rows=bucket_rows)
+
+
+def labels(marked: DataFrame, *, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``marked`` (a column fp): root is the least fingerprint of its component."""
+    distinct = cut(marked.select("fp").distinct())
+    stars = cut(components(links(distinct, radius=radius, bucket_rows=bucket_rows)))
     return distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
