@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.operators import mutations, units
+from auditloom.operators.lineage import cut
 
 from . import records as R
 
@@ -64,6 +65,8 @@ def mutation_returned_findings(spark, d):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.regexp_extract("file_path", r"/(\d+)\.", 1).cast("long") * 3600)
     found = R.findings(spark, d).withColumn("found_at", at).withColumn("doc_id", F.regexp_extract("file_path", r"/(\d+)\.", 1).cast("long"))
     one = found.groupBy("finding_key").agg(F.min_by(F.struct("rule_id", "file_path", "snippet", "confidence", "found_at", "doc_id"), F.struct("found_at", "line_number", "match")).alias("f")).select("finding_key", "f.*")
+    # Findings are both what comes back and what was resolved: the texts are scanned once for both.
+    one = cut(one)
     good = R.table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     resolved = one.join(good, "doc_id", "left_semi").select("finding_key", "rule_id", "file_path", "snippet", (F.col("found_at") + F.expr("INTERVAL 1 DAY")).alias("resolved_at"))
     out = mutations.returned(one, resolved, min_confidence=0.35)

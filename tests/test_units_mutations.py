@@ -150,3 +150,19 @@ def test_a_file_of_many_units_is_parted_in_time(spark):
     got = sorted(r.line_number for r in units.dataflow(files, r"request\.args", r"cursor\.execute", r"escape\(").collect())
     assert got == [2 + 3 * k for k in range(8000)]
     assert time.monotonic() - start < 60
+
+
+def test_texts_are_scanned_once_for_findings_and_parents(spark, tmp_path, monkeypatch):
+    from auditloom.plans import units as plans
+
+    spark.createDataFrame([(1, "s", "en", "a@b.com"), (30, "s", "en", "c@d.com")], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, real = [], mutations.returned
+
+    def returned(found, parents, **more):
+        seen.extend(df._jdf.queryExecution().optimizedPlan().toString().count("parquet") for df in (found, parents))
+        return real(found, parents, **more)
+
+    monkeypatch.setattr(mutations, "returned", returned)
+    assert plans.mutation_returned_findings(spark, str(tmp_path)).count() == 1
+    assert seen == [0, 1]  # labels alone are read
