@@ -204,15 +204,21 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    """SEQUENCES rows to PACKED rows: a row a piece, its checksum (of its ids as uint32) taken from the sequence's ids. DataFrame functions only."""
+    """SEQUENCES rows to PACKED rows: a row a piece, its checksum (of its ids as uint32) taken from the sequence's ids."""
 
-    def crc(part):
-        wide = F.unhex(F.regexp_replace(F.hex(part), "(.{4})", "$10000"))  # two zero bytes after each uint16
-        return F.crc32(F.when(F.col("id_bytes") == 2, wide).otherwise(part))
-
-    def of(x):
-        part = F.substr("ids", (x["offset"] * F.col("id_bytes") + 1).cast("int"), (x["length"] * F.col("id_bytes")).cast("int"))
-        return F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["start"].alias("start"), x["length"].alias("length"), crc(part).alias("ids_crc32"), F.col("sequence_id").alias("sequence_id"), x["offset"].alias("offset"))
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    # The digests are worked out within the row, so that the ids aren't copied for each piece.
-    return packed.select(F.explode(F.transform("pieces", of)).alias("d")).select("d.*")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                sequence, width, ids, pieces = (batch.column(k).slice(lo, 256) for k in range(4))
+                of = pc.list_parent_indices(pieces)
+                doc_id, piece, start, length, offset = pieces.flatten().flatten()
+                wide = [np.frombuffer(b, f"<u{n}").astype("<u4", copy=False) for b, n in zip(ids.to_pylist(), width.to_pylist(), strict=True)]
+                crc = [zlib.crc32(wide[k][at : at + n]) for k, at, n in zip(of.to_pylist(), offset.to_pylist(), length.to_pylist(), strict=True)]
+                columns = [doc_id, piece, start, length, pa.array(crc, pa.int64()), sequence.take(of), offset]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return packed.select("sequence_id", "id_bytes", "ids", "pieces").mapInArrow(run, PACKED)

@@ -113,6 +113,20 @@ def test_sequences_hold_the_ids_of_every_piece(spark, docs, enc):
     assert packing.sequences(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_digests_read_a_sequence_once(spark):
+    """Ids of both widths, checksums over them as uint32, without a detour by hexadecimal text."""
+    rows = []
+    for sequence, width in ((-1, 2), (7, 4)):
+        ids = [1, 65_535, 300, 40_000, 1][: 5 if width == 2 else 4] + [70_000] * (width == 4)
+        rows.append((sequence, 5, width, b"".join(i.to_bytes(width, "little") for i in ids), [(None, 0, 0, 2, 0), (sequence, 1, 4096, 3, 2)]))
+    df = packing.digests(spark.createDataFrame([*rows] * 300, packing.SEQUENCES))
+    crc = lambda ids: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+    want = {(None, 0, 0, 2, crc([1, 65_535]), -1, 0), (-1, 1, 4096, 3, crc([300, 40_000, 1]), -1, 2), (None, 0, 0, 2, crc([1, 65_535]), 7, 0), (7, 1, 4096, 3, crc([300, 40_000, 70_000]), 7, 2)}
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == 1200
+    assert "unhex" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=9))
 def test_lower_bound_never_exceeds_the_optimum(lengths):
