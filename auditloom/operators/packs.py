@@ -1,7 +1,8 @@
 """Rule packs over whole files: patterns may run over line ends, positions are given as lines.
 
-All rules of a file's packs are tested in one projection on the file's row, without Python and without a shuffle. A match's line comes from a mark put before each match:
-the marks of a line of the marked text are counted, so a file takes time in proportion to its length however many matches it has.
+All rules of a file's packs are tested in one projection on the file's row, without Python and without a shuffle. The matches of a rule that matches are all found in one go: each is put between
+two marks, and both the matches and their lines are read off the marked text (the opening marks of its lines are counted), so a file takes time in proportion to its length however many matches it has.
+Literals are looked for among a file's distinct words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from auditloom.functions import keys
 from .anchors import anchors
 
 _MARK = "\u0001"
+#: What stands before and after each match in a marked text; texts hold no U+0001 of their own.
+_OPEN, _CLOSE = _MARK + "(", _MARK + ")"
 _HIT = "array<struct<rule_id:string,title:string,severity:string,confidence:double,line_number:int,match:string,snippet:string>>"
 FLAGS = "(?dm)"  # ^ and $ at every \n, and at no other line end
 
@@ -119,8 +122,8 @@ def code_only(text: Column) -> Column:
 
 def _table(pack: Pack) -> Column:
     """The pack's rules as one constant array."""
-    rows = [{"pattern": FLAGS + r.pattern, "rule_id": r.rule_id, "title": r.title, "severity": r.severity, "confidence": r.confidence} for r in pack.rules]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<pattern:string,rule_id:string,title:string,severity:string,confidence:double>>")
+    rows = [{"rule_id": r.rule_id, "title": r.title, "severity": r.severity, "confidence": r.confidence} for r in pack.rules]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,title:string,severity:string,confidence:double>>")
 
 
 def _snippet(line: Column, window: int | None) -> Column:
@@ -145,13 +148,13 @@ def _constant(rule: PackRule) -> dict[str, Column]:
     return {"rule_id": F.lit(rule.rule_id), "title": F.lit(rule.title), "severity": F.lit(rule.severity), "confidence": F.lit(rule.confidence).cast("double")}
 
 
-def _hits(rule: Column, pack: Pack, text: Column) -> Column:
-    """All matches of a rule known to match; its pattern is compiled for this file."""
-    pattern = rule["pattern"]
-    marked = F.split(F.regexp_replace(text, pattern, F.lit(_MARK + "$0")), "\n")
-    lines = F.flatten(F.transform(marked, lambda s, i: F.array_repeat(i + 1, F.length(s) - F.length(F.translate(s, _MARK, "")))))
-    found = F.arrays_zip(lines.alias("n"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
-    hits = F.transform(found, lambda x: _hit(rule, pack, x["n"], x["m"], text))
+def _hits(rule: Column, pack: Pack, marked: Column, text: Column) -> Column:
+    """All matches of a rule, read off the text that has them marked."""
+    opened = lambda s: (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(_OPEN), F.lit("")))) / len(_OPEN)
+    lines = F.flatten(F.transform(F.split(marked, "\n"), lambda s, i: F.array_repeat(i + 1, opened(s).cast("int"))))
+    parts = F.split(marked, _MARK + "[(]")
+    found = F.arrays_zip(lines.alias("n"), F.slice(parts, 2, F.size(parts)).alias("m"))
+    hits = F.transform(found, lambda x: _hit(rule, pack, x["n"], F.substring_index(x["m"], _CLOSE, 1), text))
     hits = F.filter(hits, lambda h: h["severity"].isNotNull()) if pack.guards else hits
     return F.slice(hits, 1, 1) if pack.once else hits
 
@@ -163,7 +166,7 @@ def _gate(rule: PackRule, pack: Pack) -> Column:
         return F.lit(True)
     out = F.lit(False)
     for w in words:
-        out = out | F.contains(F.col("__low"), F.lit(w))
+        out = out | F.contains(F.col("__low" if " " in w else "__words"), F.lit(w))
     return out
 
 
@@ -174,16 +177,19 @@ def scan_packs(files: DataFrame, packs: Sequence[Pack], content: str = "content"
     """
     path = F.col("file_path")
     taken = files.where((F.coalesce(content, F.lit("")) != "") & F.coalesce(F.array_contains(F.array(*[p.takes(path) for p in packs]), True), F.lit(False)))
-    text = F.translate(content, _MARK, "\ufffd")
+    text = F.replace(F.col(content), F.lit(_MARK), F.lit("\ufffd"))
     masked = F.when(F.array_contains(F.array(*[p.takes(path) if not p.docstrings else F.lit(False) for p in packs]), True), without_docstrings(text))
     code = F.when(F.coalesce(F.array_contains(F.array(*[p.takes(path) if p.code else F.lit(False) for p in packs]), True), F.lit(False)), code_only(text))
-    rows = taken.select("file_path", text.alias("__text"), F.lower(text).alias("__low"), masked.alias("__masked"), code.alias("__code"), F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("__lines"))
+    # A literal without a blank lies within one word, and a word that occurs again needs no second look.
+    words = F.array_join(F.array_distinct(F.split(F.lower(text), " ")), " ")
+    rows = taken.select("file_path", text.alias("__text"), F.lower(text).alias("__low"), words.alias("__words"), masked.alias("__masked"), code.alias("__code"), F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("__lines"))
 
     def of(pack: Pack) -> Column:
         seen = F.col("__code" if pack.code else "__text" if pack.docstrings else "__masked")
         # A rule is searched for where a literal that it must hold occurs, with a pattern compiled once a task; those that match are looked up by number.
-        numbers = F.array_compact(F.array(*[F.when(_gate(r, pack) & seen.rlike(FLAGS + r.pattern), F.lit(k)) for k, r in enumerate(pack.rules)]))
-        hits = F.flatten(F.transform(numbers, lambda k: _hits(F.get(_table(pack), k), pack, seen)))
+        marked = [F.when(_gate(r, pack) & seen.rlike(FLAGS + r.pattern), F.struct(F.lit(k).alias("k"), F.regexp_replace(seen, FLAGS + r.pattern, _OPEN + "$0" + _CLOSE).alias("t"))) for k, r in enumerate(pack.rules)]
+        matching = F.array_compact(F.array(*marked))
+        hits = F.flatten(F.transform(matching, lambda x: _hits(F.get(_table(pack), x["k"]), pack, x["t"], seen)))
         if pack.required:
             absent = [F.when(~seen.rlike(FLAGS + r.pattern), _hit(_constant(r), pack, F.lit(1), F.lit(""))) for r in pack.required]
             hits = F.concat(F.array_compact(F.array(*absent)), hits)
