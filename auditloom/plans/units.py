@@ -61,7 +61,7 @@ def function_order_weaknesses(spark, d):
 
 @query(None)
 def mutation_returned_findings(spark, d):
-    """Findings against those of their rule that were resolved in the 90 days before: a document is scanned an hour after the one before it, and labelled good ones are resolved a day later. Tested against plain Python."""
+    """Findings against all those of their rule that were resolved in the 90 days before: a document is scanned an hour after the one before it, and labelled good ones are resolved a day later. Tested against plain Python."""
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.regexp_extract("file_path", r"/(\d+)\.", 1).cast("long") * 3600)
     found = R.findings(spark, d).withColumn("found_at", at).withColumn("doc_id", F.regexp_extract("file_path", r"/(\d+)\.", 1).cast("long"))
     one = found.groupBy("finding_key").agg(F.min_by(F.struct("rule_id", "file_path", "snippet", "confidence", "found_at", "doc_id"), F.struct("found_at", "line_number", "match")).alias("f")).select("finding_key", "f.*")
@@ -69,5 +69,5 @@ def mutation_returned_findings(spark, d):
     one = cut(one)
     good = R.table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     resolved = one.join(good, "doc_id", "left_semi").select("finding_key", "rule_id", "file_path", "snippet", (F.col("found_at") + F.expr("INTERVAL 1 DAY")).alias("resolved_at"))
-    out = mutations.returned(one, resolved, min_confidence=0.35)
+    out = mutations.returned(one, resolved, latest=None, min_confidence=0.35)
     return out.select("finding_key", "parent_key", "parent_file", F.col("resolved_at").cast("string").alias("resolved_at"), F.round("similarity", 6).alias("similarity"), "kind")

@@ -166,3 +166,45 @@ def test_texts_are_scanned_once_for_findings_and_parents(spark, tmp_path, monkey
     monkeypatch.setattr(mutations, "returned", returned)
     assert plans.mutation_returned_findings(spark, str(tmp_path)).count() == 1
     assert seen == [0, 1]  # labels alone are read
+
+
+@pytest.mark.parametrize(("seed", "chunk", "crowd"), [(1, 500, 5000), (2, 25, 7), (3, 1, 1)])
+def test_returned_findings_meet_all_parents_of_their_days(spark, seed, chunk, crowd):
+    found, parents = history(seed)
+    f = spark.createDataFrame(found, "finding_key string, rule_id string, snippet string, confidence double, found_at timestamp")
+    p = spark.createDataFrame(parents, "finding_key string, rule_id string, file_path string, snippet string, resolved_at timestamp")
+    got = sorted((r.finding_key, r.parent_key, r.parent_file, r.similarity, r.kind, r.resolved_at) for r in mutations.returned(f, p, latest=None, chunk=chunk, crowd=crowd).collect())
+    want = expected(found, parents, latest=None)
+    assert [(*w[:3], round(w[3], 9), *w[4:5]) for w in want] == [(*g[:3], round(g[3], 9), *g[4:5]) for g in got]
+    # Twenty parents aren't enough for these.
+    assert len({w[:2] for w in want} - {w[:2] for w in expected(found, parents)}) > 10
+
+
+def test_days_of_a_finding_begin_after_their_first_moment(spark):
+    at = lambda **k: START - dt.timedelta(**k)
+    parents = [("old", "R", "a", "eval(x)", at(days=90)), ("in", "R", "b", "eval(y)", at(days=90, microseconds=-1)), ("now", "R", "c", "run(a, b, c, d)", START), ("late", "R", "d", "eval(x)", START + dt.timedelta(microseconds=1))]
+    f = spark.createDataFrame([("n", "R", "eval(x)", 0.9, START), ("n", "R", "eval(x)", 0.9, START), ("m", "R", "eval(x)", 0.9, at(days=90))], "finding_key string, rule_id string, snippet string, confidence double, found_at timestamp")
+    p = spark.createDataFrame(parents, "finding_key string, rule_id string, file_path string, snippet string, resolved_at timestamp")
+    got = sorted((r.finding_key, r.parent_key, round(r.similarity, 6)) for r in mutations.returned(f, p, latest=None, chunk=2).collect())
+    assert got == [("m", "old", 1.0), ("n", "in", 0.857143), ("n", "in", 0.857143)]
+
+
+def test_query_sees_a_parent_before_the_twenty_latest(spark, tmp_path):
+    from auditloom.plans import units as plans
+
+    like = "the quick brown fox wrote to a@b.com about the lazy dog"
+    other = lambda k: f"{k * 7919 ** 9 + 104729 ** 8}" * 2 + " ZZ%&/ x@y.org"
+    rows = [(1, "s", "en", like)] + [(k, "s", "en", other(k)) for k in range(2, 40)] + [(100, "s", "en", like + " now")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1) for k in range(1, 40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [r for r in plans.mutation_returned_findings(spark, str(tmp_path)).collect() if r.similarity > 0.9 and r.parent_file == "s/1.en"]
+    assert len(got) == 1 and got[0].kind == "recurrence"
+
+
+def test_few_bytes_are_not_gathered_in_one_task(spark):
+    found, parents = history(1)
+    f = spark.createDataFrame(found, "finding_key string, rule_id string, snippet string, confidence double, found_at timestamp")
+    p = spark.createDataFrame(parents, "finding_key string, rule_id string, file_path string, snippet string, resolved_at timestamp")
+    plan = mutations.returned(f, p, latest=None)._jdf.queryExecution().optimizedPlan().toString()
+    # A counted shuffle isn't coalesced by its bytes.
+    assert re.search(r"RepartitionByExpression \[rule_id#\d+, chunk#\d+L, part#\d+\], 4\b", plan)
